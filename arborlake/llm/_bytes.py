@@ -21,6 +21,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Separators of plain words: ASCII other than letters and digits.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -65,7 +67,7 @@ def utf8_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int
         first = end
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte, text index) of each word, in order."""
     n = len(data)
     if not n:
@@ -73,14 +75,13 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.n
         return np.zeros(0, U64), z, z, z
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     edge = offs[1:-1]
     edge = edge[(edge > 0) & (edge < n)]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     start[edge] = inside[edge]
-    end = inside
-    end = end.copy()
+    end = inside.copy()
     end[:-1] &= ~inside[1:]
     end[edge - 1] = inside[edge - 1]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding, url_filter
+from . import exact_dedup, jaccard_join, language_id, packing, secret_scan, sharding, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_language_id": language_id.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_packing": packing.op5_packing,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op4_url_filter": url_filter.OP4_SQL}
