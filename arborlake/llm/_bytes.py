@@ -67,14 +67,12 @@ def utf8_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int
         first = end
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start byte, end byte, text index) of each word, in order."""
+def word_spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start byte, end byte, text index) of each word, in order."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
-        return np.zeros(0, U64), z, z, z
-    if lower:
-        data = _LOWER[data]
+        return z, z, z
     inside = ~space[data]
     edge = offs[1:-1]
     edge = edge[(edge > 0) & (edge < n)]
@@ -85,11 +83,28 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, space: np.nda
     end[:-1] &= ~inside[1:]
     end[edge - 1] = inside[edge - 1]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return s, e, np.searchsorted(offs, s, "right") - 1
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    n = len(data)
     prefix = np.zeros(n + 1, U64)
     np.cumsum(_BYTE[data] * powers(_BASE, n), out=prefix[1:])
     h = (prefix[e] - prefix[s]) * powers(_INV, n + 1)[s]
-    h = mix(h + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
-    return h, s, e, np.searchsorted(offs, s, "right") - 1
+    return mix(h + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return _LOWER[data]
+
+
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start byte, end byte, text index) of each word, in order."""
+    if lower:
+        data = lowered(data)
+    s, e, t = word_spans(data, offs, space)
+    return span_hashes(data, s, e), s, e, t
 
 
 def ngrams(h: np.ndarray, n: int, seed: int) -> np.ndarray:

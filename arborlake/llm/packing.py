@@ -12,7 +12,7 @@ among the pieces of its length.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -22,13 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._bytes import NOT_ALNUM, U64, lowered, span_hashes, utf8_chunks, word_spans
 from ._scratch import Scratch
 from ._spread import gapless_rank
 
-WINDOW, END_ID, MEMO = 4096, 2, 1 << 18
-#: White space that this module splits on is ASCII; with any other, str.split() would split too much.
-_OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-_ASCII_SPACE = re.compile("[ \t\n\v\f\r]+")
+WINDOW, END_ID, MEMO, CHUNK_BYTES = 4096, 2, 1_500_000, 2 << 20
+_ALNUM = ~NOT_ALNUM & (np.arange(256) < 128)
 
 
 def default_vocabulary() -> str:
@@ -38,31 +37,101 @@ def default_vocabulary() -> str:
 
 
 class WordTokenizer:
-    """Token ids of whole texts through a tokenizer that drops white space, word by word with a memo.
+    """Token ids of whole texts through a tokenizer that lower-cases and drops white space, word by word with a memo.
 
-    The memo is emptied when full, so memory is bounded for any vocabulary.
+    Words are found and hashed as bytes; only the distinct words that the memo
+    lacks become strings and are encoded. A full stop or comma after a letter or
+    digit is a token of its own and is left off the memo's words. The memo is
+    three sorted arrays, emptied when it holds `memo` words.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
+        # One task is one core; the library's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.memo: dict[str, list[int]] = {}
+        self.size = memo
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.mark = np.zeros(256, "<u4")
+        for m in ".,":
+            (self.mark[ord(m)],) = self.tok.encode(m, add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash, self.at, self.n, self.ids = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _encode_words(self, words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each string, all ids). Words of letters alone end in one token that closes a word, so many of them go as one text."""
+        n = np.zeros(len(words_), np.int64)
+        alpha = [i for i, w in enumerate(words_) if w.isalpha()]
+        other = [i for i, w in enumerate(words_) if not w.isalpha()]
+        out: list[np.ndarray] = []
+        order: list[int] = []
+        for a in range(0, len(alpha), 5000):
+            part = alpha[a : a + 5000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join([words_[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):
+                other += part
+                continue
+            n[part] = np.diff(ends, prepend=0)
+            out.append(ids)
+            order += part
+        for i, e in zip(other, self.tok.encode_batch_fast([words_[i] for i in other], add_special_tokens=False), strict=True):
+            n[i] = len(e.ids)
+            out.append(np.array(e.ids, "<u4"))
+        order += other
+        flat = np.concatenate(out) if out else np.zeros(0, "<u4")
+        begin = np.zeros(len(words_), np.int64)
+        sizes = n[order]
+        begin[order] = np.cumsum(sizes) - sizes
+        return n, flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(flat))]
+
+    def _learn(self, data: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+        raw = data.tobytes()
+        n, ids = self._encode_words([raw[a:b].decode("utf-8", "replace") for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+        at = len(self.ids) + np.cumsum(n) - n
+        self.ids = np.concatenate([self.ids, ids])
+        spot = np.searchsorted(self.hash, h)
+        self.hash, self.at, self.n = np.insert(self.hash, spot, h), np.insert(self.at, spot, at), np.insert(self.n, spot, n)
+
+    def encode_chunk(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets of the texts within them) of a chunk of texts."""
+        data = lowered(data)
+        s, e, t = word_spans(data, offs)
+        if not len(s):
+            return np.zeros(0, "<u4"), np.zeros(len(offs), np.int64)
+        marked = (e - s > 1) & (self.mark[data[e - 1]] > 0) & _ALNUM[data[e - 2]]
+        tail = np.where(marked, self.mark[data[e - 1]], 0)
+        e = e - marked
+        h, first, back = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
+        if len(self.hash) + len(h) > self.size:
+            self.forget()
+        spot = np.searchsorted(self.hash, h)
+        known = np.zeros(len(h), bool)
+        inside = spot < len(self.hash)
+        known[inside] = self.hash[spot[inside]] == h[inside]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            self._learn(data, h[new], s[first[new]], e[first[new]])
+            spot = np.searchsorted(self.hash, h)
+        at, n = self.at[spot][back], self.n[spot][back]
+        full = n + marked
+        end = np.cumsum(full)
+        begin = end - full
+        out = np.empty(int(end[-1]), "<u4")
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(begin, n) + within] = self.ids[np.repeat(at, n) + within]
+        out[end[marked] - 1] = tail[marked]
+        per_text = np.bincount(t, weights=full, minlength=len(offs) - 1).astype(np.int64)
+        return out, np.concatenate([[0], np.cumsum(per_text)])
 
     def encode(self, text: str) -> np.ndarray:
-        parts = _ASCII_SPACE.split(text) if _OTHER_SPACE.search(text) else text.split()
-        memo = self.memo
-        if missing := [w for w in dict.fromkeys(parts) if w not in memo]:
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = list(dict.fromkeys(parts))
-            for w, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                memo[w] = e.ids
-        out: list[int] = []
-        extend = out.extend
-        for w in parts:
-            extend(memo[w])
-        return np.array(out, "<u4")
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_chunk(raw, np.array([0, len(raw)]))[0]
 
 
 @cache
@@ -77,15 +146,17 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, id_col: str =
         tok = tokenizer(vocabulary)
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
-            for i, value in enumerate(batch.column(1)):
-                ids = np.append(tok.encode(value.as_py() or ""), np.uint32(END_ID)).astype("<u4")
-                for a in range(0, len(ids), window):
-                    part = ids[a : a + window]
-                    row.append(i)
-                    start.append(a)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    total.append(len(ids))
+            for a, _, data, offs in utf8_chunks(batch.column(1), CHUNK_BYTES):
+                flat, ends = tok.encode_chunk(data, offs)
+                for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                    ids = np.append(flat[lo:hi], np.uint32(END_ID)).astype("<u4")
+                    for begin in range(0, len(ids), window):
+                        part = ids[begin : begin + window]
+                        row.append(a + i)
+                        start.append(begin)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part.tobytes()))
+                        total.append(len(ids))
             ids_out = batch.column(0).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids_out, *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], [id_col, "start", "length", "ids_crc32", "doc_tokens"])
 
