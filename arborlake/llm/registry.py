@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, packing, secret_scan, sharding, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, secret_scan, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_packing": packing.op5_packing,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_sharding": sharding.op10_sharding,
 }
