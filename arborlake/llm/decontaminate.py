@@ -1,8 +1,11 @@
 """Benchmark decontamination by template canonicalisation (DataFrame functions only).
 
 Numbers, units after numbers, and names (capitalised words inside a sentence)
-become typed placeholders; other words are lower-cased. Every window of 8
-template tokens of every document is hash-joined with the benchmark's windows.
+become typed placeholders; other words are lower-cased. Windows of 8 template
+tokens are hash-joined: a benchmark window is found through its longest literal
+word, and where a document has that word, the hash of the template window at
+the same offset must agree. So all words of all documents are looked up, and
+only windows around a benchmark's long words are ever built.
 Hits are grouped by document, item and alignment; an alignment counts only if
 its slots are consistent: each value of the item stands for one value in the
 document throughout, so a question with other numbers or names is still caught
@@ -21,13 +24,17 @@ NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"
 UNITS = "km|m|cm|mm|kg|g|mg|t|l|ml|s|min|h|hours?|minutes?|seconds?|days?|weeks?|years?|meters?|metres?|miles?|feet|inches|pounds?|dollars?|euros?|percent|usd|eur|mph|kmh|degrees?"
 
 
+#: Other than ASCII letters, digits and markers; from Latin-1 on, only signs and general punctuation separate.
+SEPARATORS = "[\\x00\\x04-/:-@\\[-`{-\\xa9\\xab-\\xb4\\xb6-\\xb9\\xbb-\\xbf\\xd7\\xf7\\u2000-\\u206f\\u3000-\\u3003]+"
+
+
 def marked_tokens(text: Column) -> Column:
-    """array<string> of lower-cased words; a slot's word follows its marker. Markers in the text itself are dropped."""
+    """array<string> of lower-cased words (an empty one may stand at either end); a slot's word follows its marker. Markers in the text itself are dropped."""
     t = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME, "   ")
-    t = F.regexp_replace(t, r"([0-9]+)", NUMBER + "$1 ")
+    t = F.when(t.rlike("[0-9]"), F.regexp_replace(t, "([0-9]+)", NUMBER + "$1 ")).otherwise(t)
     t = F.when(F.instr(t, NUMBER) > 0, F.regexp_replace(t, rf"(\x01[0-9]+ \s*)((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2")).otherwise(t)
-    t = F.regexp_replace(t, r"([\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", "$1" + NAME)
-    return F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}\x01-\x03]+"), lambda w: w != "")
+    t = F.regexp_replace(t, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},;:] )", " " + NAME)
+    return F.split(F.lower(t), SEPARATORS)
 
 
 def templates(tokens: Column) -> Column:
@@ -35,28 +42,22 @@ def templates(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.when(w < F.lit("\x04"), F.substring(w, 1, 1)).otherwise(w))
 
 
-def windows(template: Column) -> Column:
-    """array<long>: a hash for each window of WINDOW template tokens."""
-
-    def hashes(tpl: Column) -> Column:
-        last = F.size(tpl) - WINDOW
-        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(tpl, i + 1, WINDOW)))
-        return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
-
-    # Bound to a lambda variable, the template is computed once a row, not once a window.
-    return F.get(F.transform(F.array(template), hashes), F.lit(0))
+def window_hash(tokens: Column, start: Column) -> Column:
+    """Hash of the template of the WINDOW tokens from start (0-based)."""
+    return F.xxhash64(templates(F.slice(tokens, start + 1, WINDOW)))
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(w, spots array<struct<item, ipos, total, slots>>): windows with enough literal words, grouped by hash."""
-    tok = benchmark.select(F.col(item_col).alias("item"), marked_tokens(F.col(text_col)).alias("tok"))
-    tok = tok.select("item", "tok", templates("tok").alias("tpl"))
-    each = tok.select("item", "tok", F.size("tok").alias("n"), F.posexplode(windows(F.col("tpl"))).alias("ipos", "w"))
-    part = each.withColumn("part", F.slice("tok", F.col("ipos") + 1, WINDOW))
-    part = part.where(F.size(F.filter("part", lambda w: w >= F.lit("\x04"))) >= MIN_LITERALS)
-    total = part.groupBy("item").agg(F.count("*").alias("total"))
-    full = part.join(total, "item").select("w", F.struct("item", "ipos", "total", F.col("part").alias("slots")).alias("s"))
-    return full.groupBy("w").agg(F.collect_set("s").alias("spots"))
+    """(anchor, offset, w, item, ipos, total, slots): windows with enough literal words, each with its longest one."""
+    tok = benchmark.select(F.col(item_col).alias("item"), F.filter(marked_tokens(F.col(text_col)), lambda w: w != "").alias("tok")).dropDuplicates()
+    starts = F.when(F.size("tok") >= WINDOW, F.sequence(F.lit(0), F.size("tok") - WINDOW))
+    each = tok.select("item", "tok", F.explode(starts).alias("ipos")).withColumn("slots", F.slice("tok", F.col("ipos") + 1, WINDOW)).withColumn("w", window_hash(F.col("tok"), F.col("ipos")))
+    literal = F.filter("slots", lambda w: w >= F.lit("\x04"))
+    each = each.where(F.size(literal) >= MIN_LITERALS)
+    longest = F.array_max(F.transform(literal, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    each = each.withColumn("anchor", longest).withColumn("offset", F.array_position("slots", F.col("anchor")).cast("int") - 1)
+    total = each.groupBy("item").agg(F.countDistinct("ipos").alias("total"))
+    return each.join(total, "item").select("anchor", "offset", "w", "item", "ipos", "total", "slots")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -67,14 +68,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     documents and items give the same rows once. Either table empty: no rows.
     """
     bench = benchmark_windows(benchmark, item_col, item_text).persist()
+    spots = bench.select("anchor", "offset").distinct()
     if bench.count() <= BROADCAST_WINDOWS:
-        bench = F.broadcast(bench)
+        bench, spots = F.broadcast(bench), F.broadcast(spots)
     tok = docs.select(F.col(id_col).alias("doc"), marked_tokens(F.col(text_col)).alias("tok"))
-    every = tok.select("doc", "tok", F.posexplode(windows(templates(F.col("tok")))).alias("dpos", "w"))
-    hit = every.join(bench, "w").select("doc", "dpos", F.slice("tok", F.col("dpos") + 1, WINDOW).alias("part"), F.explode("spots").alias("s"))
+    # Generate, join and slice are one generated stage, in which the token array is carried by reference; what
+    # needs interpretation (hashes, slots) comes after it, over the window's own tokens. The hash is the key of a
+    # second join, not a filter, which would be pushed into the first. Empty ends of a text equal no anchor.
+    every = tok.select("doc", "tok", F.posexplode_outer("tok").alias("pos", "anchor"))
+    near = every.join(spots, "anchor").withColumn("dpos", F.col("pos") - F.col("offset"))
+    near = near.where((F.col("dpos") >= 0) & (F.col("dpos") + WINDOW <= F.size("tok"))).select("doc", "dpos", F.slice("tok", F.col("dpos") + 1, WINDOW).alias("part"))
+    keyed = near.select("doc", "dpos", "part", F.xxhash64(templates(F.col("part"))).alias("w"))
+    hit = keyed.join(bench, "w").select("doc", "item", "total", "ipos", (F.col("dpos") - F.col("ipos")).alias("line"), "slots", "part")
     is_slot = lambda x: x < F.lit("\x04")
-    pair = F.filter(F.arrays_zip(F.col("s.slots").alias("i"), F.col("part").alias("d")), lambda p: is_slot(p["i"]))
-    hit = hit.select("doc", "s.item", "s.total", "s.ipos", (F.col("dpos") - F.col("s.ipos")).alias("line"), pair.alias("pairs"))
+    pair = F.filter(F.arrays_zip(F.col("slots").alias("i"), F.col("part").alias("d")), lambda p: is_slot(p["i"]))
+    hit = hit.select("doc", "item", "total", "line", "ipos", pair.alias("pairs"))
     lines = hit.groupBy("doc", "item", "total", "line").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     fixed = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     lines = lines.where(fixed == F.size("pairs")).withColumn("same", F.forall("pairs", lambda p: p["i"] == p["d"]))
