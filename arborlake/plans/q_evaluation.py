@@ -73,3 +73,101 @@ def text_generation_scores(t):
     q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("reference"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
     return textgen.scores(q.join(a, ["conv_id", "turn"]), ["conv_id", "turn"], "reference", "response")
+
+
+@query("sentence_split")
+def sentence_split(t):
+    from ..operators.evidence import split_sentences
+
+    return split_sentences(t("benchmark"), "item_id", "text")
+
+
+@query("verified_quotes")
+def verified_quotes(t):
+    from ..operators.evidence import verify
+
+    d = t("documents").select("doc_id", F.col("text").alias("page"), F.substring("text", 20, 90).alias("quote")).where(F.length("page") > 200)
+    return verify(d, ["doc_id"], "quote", "page")
+
+
+@query("chunked_pages")
+def chunked_pages(t):
+    from ..operators.evidence import chunk_pages
+
+    return chunk_pages(t("conversations"), "conv_id", "turn", "text", 800)
+
+
+@query("context_packages")
+def context_packages(t):
+    from ..operators.context import pack_papers
+
+    return pack_papers(t("conversations"), "conv_id", "turn", "text", 400)
+
+
+@query("self_bleu")
+def self_bleu(t):
+    return textgen.self_bleu(t("conversations"), "conv_id", "text")
+
+
+_REASONS = ["off_topic", "adopted", "transfer_risk", "coverage_gap", "already_covered", "strange_reason"]
+
+
+def _feedback(t):
+    k = F.col("event_id")
+    names = F.array(*[F.lit(r) for r in _REASONS])
+    return t("events").select(
+        F.concat(F.lit("f"), (k % 5000).cast("string")).alias("feedback_id"),
+        F.when(k % 97 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("soon").alias("occurred_at"),
+        F.lit("human").alias("source"),
+        F.lit(None).cast("string").alias("workflow"),
+        F.lit(None).cast("string").alias("run_id"),
+        F.lit("review").alias("stage"),
+        F.get(names, (k % 6).cast("int")).alias("reason"),
+        F.when(k % 6 == 3, "topic").when(k % 6 == 1, "idea").when(k % 6 == 2, "idea").otherwise("paper").alias("kind"),
+        F.concat(F.lit("p"), (k % 50).cast("string")).alias("paper_id"),
+        F.lit(None).cast("string").alias("verdict"),
+        F.lit(None).cast("string").alias("note"),
+        F.lit(None).cast("string").alias("follow_up_of"),
+        F.when(k % 3 == 0, F.concat(F.lit("r"), (k % 20).cast("string"))).alias("request_id"),
+    )
+
+
+_ACK = """SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'rejected' WHEN event_id % 3 = 0 AND NOT (event_id % 20 < 15 AND event_id % 50 < 40) THEN 'rejected' WHEN event_id % 5000 < 100 THEN 'duplicate' ELSE 'accepted' END AS status FROM events"""
+
+
+@query("feedback_ack", f"SELECT status, count(*) AS n FROM ({_ACK}) GROUP BY 1")
+def feedback_ack(t):
+    from ..operators.feedback import acknowledge
+
+    e = t("events").select("event_id")
+    stored = e.where("event_id < 100").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("feedback_id"))
+    r, p = e.where("event_id < 15").select(F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("request_id")), e.where("event_id < 40").select(F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("paper_id"))
+    outputs = r.join(F.broadcast(p), F.lit(True))
+    return acknowledge(_feedback(t), stored, outputs).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "reason_rollup",
+    "SELECT ['off_topic', 'adopted', 'transfer_risk', 'coverage_gap', 'already_covered', 'strange_reason'][event_id % 6 + 1] AS reason, ['retrieval_defect', 'positive', 'project_relative', 'corpus_demand', 'redundancy', 'unknown'][event_id % 6 + 1] AS reason_group, ['global', 'global', 'project', 'global', 'project', 'global'][event_id % 6 + 1] AS signal_scope, count(*) AS n FROM events GROUP BY 1, 2, 3",
+)
+def reason_rollup(t):
+    from ..operators.feedback import rollup
+
+    return rollup(_feedback(t))
+
+
+@query("curated_search")
+def curated_search(t):
+    from ..operators.curated import curated_search as search
+    from .q_retrieval import dense, sparse
+
+    def evidence(n):
+        hits = sparse(t).limit(n)
+        return hits.select("doc_id", F.col("doc_id").alias("point"), F.lit("evidence").alias("kind"), F.array(F.col("doc_id").cast("string")).alias("evidence_ids"), (F.col("score") / (F.col("score") + 10)).alias("relevance"), "rank")
+
+    def discovery(n):
+        return dense(t).limit(n).select("doc_id", F.greatest(F.lit(0.0), "score").alias("relevance"), "rank")
+
+    published = F.timestamp_seconds(F.lit(1_500_000_000) + F.col("doc_id") * 86_400)
+    meta = t("documents").select("doc_id", "lang", published.alias("published"))
+    return search(evidence, discovery, meta, "doc_id", 10, "2021-01-01").select("doc_id", "final_rank", "relevance", "tier", "items")
