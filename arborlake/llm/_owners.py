@@ -9,7 +9,7 @@ binary blocks per owner, and owners sort them in numpy.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,43 +21,45 @@ from ._bytes import U64
 #: Rows of a map block; a block's arrays are what a Python worker holds.
 BLOCK = 400_000
 
-Columns = dict[str, np.ndarray]
+def send(key: np.ndarray, multi_unit: np.ndarray, rest: list[np.ndarray], owners: int, salt: int, short: bool = False) -> list[tuple]:
+    """Packed rows of one block. multi_unit: what a key must differ in to count as repeated (document, run).
 
-
-def _pack(owner: int, sure: int, key: np.ndarray, rest: list[np.ndarray]) -> tuple:
-    return owner, sure, key.tobytes(), *(r.tobytes() for r in rest)
-
-
-def send(key: np.ndarray, multi_unit: np.ndarray, rest: list[np.ndarray], owners: int, salt: int) -> list[tuple]:
-    """Packed rows of one block. multi_unit: what a key must differ in to count as repeated (document, run)."""
+    short: only 40 bits of a key travel (beside its owner), for uses where a
+    false repeat costs work but no result. Within an owner, rows keep the order
+    of the documents, so their columns compress.
+    """
     order = np.argsort(key, kind="stable")
-    key, unit, rest = key[order], multi_unit[order], [r[order] for r in rest]
-    first = np.concatenate([[True], key[1:] != key[:-1]])
+    sorted_ = key[order]
+    first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
     group = np.cumsum(first) - 1
     starts = np.flatnonzero(first)
-    repeated = (np.minimum.reduceat(unit, starts) != np.maximum.reduceat(unit, starts))[group]
-    out = []
-    lead = first
+    unit = multi_unit[order]
+    many = (np.minimum.reduceat(unit, starts) != np.maximum.reduceat(unit, starts))[group]
+    lead, repeated_ = np.empty(len(key), bool), np.empty(len(key), bool)
+    lead[order], repeated_[order] = first, many
     owner = ((key >> U64(40)) % U64(owners)).astype(np.int64)
-    by = np.flatnonzero(lead)
-    by = by[np.argsort(owner[by], kind="stable")]
-    cuts = np.flatnonzero(np.diff(owner[by])) + 1
-    for part in np.split(by, cuts):
+    # Leads go to their owner; further rows of a repeated key need no owner, and those of one unit follow their lead.
+    kind = np.where(lead, 0, np.where(repeated_, 1, 2))
+    dest = np.where(kind == 1, salt % owners, owner)
+    by = np.argsort(dest * 3 + kind, kind="stable")
+    out = []
+    for part in np.split(by, np.flatnonzero(np.diff((dest * 3 + kind)[by])) + 1):
         if len(part):
-            out.append((int(owner[part[0]]), 0, key[part].tobytes(), repeated[part].tobytes(), *(r[part].tobytes() for r in rest)))
-    sure = np.flatnonzero(~lead & repeated)
-    if len(sure):
-        out.append((salt % owners, 1, key[sure].tobytes(), b"", *(r[sure].tobytes() for r in rest)))
-    # Further rows of a key within one unit follow its first row: they repeat only if the key does elsewhere.
-    inner = np.flatnonzero(~lead & ~repeated)
-    if len(inner):
-        own = owner[inner]
-        inner = inner[np.argsort(own, kind="stable")]
-        for part in np.split(inner, np.flatnonzero(np.diff(owner[inner])) + 1):
-            out.append((int(owner[part[0]]), 2, key[part].tobytes(), b"", *(r[part].tobytes() for r in rest)))
+            k = int(kind[part[0]])
+            out.append((int(dest[part[0]]), k, _narrow(key[part]) if short and k != 1 else key[part].tobytes(), repeated_[part].tobytes() if k == 0 else b"", *(r[part].tobytes() for r in rest)))
     return out
 
 
+def _narrow(key: np.ndarray) -> bytes:
+    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _wide(raw: np.ndarray, owner: int) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = raw.reshape(-1, 5)
+    return out.view("<u8").ravel() | (U64(owner) << U64(40))
+
+
 def wire_schema(rest: list[str]) -> str:
     return "owner int, kind int, key binary, flag binary, " + ", ".join(f"{r} binary" for r in rest)
 
@@ -68,7 +70,7 @@ def to_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["owner", "kind", "key", "flag", *names])
 
 
-def repeated(wire: DataFrame, names: list[str], types: list[str], owners: int, more: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], list[np.ndarray]] | None = None) -> DataFrame:
+def repeated(wire: DataFrame, names: list[str], types: list[str], tasks: int, owners_of_keys: int, short: bool = False) -> DataFrame:
     """(key long, names...) rows whose key repeats over units. Rows of kind 9 pass through as they are (flag `pass_`)."""
     np_types = {"long": np.int64, "int": np.int32, "byte": np.int8}
 
@@ -86,7 +88,13 @@ def repeated(wire: DataFrame, names: list[str], types: list[str], owners: int, m
             cols = [batch.column(i) for i in range(batch.num_columns)]
             for i in range(batch.num_rows):
                 kind = cols[1][i].as_py()
-                key = np.frombuffer(cols[2][i].as_buffer(), np.uint64)
+                raw = cols[2][i].as_buffer()
+                if short and kind in (0, 2):
+                    key = _wide(np.frombuffer(raw, np.uint8), cols[0][i].as_py())
+                else:
+                    key = np.frombuffer(raw, np.uint64)
+                    if short and kind == 1:
+                        key = (key & U64((1 << 40) - 1)) | (((key >> U64(40)) % U64(owners_of_keys)) << U64(40))
                 rest = [np.frombuffer(c[i].as_buffer(), np_types[t]) for c, t in zip(cols[4:], types, strict=True)]
                 if kind in (1, 9):
                     yield from emit(key, rest, kind == 9)
@@ -115,4 +123,4 @@ def repeated(wire: DataFrame, names: list[str], types: list[str], owners: int, m
         yield from emit(key[keep], rest, False)
 
     schema = "key long, " + ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)) + ", pass_ boolean"
-    return wire.repartition(owners, "owner").mapInArrow(own, schema)
+    return wire.repartition(tasks, "owner").mapInArrow(own, schema)

@@ -34,7 +34,7 @@ from ._owners import BLOCK, repeated, send, to_batch, wire_schema
 from ._scratch import Scratch
 from ._spread import split_join
 
-SHINGLE, BITS, LEADER_ROUNDS = 5, 2048, 2
+SHINGLE, BITS, LEADER_ROUNDS, LEADERS = 5, 2048, 8, 2
 _META = {"f1": 10, "f2": 11, "n": 12, "u0": 13, "u1": 14}
 
 
@@ -115,7 +115,7 @@ def _emit(docs: DataFrame, owners: int, spread: float) -> DataFrame:
                 x.clear()
             seen.clear()
             n_rows, blocks = 0, blocks + 1
-            return to_batch(send(key, doc, [doc, side], owners, int(doc[0]) if len(doc) else 0), ["doc", "side"])
+            return to_batch(send(key, doc, [doc, side], owners, int(doc[0]) if len(doc) else 0, short=True), ["doc", "side"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -215,10 +215,7 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     both = scratch.table(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
     label = scratch.table(both.groupBy(F.col("x").alias("doc")).agg(F.least(F.min("y"), F.first("x")).alias("comp")))
     while True:
-        low = both.join(label, both.x == label.doc).groupBy(F.col("y").alias("doc")).agg(F.min("comp").alias("m"))
-        best = label.join(low, "doc", "left").select("doc", "comp", F.least("comp", "m").alias("new"))
-        step = label.select(F.col("doc").alias("new"), F.col("comp").alias("far"))
-        after = scratch.table(best.join(step, "new", "left").select("doc", F.col("comp").alias("old"), F.coalesce(F.least("new", "far"), F.col("new")).alias("comp")))
+        after = scratch.table(_step(both, _step(both, label)).join(label.withColumnRenamed("comp", "old"), "doc"))
         moved = after.where("comp < old").limit(1).count()
         scratch.drop(label)
         label = after.select("doc", "comp")
@@ -228,6 +225,14 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
             return label
 
 
+def _step(both: DataFrame, label: DataFrame) -> DataFrame:
+    """The least label among a doc and its neighbours, and that label's own label."""
+    low = both.join(label, both.x == label.doc).groupBy(F.col("y").alias("doc")).agg(F.min("comp").alias("m"))
+    best = label.join(low, "doc").select("doc", F.least("comp", "m").alias("new"))
+    far = label.select(F.col("doc").alias("new"), F.col("comp").alias("far"))
+    return best.join(far, "new", "left").select("doc", F.least("new", F.coalesce("far", "new")).alias("comp"))
+
+
 def _needed(table: DataFrame) -> DataFrame:
     """Rows (key, doc, side, need, ...) of documents that still have as many repeated sketches as a partner needs."""
     w = Window.partitionBy("doc", "side")
@@ -252,7 +257,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
         wire = _emit(narrow, 4 * tasks, spread)
-        raw = scratch.table(repeated(wire, ["doc", "side"], ["long", "byte"], tasks))
+        raw = scratch.table(repeated(wire, ["doc", "side"], ["long", "byte"], tasks, 4 * tasks, short=True))
         scratch.free_shuffles()
         pick = [F.max(F.when(F.col("side") == v, F.col("key"))).alias(k) for k, v in _META.items()]
         meta = scratch.table(raw.where("pass_").groupBy("doc").agg(*pick).withColumns(_needs()))
@@ -269,39 +274,59 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     table = scratch.table(_needed(raw.where("not pass_").select("key", "doc", "side").join(reps.select("doc", "n", "u0", "u1", "t0", "t1"), "doc").select("key", "doc", "side", "n", need.alias("need"))).drop("k"))
     scratch.drop(raw, meta)
     kept = table.count()
-    table = scratch.table(_needed(_again(scratch, table, kept).drop("c")).drop("k"))
+    first, table = table, scratch.table(_needed(_again(scratch, table, kept).drop("c")).drop("k"))
+    scratch.drop(first)
+    scratch.free_shuffles()
     active = scratch.table(table.select("doc").distinct())
     sets = scratch.table(_sets(narrow.join(active, narrow.id_ == active.doc, "left_semi")))
     scratch.free_shuffles()
     links, label = None, None
+    table = scratch.table(table.withColumn("comp", F.col("doc")))
+    kept = table.count()
+    enough = max(100_000, kept // 2)
     for turn in range(LEADER_ROUNDS):
-        kept = table.count()
-        if not kept:
+        # Rows that joining all open keys with themselves would give; few enough for the size of the input ends the rounds.
+        if not kept or _cross_rows(table) <= enough * (turn > 0):
+            break
+        lead = F.min_by(F.struct("doc", "n", "comp"), F.xxhash64("doc", F.lit(turn))).alias("lead")
+        led = _again(scratch, table, kept, lead).where("lead.comp <> comp").where(_like(F.col("n"), F.col("lead.n")))
+        votes = led.groupBy("doc", F.col("lead.doc").alias("a")).agg(F.count("*").alias("v"))
+        best = F.slice(F.sort_array(F.collect_list(F.struct("v", "a")), asc=False), 1, LEADERS)
+        pairs = votes.groupBy("doc").agg(best.alias("best")).select(F.explode("best.a").alias("a"), F.col("doc").alias("b"))
+        found = _verified(scratch, scratch.table(pairs), sets, turn > 0)
+        if not found.limit(1).count():
             break
-        lead = F.min_by(F.struct("doc", "n"), F.xxhash64("doc", F.lit(turn))).alias("lead")
-        led = _again(scratch, table, kept, lead).where("lead.doc <> doc")
-        votes = led.where(_like(F.col("n"), F.col("lead.n"))).groupBy("doc", F.col("lead.doc").alias("a")).agg(F.count("*").alias("v"))
-        pairs = votes.groupBy("doc").agg(F.max_by("a", F.struct("v", "a")).alias("a")).select("a", F.col("doc").alias("b"))
-        found = _verified(scratch, scratch.table(pairs), sets, False)
         links = found if links is None else links.unionByName(found)
         label = components(scratch, links)
-        table = scratch.table(_open_keys(table, label, kept))
-    if links is None:
-        return classed.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
+        smaller = scratch.table(_open_keys(table.drop("comp"), label, kept))
+        scratch.drop(table)
+        scratch.free_shuffles()
+        table = smaller
+        kept = table.count()
     kept = table.count()
     if kept:
         counted = _needed(_again(scratch, table, kept))
         w = Window.partitionBy("doc", "side").orderBy("c", "key")
-        prefix = scratch.table(_labelled(counted.withColumn("r", F.row_number().over(w)).where("r <= k - need + 1"), label).select("key", "doc", "n", "comp"))
+        prefix = scratch.table(counted.withColumn("r", F.row_number().over(w)).where("r <= k - need + 1").select("key", "doc", "n", "comp"))
         x, y = prefix.alias("x"), prefix.alias("y")
         pairs = x.join(y, F.expr("x.key = y.key and x.doc < y.doc and x.comp <> y.comp")).where(_like(F.col("x.n"), F.col("y.n")))
         pairs = pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-        links = links.unionByName(_verified(scratch, scratch.table(pairs), sets, True))
+        found = _verified(scratch, scratch.table(pairs), sets, True)
+        links = found if links is None else links.unionByName(found)
         label = components(scratch, links)
+    if links is None:
+        return classed.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
     joined = split_join(classed, label.select(F.col("doc").alias("rep"), "comp").join(classed.groupBy("rep").agg(F.count("*").alias("c")), "rep"), ["rep"], "c", rows)
     return joined.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
 
+def _cross_rows(table: DataFrame) -> int:
+    """Pairs of rows with one key and different components."""
+    each = table.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    pairs = each.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("p"))
+    return int(pairs.agg(F.sum("p").alias("p")).first().p or 0)
+
+
 def _like(x: Column, y: Column) -> Column:
     return (4 * x >= 3 * y) & (4 * y >= 3 * x)
 
@@ -322,10 +347,10 @@ def _labelled(table: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _open_keys(table: DataFrame, label: DataFrame, rows: int) -> DataFrame:
-    """Rows of the keys that still span several components."""
+    """Rows of the keys that still span several components, with the component."""
     t = _labelled(table, label)
     spans = t.groupBy("key").agg(F.min("comp").alias("lo_"), F.max("comp").alias("hi_"), F.count("*").alias("c")).where("lo_ < hi_").drop("lo_", "hi_")
-    return split_join(table, spans, ["key"], "c", rows).where("c is not null").drop("c")
+    return split_join(t, spans, ["key"], "c", rows).where("c is not null").drop("c")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
