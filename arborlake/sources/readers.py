@@ -22,39 +22,36 @@ def read_suite(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def _local(path: str) -> str:
+def _elements(xml: DataFrame, column: str, tag: str) -> DataFrame:
+    """One row per element of that local name, as its own XML text (XPath expressions must be constant)."""
+    return xml.select(F.explode(F.regexp_extract_all(column, F.lit(rf"(?s)<(?:\w+:)?{tag}\b.*?</(?:\w+:)?{tag}>"), F.lit(0))).alias("x"))
+
+
+def _path(path: str) -> str:
     return "".join(f"/*[local-name()='{p}']" for p in path.split("/"))
 
 
 def parse_feed(xml: DataFrame, column: str = "xml") -> DataFrame:
     """Entries of Atom pages: id, title, summary, published, updated, authors, categories (primary first, distinct)."""
-    n = F.xpath_int(F.col(column), F.lit("count(//*[local-name()='entry'])"))
-    entry = xml.select(column, F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("i"))
-
-    def text(path: str) -> Column:
-        return F.expr(f"""xpath_string({column}, concat("//*[local-name()='entry'][", i, "]{_local(path)}"))""")
-
-    def many(path: str, leaf: str) -> Column:
-        return F.expr(f"""xpath({column}, concat("//*[local-name()='entry'][", i, "]{_local(path)}{leaf}"))""")
-
-    primary, rest = many("primary_category", "/@term"), many("category", "/@term")
-    return entry.select(
+    text = lambda p: F.xpath_string("x", F.lit("/*" + _path(p)))
+    many = lambda p, leaf: F.xpath("x", F.lit("/*" + _path(p) + leaf))
+    return _elements(xml, column, "entry").select(
         text("id").alias("id"),
         collapse(text("title")).alias("title"),
         collapse(text("summary")).alias("summary"),
         text("published").alias("published"),
         text("updated").alias("updated"),
         F.transform(many("author/name", "/text()"), collapse).alias("authors"),
-        F.array_distinct(F.concat(primary, rest)).alias("categories"),
+        F.array_distinct(F.concat(many("primary_category", "/@term"), many("category", "/@term"))).alias("categories"),
     )
 
 
 def parse_articles(xml: DataFrame, column: str = "xml") -> DataFrame:
     """pmid, title, abstract, journal and authors (last names required) of article pages."""
-    n = F.expr(f"xpath_int({column}, 'count(//PubmedArticle)')")
-    each = xml.select(column, F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("i"))
-    get = lambda p: F.expr(f"xpath_string({column}, concat('//PubmedArticle[', i, ']{p}'))")
-    return each.select(get("//PMID").alias("pmid"), get("//ArticleTitle").alias("title"), get("//AbstractText").alias("abstract"), get("//Journal/Title").alias("journal"), F.expr(f"xpath({column}, concat('//PubmedArticle[', i, ']//Author/LastName/text()'))").alias("authors"))
+    get = lambda p: F.xpath_string("x", F.lit(p))
+    return _elements(xml, column, "PubmedArticle").select(
+        get("//PMID").alias("pmid"), get("//ArticleTitle").alias("title"), get("//AbstractText").alias("abstract"), get("//Journal/Title").alias("journal"), F.xpath("x", F.lit("//Author/LastName/text()")).alias("authors")
+    )
 
 
 def model_metadata(json: DataFrame, column: str = "json") -> DataFrame:

@@ -110,7 +110,6 @@ def test_sentences_and_spans():
     span, cut = evidence.verification_span("second sentence also", page)
     assert span == page and not cut
     assert evidence.verification_span("absent words", page) == ("absent words", True)
-    assert evidence.find_quote("the second sentense also has quite many words", page) is None or True
     assert evidence.find_quote("One first sentence has many words in THAT The second sentence also", page).startswith("One first")
     assert evidence.find_quote("short", page) is None
 
@@ -135,8 +134,8 @@ def test_context_package_budget_and_closure():
 
 def test_fit_response_keeps_one_paper():
     r = {"papers": [{"id": i, "abstract": "a" * 2000, "items": [1, 2, 3]} for i in range(4)]}
-    out = context.fit_response(r, 60)
-    assert out["paper_count"] == 1 and context.estimate({"papers": out["papers"]}) <= 60
+    out = context.fit_response(r, 15)
+    assert out["paper_count"] == 1 and context.estimate({"papers": out["papers"]}) <= 15
 
 
 def test_text_scores():
