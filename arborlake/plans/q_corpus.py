@@ -8,20 +8,25 @@ from ..functions.arrays import array_literal, category_tokens, prefix_year
 from ..operators import corpus, versions
 from .registry import query
 
-CODES = F.split(F.concat_ws(" ", "lang", "source"), " ")
 SQL_CODES = "string_split(concat_ws(' ', lang, source), ' ')"
+
+
+def codes():
+    return F.split(F.concat_ws(" ", "lang", "source"), " ")
+
+
 POLICY = corpus.RetentionPolicy(["en", "src3"], "any")
 
 
 @query("category_any", f"SELECT doc_id FROM documents WHERE list_has_any({SQL_CODES}, ['fr', 'src3'])")
 def category_any(t):
-    return t("documents").where(F.arrays_overlap(CODES, array_literal(["fr", "src3"]))).select("doc_id")
+    return t("documents").where(F.arrays_overlap(codes(), array_literal(["fr", "src3"]))).select("doc_id")
 
 
 @query("category_all", f"SELECT doc_id FROM documents WHERE list_has_all({SQL_CODES}, ['en', 'src3'])")
 def category_all(t):
     policy = corpus.RetentionPolicy(["en", "src3"], "all")
-    return corpus.retain(t("documents"), policy, CODES, F.lit(None).cast("string")).select("doc_id")
+    return corpus.retain(t("documents"), policy, codes(), F.lit(None).cast("string")).select("doc_id")
 
 
 @query("date_window", "SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1995-03-01' AND '1996-02-29'")
@@ -32,7 +37,7 @@ def date_window(t):
 
 @query("policy_violations", f"SELECT count(*) FILTER (NOT coalesce(list_has_any({SQL_CODES}, ['en', 'src3']), false)) AS violations FROM documents")
 def policy_violations(t):
-    return corpus.violations(t("documents"), POLICY, CODES, F.lit(None).cast("string"))
+    return corpus.violations(t("documents"), POLICY, codes(), F.lit(None).cast("string"))
 
 
 @query("missing_core", "SELECT count(*) FILTER (doc_id IS NULL) AS no_id, count(*) FILTER (text IS NULL OR text = '') AS no_text, count(*) FILTER (lang IS NULL OR lang = '') AS no_lang FROM documents")
