@@ -35,7 +35,7 @@ from ._scratch import Scratch
 from ._spread import split_join
 
 SHINGLE, BITS, LEADER_ROUNDS, LEADERS = 5, 2048, 8, 2
-_META = {"f1": 10, "f2": 11, "n": 12, "u0": 13, "u1": 14}
+_META = {"f1": 10, "f2": 11, "n": 12, "u0": 13, "u1": 14, "sent": 15}
 
 
 def edges_of_bands(top: int = 200) -> np.ndarray:
@@ -128,7 +128,7 @@ def _emit(docs: DataFrame, owners: int, spread: float) -> DataFrame:
                 f1, f2 = np.zeros(b - a, U64), np.zeros(b - a, U64)
                 if len(has):
                     f1[has], f2[has] = np.bitwise_xor.reduceat(mix(s), start), np.add.reduceat(mix(s ^ U64(0x5851F42D4C957F2D)), start)
-                # A set that this block has sent already is not sent again; its class is found by the fingerprints.
+                # A set that this block has sent already is not sent again; its class is found by the fingerprints, and `sent` tells whose sketches stand for it.
                 fresh = np.zeros(b - a, bool)
                 for i in has.tolist():
                     f = (int(f1[i]), int(f2[i]))
@@ -144,7 +144,7 @@ def _emit(docs: DataFrame, owners: int, spread: float) -> DataFrame:
                     held[1].append(doc[owner])
                     held[2].append(np.full(len(key), side, np.int8))
                     n_rows += len(key)
-                meta = {"f1": f1, "f2": f2, "n": n, "u0": counts[0], "u1": counts[1]}
+                meta = {"f1": f1, "f2": f2, "n": n, "u0": counts[0], "u1": counts[1], "sent": fresh}
                 rows = [((int(doc[0]) if b > a else 0) % owners, 9, np.asarray(v).astype(U64).tobytes(), b"", doc.tobytes(), np.full(b - a, _META[k], np.int8).tobytes()) for k, v in meta.items()]
                 yield to_batch(rows, ["doc", "side"])
                 if n_rows >= BLOCK:
@@ -267,11 +267,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
         spread *= 1.5
         scratch.drop(raw, meta)
     rows = meta.count()
-    classes = meta.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("c"))
-    classed = scratch.table(split_join(meta.select("doc", "n", "f1", "f2"), classes, ["f1", "f2", "n"], "c", rows).select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
-    reps = meta.join(classed.where("doc = rep").select("doc"), "doc", "left_semi")
+    # Of each class, the sketches of one document that sent them are taken; it need not be the smallest id.
+    sender = F.min(F.when(F.col("sent") == 1, F.col("doc"))).alias("sender")
+    classes = meta.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep"), sender, F.count("*").alias("c"))
+    classed = scratch.table(split_join(meta.select("doc", "n", "f1", "f2"), classes, ["f1", "f2", "n"], "c", rows).select("doc", "n", F.coalesce("rep", "doc").alias("rep"), "sender"))
+    reps = meta.join(classed.where("doc = sender").select("doc", "rep"), "doc")
     need = F.greatest(F.lit(1), F.when(F.col("side") == 0, F.col("u0") - F.col("t0")).otherwise(F.col("u1") - F.col("t1")))
-    table = scratch.table(_needed(raw.where("not pass_").select("key", "doc", "side").join(reps.select("doc", "n", "u0", "u1", "t0", "t1"), "doc").select("key", "doc", "side", "n", need.alias("need"))).drop("k"))
+    table = scratch.table(_needed(raw.where("not pass_").select("key", "doc", "side").join(reps.select("doc", "rep", "n", "u0", "u1", "t0", "t1"), "doc").select("key", F.col("rep").alias("doc"), "side", "n", need.alias("need"))).drop("k"))
     scratch.drop(raw, meta)
     kept = table.count()
     first, table = table, scratch.table(_needed(_again(scratch, table, kept).drop("c")).drop("k"))

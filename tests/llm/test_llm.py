@@ -99,6 +99,23 @@ def test_jaccard_against_brute_force(spark, docs, empty):
     assert jaccard_join.jaccard_components(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("order", ["descending", "shuffled"])
+def test_jaccard_of_equal_sets_in_any_row_order(spark, order):
+    r = random.Random(5)
+    texts = []
+    for _ in range(6):
+        base = " ".join(r.choice(VOCAB) for _ in range(120))
+        near = base.split()
+        near[60] = "changed"
+        texts += [base, base.upper(), base + " ", " ".join(near), " ".join(near)]
+    rows = list(enumerate(texts))[::-1]
+    if order == "shuffled":
+        r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark, df).collect()}
+    assert got == brute.jaccard(rows) and len({c for _, c in got.values()}) == 6
+
+
 def test_part_sketches_keep_the_pigeonhole():
     for n in (1, 3, 7, 20, 60, 150, 700, 4000):
         s = np.sort(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
