@@ -116,13 +116,16 @@ def top_cited(t):
     return t("orders").groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(15)
 
 
+def whole_pairs(t):
+    """All customers and orders; an order's node is its negated key."""
+    return t("orders").select(F.col("o_custkey").cast("long").alias("u"), (-F.col("o_orderkey")).cast("long").alias("v")).where("u is not null and v is not null").distinct()
+
+
 @query("label_propagation")
 def label_propagation(t):
-    return graph.label_propagation(sparse_pairs(t))
+    return graph.label_propagation(whole_pairs(t))
 
 
 @query("betweenness")
 def betweenness(t):
-    p = sparse_pairs(t).where("u < 40")
-    scores = graph.betweenness([(r.u, r.v) for r in p.limit(400).collect()])
-    return p.sparkSession.createDataFrame([(int(k), float(v)) for k, v in scores.items()], "node long, betweenness double")
+    return graph.betweenness_of_all(whole_pairs(t))

@@ -189,3 +189,23 @@ def test_feed_and_articles(spark):
     art = "<S><PubmedArticle><M><PMID>7</PMID><ArticleTitle>T</ArticleTitle><AbstractText>Ab</AbstractText><Journal><Title>J</Title></Journal><AuthorList><Author><LastName>L</LastName></Author><Author/></AuthorList></M></PubmedArticle></S>"
     (p,) = readers.parse_articles(spark.createDataFrame([(art,)], "xml string")).collect()
     assert (p.pmid, p.title, p.journal, p.authors) == ("7", "T", "J", ["L"])
+
+
+def test_betweenness_of_all_equals_the_plain_one(spark):
+    r = random.Random(3)
+    edges = sorted({tuple(sorted(r.sample(range(40), 2))) for _ in range(55)}) + [(100, 101), (101, 102)]
+    got = {x.node: x.betweenness for x in graph.betweenness_of_all(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = graph.betweenness(edges)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_graph_queries_without_sql_read_all_orders(spark, tmp_path):
+    from arborlake.plans import registry
+
+    orders = [(k, 1 + k % 45) for k in range(1, 91)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    nodes = {c for _, c in orders} | {-o for o, _ in orders}
+    want = graph.betweenness([(c, -o) for o, c in orders])
+    got = {x.node: x.betweenness for x in registry.QUERIES["betweenness"](spark, str(tmp_path)).collect()}
+    assert set(got) == nodes and all(abs(got[k] - want[k]) < 1e-9 for k in nodes)
+    assert {x.node for x in registry.QUERIES["label_propagation"](spark, str(tmp_path)).collect()} == nodes
