@@ -2,11 +2,13 @@
 
 Documents are linked when their texts are equal, so a group is a clique and its
 links need no pairs: a document's neighbours' shards are the group's histogram
-over shards. Groups larger than a part of a shard are first dealt into chunks,
-the units that move. Each round joins every unsettled unit with the shard where
-most of its members (the neighbours) already are, among shards with room, and
-admits units while the shard's row quota lasts. Unlinked documents, and units
-that found no room, then fill the quotas exactly.
+over shards. Groups larger than a part of a shard, a bounded number, settle
+first and by size: whole in one shard where it fits, and else each part follows
+its siblings over as few shards as have room. The others are units that move:
+each round joins every unsettled unit with the shard where most of its members
+(the neighbours) already are, among shards with room, and admits units while
+the shard's row quota lasts. Unlinked documents, and units that found no room,
+then fill the quotas exactly.
 """
 
 from __future__ import annotations
@@ -24,12 +26,28 @@ def _table(spark: SparkSession, values: list[int], name: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(values)), f"shard int, {name} long")
 
 
+def place_large(votes: dict[tuple, dict[int, int]], free: list[int]) -> tuple[list[tuple], list[int]]:
+    """((*group, from rank, to rank, shard) of each part of the groups, room left). votes: a group's rows by shard."""
+    free, parts = list(free), []
+    for group, seen in sorted(votes.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+        at, n = 0, sum(seen.values())
+        while at < n:
+            fits = [s for s, f in enumerate(free) if f >= n - at]
+            # The tightest shard that takes all that is left, or else the emptiest.
+            s = min(fits, key=lambda s: (free[s], -seen.get(s, 0), s)) if fits else max(range(len(free)), key=lambda s: (free[s], seen.get(s, 0), -s))
+            size = min(free[s], n - at)
+            parts.append((*group, at, at + size, s))
+            free[s] -= size
+            at += size
+    return parts, free
+
+
 def balanced_shards(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null).
 
     Row counts of two shards differ by one at most. Null text: no bytes, size 1,
     and linked with the empty text. Empty input: no rows. Ids are taken as unique.
-    Driver state: 3 numbers a shard.
+    Driver state: 3 numbers a shard, and for each of at most shards * CHUNKS large groups a histogram over shards.
     """
     scratch = Scratch(spark, "shard")
     raw = F.coalesce(F.col(text_col), F.lit(""))
@@ -45,15 +63,22 @@ def balanced_shards(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     tagged = split_join(index.select("id_", "g1", "g2"), linked, ["g1", "g2"], "n", rows)
     single = scratch.table(tagged.where("n is null").select("id_"))
     member = tagged.where("n is not null").withColumn("shard", start)
+    unit = ["g1", "g2"]
     # Only groups above the chunk size need ranks: at most shards * CHUNKS groups.
-    big = gapless_rank(member.where(F.col("n") > chunk), ["g1", "g2"], ["id_"], rows, name="r_").withColumn("chunk", F.floor(F.col("r_") / chunk).cast("long")).drop("r_")
-    member = scratch.table(member.where(F.col("n") <= chunk).withColumn("chunk", F.lit(0).cast("long")).unionByName(big).drop("n"))
-    unit = ["g1", "g2", "chunk"]
+    big = member.where(F.col("n") > chunk)
+    large: dict[tuple, dict[int, int]] = {}
+    for r in big.groupBy(*unit, "shard").agg(F.count("*").alias("c")).collect():
+        large.setdefault((r["g1"], r["g2"]), {})[r["shard"]] = r["c"]
+    parts, free = place_large(large, quota)
+    placed = None
+    if parts:
+        plan = F.broadcast(spark.createDataFrame(parts, "g1 long, g2 long, from_ long, to_ long, shard int"))
+        placed = gapless_rank(big.drop("shard"), unit, ["id_"], rows, name="r_").join(plan, unit).where("r_ >= from_ and r_ < to_").select("id_", "shard")
+    member = scratch.table(member.where(F.col("n") <= chunk).drop("n"))
     # At most `shards` rows a unit; the neighbours' shards, most frequent first.
     votes = member.groupBy(*unit, "shard").agg(F.count("*").alias("c"))
     waiting = scratch.table(votes.groupBy(*unit).agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("shard", "c"))).alias("votes")))
     settled = None
-    free = list(quota)
     for _ in range(rounds):
         room = F.create_map(*[F.lit(x) for s, f in enumerate(free) if f > 0 for x in (s, f)]) if any(f > 0 for f in free) else None
         if room is None:
@@ -75,12 +100,13 @@ def balanced_shards(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         if not used or waiting.isEmpty():
             break
     if settled is None:
-        placed, rest = None, single
+        rest = single
     else:
         # A unit has at most `chunk` rows, a fixed share of a shard, so this join has no hot key beyond it.
         with_shard = member.drop("shard").join(settled.select(*unit, "shard"), unit, "left")
         with_shard = scratch.table(with_shard.select("id_", "shard"))
-        placed = with_shard.where("shard is not null")
+        settled_rows = with_shard.where("shard is not null")
+        placed = settled_rows if placed is None else placed.unionByName(settled_rows)
         rest = single.unionByName(with_shard.where("shard is null").select("id_"))
     ends, total = [], 0
     for f in free:

@@ -167,6 +167,17 @@ def test_sharding(spark, docs, empty):
     assert sharding.balanced_shards(spark, empty).count() == 0
 
 
+def test_large_groups_stay_in_as_few_shards_as_they_need(spark):
+    sizes = {"third": 533, "a": 99, "b": 80, "c": 60, "d": 40, "e": 26, "f": 20}
+    texts = [t for t, n in sizes.items() for _ in range(n)]
+    texts += [f"single {i}" for i in range(1600 - len(texts))]
+    rows = sharding.balanced_shards(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    n = rows.groupby("shard").size()
+    assert len(rows) == 1600 == rows.doc_id.nunique() and set(n) == {100}
+    used = rows.assign(text=[texts[i] for i in rows.doc_id]).groupby("text").shard.nunique()
+    assert {t: int(used[t]) for t in sizes} == {t: 6 if t == "third" else 1 for t in sizes}
+
+
 def test_url_rules_and_odd_urls(spark):
     urls = {1: "https://a.example.net/en/1?x", 2: "http://Example.NET/fr", 3: "http://b.example.com/de/x#y", 4: "http://x.org/fr/", 5: "http://notexample.com/de/", 6: None, 7: "no url", 8: "http://org", 9: "http://x.org/q?u=http://a.example.net/en/", 10: "ftp://net/", 11: "http://m.net/example.com/de/", 12: "http://spam-farm.example.org/a", 13: "http://ok.example.org/" + "z" * 3000}
     df = spark.createDataFrame(list(urls.items()), "page_id long, url string")
