@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW, MIN_LITERALS, MIN_SHARE = 8, 5, 0.25
+#: So many matching windows of one alignment count whatever the item's length: a passage of 20 tokens.
+MIN_RUN = 13
 #: Benchmark windows up to which their side is broadcast (some 30 MB); above, both sides are shuffled by hash.
 BROADCAST_WINDOWS = 500_000
 NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"
@@ -60,13 +62,42 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return each.join(total, "item").select("anchor", "offset", "w", "item", "ipos", "total", "slots")
 
 
+def plain_tokens(text: Column) -> Column:
+    """array<string> of lower-cased words, slots and all (an empty one may stand at either end)."""
+    return F.split(F.lower(F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME, "   ")), SEPARATORS)
+
+
+def whole_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, words, anchor, offset, size): items with their longest word."""
+    each = benchmark.select(F.col(item_col).alias("item"), F.filter(plain_tokens(F.col(text_col)), lambda w: w != "").alias("words")).where(F.size("words") > 0).dropDuplicates()
+    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    each = each.withColumn("anchor", longest)
+    return each.withColumn("offset", F.array_position("words", F.col("anchor")).cast("int") - 1).withColumn("size", F.size("words"))
+
+
+def _whole_matches(tok: DataFrame, whole: DataFrame, n_items: int) -> DataFrame:
+    """Documents that have all words of an item in a row, compared word by word."""
+    spots = whole.select("anchor", "offset", "size").distinct()
+    keys = whole.select(F.xxhash64("words").alias("w"), "words", "item").distinct()
+    if n_items <= BROADCAST_WINDOWS:
+        spots, keys = F.broadcast(spots), F.broadcast(keys)
+    every = tok.select("doc", "tok", F.posexplode("tok").alias("pos", "anchor"))
+    near = every.join(spots, "anchor").withColumn("from_", F.col("pos") - F.col("offset"))
+    near = near.where((F.col("from_") >= 0) & (F.col("from_") + F.col("size") <= F.size("tok"))).select("doc", F.slice("tok", F.col("from_") + 1, F.col("size")).alias("part")).distinct()
+    hit = near.withColumn("w", F.xxhash64("part")).join(keys, "w").where("part = words").select("doc", "item").distinct()
+    one = F.lit(1).cast("long")
+    return hit.select("doc", "item", one.alias("total"), one.alias("n_matched"), F.lit(True).alias("verbatim"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item, n_windows, n_matched, share, verbatim): documents that hold a quarter or more of an item's windows.
+    """(id, item, n_windows, n_matched, share, verbatim): documents that hold a quarter or more of an item's windows, or MIN_RUN in one alignment.
 
-    A document id at most once an item. Null and empty texts, and items of under
-    8 tokens or without a window of 5 literal words, match nothing; repeated
+    A document id at most once an item. Items of under 8 tokens or without a
+    window of 5 literal words are found where a document has all their words in
+    a row, as one window. Null, empty and wordless texts match nothing; repeated
     documents and items give the same rows once. Either table empty: no rows.
     """
+    items = benchmark
     bench = benchmark_windows(benchmark, item_col, item_text).persist()
     spots = bench.select("anchor", "offset").distinct()
     if bench.count() <= BROADCAST_WINDOWS:
@@ -86,8 +117,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     lines = hit.groupBy("doc", "item", "total", "line").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     fixed = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     lines = lines.where(fixed == F.size("pairs")).withColumn("same", F.forall("pairs", lambda p: p["i"] == p["d"]))
-    found = lines.select("doc", "item", "total", "same", F.explode("at").alias("ipos")).groupBy("doc", "item", "total").agg(F.countDistinct("ipos").alias("n_matched"), F.bool_and("same").alias("verbatim"))
-    return found.where((F.col("n_matched") >= F.least(F.lit(3), F.col("total"))) & (F.col("n_matched") >= MIN_SHARE * F.col("total"))).select(
+    found = lines.select("doc", "item", "total", "same", F.size("at").alias("run"), F.explode("at").alias("ipos")).groupBy("doc", "item", "total").agg(F.countDistinct("ipos").alias("n_matched"), F.bool_and("same").alias("verbatim"), F.max("run").alias("run"))
+    enough = (F.col("n_matched") >= F.least(F.lit(3), F.col("total"))) & (F.col("n_matched") >= MIN_SHARE * F.col("total"))
+    found = found.where(enough | (F.col("run") >= MIN_RUN)).drop("run")
+    whole = whole_items(items, item_col, item_text).join(bench.select("item").distinct(), "item", "left_anti").persist()
+    n_whole = whole.count()
+    if n_whole:
+        found = found.unionByName(_whole_matches(docs.select(F.col(id_col).alias("doc"), plain_tokens(F.col(text_col)).alias("tok")), whole, n_whole))
+    return found.select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("total").alias("n_windows"), "n_matched", (F.col("n_matched") / F.col("total")).alias("share"), "verbatim"
     )
 

@@ -310,6 +310,18 @@ def test_decontamination(spark, empty):
     assert decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench.where("item_id > 9")).count() == 0
 
 
+def test_decontamination_of_long_and_short_items(spark):
+    r = random.Random(8)
+    long = " ".join(r.choice(VOCAB) for _ in range(400))
+    passage = " ".join(long.split()[100:160])
+    items = [(1, long), (2, "Add 12 and 35"), (3, "What is 3 km 5 kg 7 cm 9 mm 11 g"), (4, "?!")]
+    rows = [(1, "before this " + passage + " after it"), (2, "so, add 12 and 35!"), (3, "they ask What is 3 km, 5 kg, 7 cm, 9 mm, 11 g"), (4, "add 12 and 36"), (5, long.upper())]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {k for k in got if k[0] < 5} == {(1, 1), (2, 2), (3, 3)}
+    assert got[1, 1].share < 0.25 and got[2, 2].verbatim
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline_against_plain_versions(spark):
     import corpus_pipeline
