@@ -6,10 +6,11 @@ tokens are hash-joined: a benchmark window is found through its longest literal
 word, and where a document has that word, the hash of the template window at
 the same offset must agree. So all words of all documents are looked up, and
 only windows around a benchmark's long words are ever built.
-Hits are grouped by document, item and alignment; an alignment counts only if
-its slots are consistent: each value of the item stands for one value in the
-document throughout, so a question with other numbers or names is still caught
-while a chance likeness of templates is not.
+Hits are grouped by document, item and alignment. A slot is consistent if its
+value in the item stands for the same value in the document as in most of the
+alignment's other slots; where under half of the slots are, the windows with the
+others are dropped. So a question with other numbers or names is still caught,
+equal values in different roles too, while a chance likeness of templates is not.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ MIN_RUN = 13
 #: Benchmark windows up to which their side is broadcast (some 30 MB); above, both sides are shuffled by hash.
 BROADCAST_WINDOWS = 500_000
 NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"
+#: Stand for '.' and ',' between digits, so that a decimal or grouped number is one token.
+POINT, COMMA = "\ue000", "\ue001"
 UNITS = "km|m|cm|mm|kg|g|mg|t|l|ml|s|min|h|hours?|minutes?|seconds?|days?|weeks?|years?|meters?|metres?|miles?|feet|inches|pounds?|dollars?|euros?|percent|usd|eur|mph|kmh|degrees?"
 
 
@@ -32,9 +35,10 @@ SEPARATORS = "[\\x00\\x04-/:-@\\[-`{-\\xa9\\xab-\\xb4\\xb6-\\xb9\\xbb-\\xbf\\xd7
 
 def marked_tokens(text: Column) -> Column:
     """array<string> of lower-cased words (an empty one may stand at either end); a slot's word follows its marker. Markers in the text itself are dropped."""
-    t = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME, "   ")
-    t = F.when(t.rlike("[0-9]"), F.regexp_replace(t, "([0-9]+)", NUMBER + "$1 ")).otherwise(t)
-    t = F.when(F.instr(t, NUMBER) > 0, F.regexp_replace(t, rf"(\x01[0-9]+ \s*)((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2")).otherwise(t)
+    t = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME + POINT + COMMA, "     ")
+    whole = F.regexp_replace(F.regexp_replace(t, "(?<=[0-9])[.](?=[0-9])", POINT), "(?<=[0-9]),(?=[0-9])", COMMA)
+    t = F.when(t.rlike("[0-9]"), F.regexp_replace(whole, f"([0-9]+(?:[{POINT}{COMMA}][0-9]+)*)", NUMBER + "$1 ")).otherwise(t)
+    t = F.when(F.instr(t, NUMBER) > 0, F.regexp_replace(t, rf"(\x01[0-9{POINT}{COMMA}]+ \s*)((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2")).otherwise(t)
     t = F.regexp_replace(t, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},;:] )", " " + NAME)
     return F.split(F.lower(t), SEPARATORS)
 
@@ -62,6 +66,18 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return each.join(total, "item").select("anchor", "offset", "w", "item", "ipos", "total", "slots")
 
 
+def conflicts(pairs: Column) -> Column:
+    """Item positions of the slots (at, i, d) whose item value mostly stands for another value; of equally frequent ones the smallest counts."""
+    kinds = F.array_distinct(F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))))
+    values = F.array_distinct(F.transform(pairs, lambda p: p["i"]))
+    counted = F.transform(kinds, lambda k: F.struct(k["i"].alias("i"), (-F.size(F.filter(pairs, lambda p: (p["i"] == k["i"]) & (p["d"] == k["d"])))).alias("c"), k["d"].alias("d")))
+    main = F.transform(values, lambda v: F.array_min(F.filter(counted, lambda k: k["i"] == v)))
+    fits = F.transform(main, lambda m: F.struct(m["i"].alias("i"), m["d"].alias("d")))
+    other = F.filter(pairs, lambda p: ~F.array_contains(fits, F.struct(p["i"].alias("i"), p["d"].alias("d"))))
+    none = F.array().cast("array<int>")
+    return F.when(F.size(values) == F.size(kinds), none).otherwise(F.transform(other, lambda p: p["at"]))
+
+
 def plain_tokens(text: Column) -> Column:
     """array<string> of lower-cased words, slots and all (an empty one may stand at either end)."""
     return F.split(F.lower(F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME, "   ")), SEPARATORS)
@@ -112,11 +128,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     keyed = near.select("doc", "dpos", "part", F.xxhash64(templates(F.col("part"))).alias("w"))
     hit = keyed.join(bench, "w").select("doc", "item", "total", "ipos", (F.col("dpos") - F.col("ipos")).alias("line"), "slots", "part")
     is_slot = lambda x: x < F.lit("\x04")
-    pair = F.filter(F.arrays_zip(F.col("slots").alias("i"), F.col("part").alias("d")), lambda p: is_slot(p["i"]))
+    zipped = F.arrays_zip(F.col("slots").alias("i"), F.col("part").alias("d"))
+    pair = F.filter(F.transform(zipped, lambda p, k: F.struct((F.col("ipos") + k).alias("at"), p["i"].alias("i"), p["d"].alias("d"))), lambda p: is_slot(p["i"]))
     hit = hit.select("doc", "item", "total", "line", "ipos", pair.alias("pairs"))
     lines = hit.groupBy("doc", "item", "total", "line").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    fixed = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    lines = lines.where(fixed == F.size("pairs")).withColumn("same", F.forall("pairs", lambda p: p["i"] == p["d"]))
+    bad = conflicts(F.col("pairs"))
+    lines = lines.withColumn("bad", bad).withColumn("same", F.forall("pairs", lambda p: p["i"] == p["d"]))
+    clear = F.filter("at", lambda x: ~F.exists("bad", lambda b: (b >= x) & (b < x + WINDOW)))
+    lines = lines.withColumn("at", F.when(2 * F.size("bad") <= F.size("pairs"), F.col("at")).otherwise(clear))
     found = lines.select("doc", "item", "total", "same", F.size("at").alias("run"), F.explode("at").alias("ipos")).groupBy("doc", "item", "total").agg(F.countDistinct("ipos").alias("n_matched"), F.bool_and("same").alias("verbatim"), F.max("run").alias("run"))
     enough = (F.col("n_matched") >= F.least(F.lit(3), F.col("total"))) & (F.col("n_matched") >= MIN_SHARE * F.col("total"))
     found = found.where(enough | (F.col("run") >= MIN_RUN)).drop("run")

@@ -322,6 +322,16 @@ def test_decontamination_of_long_and_short_items(spark):
     assert got[1, 1].share < 0.25 and got[2, 2].verbatim
 
 
+def test_decontamination_of_slots_that_conflict(spark):
+    decimal = "a cyclist first rides along the river for 3.5 km and then through the old forest for 3.7 km before lunch"
+    roles = "a farmer carries 5 apples to the village market and later brings 5 pears home in a wooden basket"
+    copied = "there are 4 red chairs and 4 blue tables in the large dining hall near the kitchen where guests sit and eat their soup"
+    items = [(1, decimal), (2, roles), (3, copied)]
+    rows = [(1, decimal.replace("3.5", "2.5").replace("3.7", "4.1")), (2, roles.replace("5 apples", "7 apples").replace("5 pears", "9 pears")), (3, copied.replace("4 blue", "8 blue")), (4, decimal.replace("3.5", "1,250"))]
+    got = {(x.doc_id, x.item_id): x.verbatim for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): False, (2, 2): False, (3, 3): False, (4, 1): False}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline_against_plain_versions(spark):
     import corpus_pipeline
