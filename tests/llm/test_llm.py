@@ -296,6 +296,21 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.predict(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), nothing).collect()} == {0}
 
 
+def test_rare_toxic_words_count(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(VOCAB) for _ in range(30)), int(i % 2)) for i in range(200)]
+    fold = {x.id: x.f for x in spark.range(200).select("id", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(4)).alias("f")).collect()}
+    for i in [i for i, _, y in rows if y and fold[i] > 0][:2]:
+        rows[i] = (i, rows[i][1] + " scumword", 1)
+    model = toxicity.train(spark.createDataFrame(rows, "id_ long, text string, toxic int"))
+
+    def evidence(text):
+        h, _, _, t = _bytes.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), True, _bytes.NOT_ALNUM)
+        return model.ratio(h, t)[-1]
+
+    assert evidence("unseen scumword") > 0.1 and evidence("unseen alsounseen") == 0
+
+
 def test_decontamination(spark, empty):
     q = "a train leaves the old station with 12 green wagons and meets Anna after 30 km near the quiet river"
     same = q
