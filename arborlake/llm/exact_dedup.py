@@ -3,10 +3,10 @@
 Index: one narrow row per document (doc_id, 64-bit hash, SHA-256, length) in the
 shared folder. A directory of 2^depth cells over the leading hash bits starts as
 one bucket; overfull buckets split on the next bit, doubling the directory, up
-to `depth`. Each row goes to the bucket its cell points at. Owner tasks process
-ranges of (bucket, hash): entries with one hash are chained, and the bytes of
-the normalised texts are compared (grouping on the bytes themselves, collapsed
-per map task before the shuffle, so a group of copies costs one row per task).
+to `depth`. Each row carries the bucket its cell points at, but the directory
+decides nothing: a plain grouping on (bucket, hash, text) compares the bytes of
+the normalised texts. It is collapsed per map task before the shuffle, so a group
+of copies costs one row per task, and Spark deals the keys out by their hash.
 """
 
 from __future__ import annotations
