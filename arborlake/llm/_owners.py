@@ -21,9 +21,11 @@ from ._bytes import U64
 #: Rows of a map block; a block's arrays are what a Python worker holds.
 BLOCK = 400_000
 
-def send(key: np.ndarray, multi_unit: np.ndarray, rest: list[np.ndarray], owners: int, salt: int, short: bool = False) -> list[tuple]:
+
+def send(key: np.ndarray, multi_unit: np.ndarray, rest: list[np.ndarray], owners: int, salt: int, short: bool = False, useful: np.ndarray | None = None) -> list[tuple]:
     """Packed rows of one block. multi_unit: what a key must differ in to count as repeated (document, run).
 
+    useful: rows of which a repeated key needs one at least (all, by default).
     short: only 40 bits of a key travel (beside its owner), for uses where a
     false repeat costs work but no result. Within an owner, rows keep the order
     of the documents, so their columns compress.
@@ -34,7 +36,10 @@ def send(key: np.ndarray, multi_unit: np.ndarray, rest: list[np.ndarray], owners
     group = np.cumsum(first) - 1
     starts = np.flatnonzero(first)
     unit = multi_unit[order]
-    many = (np.minimum.reduceat(unit, starts) != np.maximum.reduceat(unit, starts))[group]
+    many = np.minimum.reduceat(unit, starts) != np.maximum.reduceat(unit, starts)
+    if useful is not None:
+        many &= np.logical_or.reduceat(useful[order], starts)
+    many = many[group]
     lead, repeated_ = np.empty(len(key), bool), np.empty(len(key), bool)
     lead[order], repeated_[order] = first, many
     owner = ((key >> U64(40)) % U64(owners)).astype(np.int64)
@@ -70,57 +75,69 @@ def to_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["owner", "kind", "key", "flag", *names])
 
 
-def repeated(wire: DataFrame, names: list[str], types: list[str], tasks: int, owners_of_keys: int, short: bool = False) -> DataFrame:
-    """(key long, names...) rows whose key repeats over units. Rows of kind 9 pass through as they are (flag `pass_`)."""
+def owner_groups(batches: Iterator[pa.RecordBatch], types: list[type], short: bool, owners: int) -> Iterator[tuple]:
+    """What a task gets, whose blocks are sorted by owner: ("pass", raw bytes), ("sure", key, rest), and per owner, one at a time, ("own", key, flag, follow, rest).
+
+    So a worker holds the blocks of one owner, however many owners its task has.
+    """
+    held: list[tuple] = []
+    current = None
+
+    def group() -> tuple:
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
+        return "own", *cols[:3], cols[3:]
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            owner, kind = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            raw = batch.column(2)[i].as_buffer()
+            if kind >= 8:
+                yield "pass", kind, raw.to_pybytes(), [c[i].as_buffer().to_pybytes() for c in batch.columns[4:]]
+                continue
+            rest = [np.frombuffer(c[i].as_buffer(), t) for c, t in zip(batch.columns[4:], types, strict=True)]
+            if kind == 1:
+                key = np.frombuffer(raw, np.uint64)
+                yield "sure", (key & U64((1 << 40) - 1)) | (((key >> U64(40)) % U64(owners)) << U64(40)) if short else key, rest
+                continue
+            if owner != current and held:
+                yield group()
+            current = owner
+            key = _wide(np.frombuffer(raw, np.uint8), owner) if short else np.frombuffer(raw, np.uint64)
+            flag = np.frombuffer(batch.column(3)[i].as_buffer(), bool) if kind == 0 else np.zeros(len(key), bool)
+            held.append((key, flag, np.full(len(key), kind == 2), *rest))
+    if held:
+        yield group()
+
+
+def to_owners(wire: DataFrame, tasks: int) -> DataFrame:
+    return wire.repartition(tasks, "owner").sortWithinPartitions("owner")
+
+
+def repeated(wire: DataFrame, names: list[str], types: list[str], tasks: int, owners: int, short: bool = False) -> DataFrame:
+    """(key long, names...) rows whose key repeats over units."""
     np_types = {"long": np.int64, "int": np.int32, "byte": np.int8}
+    kinds = [np_types[t] for t in types]
+
+    def emit(key: np.ndarray, rest: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(key), 1 << 18):
+            s = slice(a, a + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), *(pa.array(r[s]) for r in rest)], ["key", *names])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, flags, rests, blocks, inner = [], [], [[] for _ in names], [], []
-        n = 0
-
-        def emit(key: np.ndarray, rest: list[np.ndarray], passed: bool) -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(key), 1 << 18):
-                s = slice(a, a + (1 << 18))
-                arrays = [pa.array(key[s].view(np.int64)), *(pa.array(r[s]) for r in rest), pa.array(np.full(len(key[s]), passed))]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", *names, "pass_"])
-
-        for batch in batches:
-            cols = [batch.column(i) for i in range(batch.num_columns)]
-            for i in range(batch.num_rows):
-                kind = cols[1][i].as_py()
-                raw = cols[2][i].as_buffer()
-                if short and kind in (0, 2):
-                    key = _wide(np.frombuffer(raw, np.uint8), cols[0][i].as_py())
-                else:
-                    key = np.frombuffer(raw, np.uint64)
-                    if short and kind == 1:
-                        key = (key & U64((1 << 40) - 1)) | (((key >> U64(40)) % U64(owners_of_keys)) << U64(40))
-                rest = [np.frombuffer(c[i].as_buffer(), np_types[t]) for c, t in zip(cols[4:], types, strict=True)]
-                if kind in (1, 9):
-                    yield from emit(key, rest, kind == 9)
-                    continue
-                n += 1
-                keys.append(key)
-                flags.append(np.frombuffer(cols[3][i].as_buffer(), bool) if kind == 0 else np.zeros(len(key), bool))
-                inner.append(np.full(len(key), kind == 2))
-                for r, x in zip(rests, rest, strict=True):
-                    r.append(x)
-        if not keys:
-            return
-        key, flag, follow = np.concatenate(keys), np.concatenate(flags), np.concatenate(inner)
-        keys.clear(), flags.clear(), inner.clear()
-        order = np.argsort(key, kind="stable")
-        key, flag, follow = key[order], flag[order], follow[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        starts = np.flatnonzero(first)
-        leads = np.add.reduceat((~follow).astype(np.int32), starts)
-        many = (leads > 1) | np.logical_or.reduceat(flag, starts)
-        keep = many[np.cumsum(first) - 1]
-        rest = []
-        for r in rests:
-            rest.append(np.concatenate(r)[order][keep])
-            r.clear()
-        yield from emit(key[keep], rest, False)
-
-    schema = "key long, " + ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)) + ", pass_ boolean"
-    return wire.repartition(tasks, "owner").mapInArrow(own, schema)
+        for what, key, *more in owner_groups(batches, kinds, short, owners):
+            if what == "sure":
+                yield from emit(key, more[0])
+                continue
+            flag, follow, rest = more
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            starts = np.flatnonzero(first)
+            leads = np.add.reduceat((~follow[order]).astype(np.int32), starts)
+            many = (leads > 1) | np.logical_or.reduceat(flag[order], starts)
+            keep = many[np.cumsum(first) - 1]
+            yield from emit(key[keep], [r[order][keep] for r in rest])
+
+    schema = "key long, " + ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
+    return to_owners(wire, tasks).mapInArrow(own, schema)

@@ -1,22 +1,31 @@
 """Exact near-duplicate components by a parity-sketch join on word shingles.
 
-A document is the set of its 5-word shingles (64-bit hashes). The hash range is
-cut into m parts, and a part's sketch is the XOR of the shingles in it: a
-shingle that only one of two documents has changes the parity of exactly one
-part, so the number of differing parts is a lower bound of the symmetric
-difference. Similarity of 3/4 bounds that difference by (|A|+|B|)/7, so with
-more parts than that, pigeonhole leaves equal, non-empty parts: two similar
-documents share at least u - T of their u non-empty part sketches. Sizes are
-banded, each band with its own m, and a document is sketched for the two bands
-that a partner can share.
-
-Only sketches that repeat survive (`_owners`), and documents with fewer than
-u - T of them have no partner. What is left is joined in rounds: documents are
-verified against a leader per sketch and linked; then only sketches that still
-span several components matter, and in the last round all pairs across
-components under prefix-filtered sketches are verified, a bit-parity sketch
-first. So a group of copies costs links in proportion to its size, and no link
-between components is skipped.
+A document is the set of its 5-word shingles (64-bit hashes), and equal sets are
+one node. The hash range is cut into m parts, and a part's sketch is the XOR of
+the shingles in it: a shingle that only one of two sets has changes the parity
+of exactly one part, so the number of differing parts is a lower bound of the
+symmetric difference. Similarity of 3/4 bounds that difference by (|A|+|B|)/7,
+so with more parts than that, pigeonhole leaves equal, non-empty parts: two
+similar sets share at least u - T of their u non-empty part sketches. Sizes are
+banded, each band with its own m; a node is sketched for its own band (side 0)
+and for the band below (side 1), and a pair of sketches needs a side 0.
+
+1. Sketches travel to their owners in packed blocks; the repeated ones go on to
+   their node's home, which keeps nodes with u - T repeated sketches or more.
+2. Of these, nodes with too many shingles that no other has can have no partner:
+   such shingles lie in every symmetric difference.
+3. Leader rounds over each node's few smallest sketches link most of what
+   belongs together, with an exact check of each link; components are contracted
+   after each round.
+4. All sketches that still span several components are joined, pairs across
+   components alone, by the rarest sketches that pigeonhole needs; a bit-parity
+   sketch and the sizes prune pairs before they become rows, and the rest are
+   checked exactly. So no link between two components is missed, and a group of
+   copies costs rows in proportion to its size.
+
+Equality of sets is decided by two independent 64-bit digests and the size,
+equality of shingles by a 64-bit hash: two different shingles agree with
+probability 2^-64.
 """
 
 from __future__ import annotations
@@ -26,16 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import U64, mix, ngrams, utf8_chunks, words
-from ._owners import BLOCK, repeated, send, to_batch, wire_schema
+from ._owners import BLOCK, owner_groups, send, to_batch, to_owners, wire_schema
 from ._scratch import Scratch
 from ._spread import split_join
 
-SHINGLE, BITS, LEADER_ROUNDS, LEADERS = 5, 2048, 8, 2
-_META = {"f1": 10, "f2": 11, "n": 12, "u0": 13, "u1": 14, "sent": 15}
+#: ROUNDS leader rounds over each node's SAMPLE smallest sketches; BITS of the parity sketch that pairs are checked by.
+SHINGLE, BITS, ROUNDS, SAMPLE = 5, 1024, 4, 12
+#: Rows of a key that one task compares with each other; larger groups are dealt into cells.
+CELL = 8192
+#: Sets that a task remembers having sketched already.
+SEEN = 200_000
 
 
 def edges_of_bands(top: int = 200) -> np.ndarray:
@@ -100,259 +113,480 @@ def part_sketches(s: np.ndarray, t: np.ndarray, n: np.ndarray, side: int, spread
     return key, t0, np.bincount(t0, minlength=len(n))
 
 
-def _emit(docs: DataFrame, owners: int, spread: float) -> DataFrame:
-    """Packed sketches of all documents, and their sizes, set fingerprints and part counts."""
+def fingerprints(s: np.ndarray, n: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, check) of each text's set: two digests that do not depend on the order."""
+    start = np.concatenate([[0], np.cumsum(n)[:-1]])
+    has = np.flatnonzero(n)
+    node, check = np.zeros(len(n), U64), np.zeros(len(n), U64)
+    if len(has):
+        both = np.bitwise_xor.reduceat(mix(s), start[has])
+        check[has] = np.add.reduceat(mix(s ^ U64(0x5851F42D4C957F2D)), start[has])
+        node[has] = mix(both ^ mix(check[has] + U64(seed)) + n[has].astype(U64))
+    return node, check
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], []]
-        seen: set[tuple[int, int]] = set()
-        n_rows = blocks = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal blocks, n_rows
-            key, doc, side = (np.concatenate(x) for x in held)
-            for x in held:
+
+class _Sender:
+    """Gathers (key, node, side) rows into packed blocks for the owners of the keys."""
+
+    def __init__(self, owners: int):
+        self.owners, self.rows, self.held = owners, 0, ([], [], [])
+
+    def add(self, key: np.ndarray, node: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for x, v in zip(self.held, (key, node, side), strict=True):
+            x.append(v)
+        self.rows += len(key)
+        if self.rows >= BLOCK:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            key, node, side = (np.concatenate(x) for x in self.held)
+            for x in self.held:
                 x.clear()
-            seen.clear()
-            n_rows, blocks = 0, blocks + 1
-            return to_batch(send(key, doc, [doc, side], owners, int(doc[0]) if len(doc) else 0, short=True), ["doc", "side"])
+            self.rows = 0
+            yield to_batch(send(key, node, [node, side], self.owners, int(node[0]), short=True, useful=side == 0), ["node", "side"])
 
+
+def _sketched(docs: DataFrame, owners: int, spread: float, seed: int) -> DataFrame:
+    """Packed sketches of the sets (kind 0 to 2), their part counts (8) and one row (9) per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, seen = _Sender(owners), set()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column(0)
+            valid = ids.is_valid().to_numpy(zero_copy_only=False)
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, data, offs in utf8_chunks(batch.column(1)):
                 s, t = shingles(data, offs)
-                doc = ids[a:b]
                 n = np.bincount(t, minlength=b - a)
-                has = np.flatnonzero(n)
-                start = np.concatenate([[0], np.cumsum(n)[:-1]])[has]
-                f1, f2 = np.zeros(b - a, U64), np.zeros(b - a, U64)
-                if len(has):
-                    f1[has], f2[has] = np.bitwise_xor.reduceat(mix(s), start), np.add.reduceat(mix(s ^ U64(0x5851F42D4C957F2D)), start)
-                # A set that this block has sent already is not sent again; its class is found by the fingerprints, and `sent` tells whose sketches stand for it.
+                node, check = fingerprints(s, n, seed)
+                # A set is sketched once a task (twice, should `seen` overflow).
                 fresh = np.zeros(b - a, bool)
-                for i in has.tolist():
-                    f = (int(f1[i]), int(f2[i]))
-                    if f not in seen:
-                        seen.add(f)
+                if len(seen) > SEEN:
+                    seen.clear()
+                for i, x in enumerate(node.tolist()):
+                    if n[i] and x not in seen:
+                        seen.add(x)
                         fresh[i] = True
                 mine = fresh[t]
                 counts = []
                 for side in (0, 1):
-                    key, owner, _ = part_sketches(s[mine], t[mine], n, side, spread)
-                    counts.append(part_sketches(s, t, n, side, spread)[2] if not mine.all() else np.bincount(owner, minlength=b - a))
-                    held[0].append(key)
-                    held[1].append(doc[owner])
-                    held[2].append(np.full(len(key), side, np.int8))
-                    n_rows += len(key)
-                meta = {"f1": f1, "f2": f2, "n": n, "u0": counts[0], "u1": counts[1], "sent": fresh}
-                rows = [((int(doc[0]) if b > a else 0) % owners, 9, np.asarray(v).astype(U64).tobytes(), b"", doc.tobytes(), np.full(b - a, _META[k], np.int8).tobytes()) for k, v in meta.items()]
-                yield to_batch(rows, ["doc", "side"])
-                if n_rows >= BLOCK:
-                    yield flush()
-        if n_rows:
-            yield flush()
-
-    return docs.mapInArrow(run, wire_schema(["doc", "side"]))
-
-
-def _sets(docs: DataFrame) -> DataFrame:
-    """(doc, n, bits, hashes): the shingle set and its bit-parity sketch."""
+                    key, owner, u = part_sketches(s[mine], t[mine], n, side, spread)
+                    counts.append(u)
+                    yield from out.add(key, node[owner], np.full(len(key), side, np.int8))
+                meta = np.stack([ids[a:b], valid[a:b], node.view(np.int64), n, check.view(np.int64)], axis=1).astype(np.int64)
+                info = np.stack([node.view(np.int64), n, *counts], axis=1).astype(np.int64)[fresh]
+                salt = int(node[0] % U64(owners))
+                yield to_batch([(salt, 9, meta.tobytes(), b"", b"", b""), (salt, 8, info.tobytes(), b"", b"", b"")], ["node", "side"])
+        yield from out.flush()
+
+    return docs.mapInArrow(run, wire_schema(["node", "side"]))
+
+
+def _set_keys(sets: DataFrame, owners: int) -> DataFrame:
+    """Packed shingles of sets (node, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Sender(owners)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b, data, offs in utf8_chunks(batch.column(1)):
-                s, t = shingles(data, offs)
-                n = np.bincount(t, minlength=b - a)
-                end = np.cumsum(n)
-                bits, hashes = [], []
-                for lo, hi in zip((end - n).tolist(), end.tolist(), strict=True):
-                    own = s[lo:hi]
-                    odd = np.bincount((mix(own) & U64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-                    bits.append(np.packbits(odd.astype(bool)).tobytes())
-                    hashes.append(own.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(n.astype(np.int64)), pa.array(bits, pa.binary()), pa.array(hashes, pa.binary())], ["doc", "n", "bits", "hashes"])
+            lists = batch.column(1)
+            key = lists.flatten().to_numpy().view(np.uint64)
+            node = np.repeat(batch.column(0).to_numpy().view(np.uint64), lists.value_lengths().to_numpy())
+            for a in range(0, len(key), BLOCK):
+                s = slice(a, a + BLOCK)
+                yield from out.add(key[s], node[s], np.zeros(len(key[s]), np.int8))
+        yield from out.flush()
+
+    return sets.select("node", "hashes").mapInArrow(run, wire_schema(["node", "side"]))
+
+
+def _homeward(wire: DataFrame, owners: int, homes: int, tasks: int, unique: bool) -> DataFrame:
+    """Packed rows on their way to their nodes' homes: of keys that several nodes have, or (unique) that one alone has."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = 0
+
+        def pack(kind: int, node: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
+            home = (mix(node) % U64(homes)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            cuts = np.flatnonzero(np.diff(home[order])) + 1
+            blobs = [(int(home[p[0]]), kind, *(c[p].tobytes() for c in cols), *[b""] * (3 - len(cols))) for p in np.split(order, cuts) if len(p)]
+            each = zip(*blobs, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(each, [pa.int32(), pa.int32(), *[pa.binary()] * 3], strict=True)], ["home", "kind", "key", "node", "side"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal rows
+            if rows:
+                key, node, side = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                rows = 0
+                yield pack(0, node, node) if unique else pack(0, node, key, node, side)
+
+        for what, key, *more in owner_groups(batches, [np.uint64, np.int8], True, owners):
+            if what == "pass":
+                # Part counts go to the node's home; rows of documents anywhere, since a set may have any number of them.
+                table = np.frombuffer(more[0], np.int64).reshape(-1, 5 if key == 9 else 4)
+                if len(table):
+                    spot = np.ascontiguousarray(table[:, 0]).view(np.uint64)
+                    yield pack(key, mix(spot) if key == 9 else spot, table)
+                continue
+            if what == "sure":
+                kept = (key, *more[0])
+            else:
+                flag, _, (node, side) = more
+                order = np.argsort(key, kind="stable")
+                k, nd, sd = key[order], node[order], side[order]
+                first = np.concatenate([[True], k[1:] != k[:-1]])
+                starts = np.flatnonzero(first)
+                two = np.minimum.reduceat(nd, starts) != np.maximum.reduceat(nd, starts)
+                many = (two & np.logical_or.reduceat(sd == 0, starts)) | np.logical_or.reduceat(flag[order], starts)
+                keep = ~(many | two) if unique else many
+                keep = keep[np.cumsum(first) - 1]
+                kept = (k[keep], nd[keep], sd[keep])
+            if unique and what == "sure":
+                continue
+            held.append(kept)
+            rows += len(kept[0])
+            if rows >= BLOCK:
+                yield from flush()
+        yield from flush()
+
+    return to_owners(wire, tasks).mapInArrow(own, "home int, kind int, key binary, node binary, side binary")
+
+
+def _by_home(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """The blocks (kind, columns) of one home at a time."""
+    held: list[tuple[int, list[bytes]]] = []
+    current = None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            home = batch.column(0)[i].as_py()
+            if home != current and held:
+                yield held
+                held = []
+            current = home
+            held.append((batch.column(1)[i].as_py(), [c[i].as_buffer().to_pybytes() for c in batch.columns[2:]]))
+    if held:
+        yield held
+
+
+def _to_homes(packed: DataFrame, tasks: int) -> DataFrame:
+    return packed.repartition(tasks, "home").sortWithinPartitions("home")
+
+
+def _candidates(packed: DataFrame, tasks: int) -> DataFrame:
+    """Rows (side -1: id, node, n, extra = check) per document, (side 0 or 1: node, n, extra = need, keys) per node that may have a partner, (side -2) where the parts were too few."""
+    names = ["id", "node", "side", "n", "extra", "keys"]
+
+    def batch_of(ids, node, side, n, extra, keys, sizes) -> pa.RecordBatch:
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        cols = [ids, pa.array(node.view(np.int64)), pa.array(side.astype(np.int8)), pa.array(n), pa.array(extra), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))]
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, U64)
+        for blocks in _by_home(batches):
+            for _, (raw, *_) in (b for b in blocks if b[0] == 9):
+                m = np.frombuffer(raw, np.int64).reshape(-1, 5)
+                ids = pa.array(m[:, 0], mask=m[:, 1] == 0)
+                zero = np.zeros(len(m), np.int64)
+                yield batch_of(ids, np.ascontiguousarray(m[:, 2]), zero - 1, np.ascontiguousarray(m[:, 3]), np.ascontiguousarray(m[:, 4]), none, zero)
+            info = [np.frombuffer(b[1][0], np.int64).reshape(-1, 4) for b in blocks if b[0] == 8]
+            if not info:
+                continue
+            info = np.concatenate(info)
+            known, at = np.unique(np.ascontiguousarray(info[:, 0]).view(np.uint64), return_index=True)
+            n, u = info[at, 1], info[at, 2:].T
+            band = np.searchsorted(LOW, n, "right") - 1
+            need = np.stack([u[z] - tolerance(n, np.maximum(band - z, 0)) for z in (0, 1)])
+            if (need[0] <= 0).any() or ((need[1] <= 0) & (u[1] > 0)).any():
+                one = np.zeros(1, np.int64)
+                yield batch_of(pa.array([None], pa.int64()), one, one - 2, one, one, none, one)
+            sent = [b[1] for b in blocks if b[0] == 0]
+            if not sent:
+                continue
+            key, node = (np.concatenate([np.frombuffer(x[i], np.uint64) for x in sent]) for i in (0, 1))
+            side = np.concatenate([np.frombuffer(x[2], np.int8) for x in sent])
+            spot = np.searchsorted(known, node) * 2 + side
+            order = np.lexsort((key, spot))
+            key, spot = key[order], spot[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (spot[1:] != spot[:-1])])
+            key, spot = key[new], spot[new]
+            k = np.bincount(spot, minlength=2 * len(known))
+            enough = k >= np.maximum(need, 1).T.ravel()
+            k = k * enough
+            key = key[enough[spot]]
+            has = np.flatnonzero(k)
+            ids = pa.nulls(len(has), pa.int64())
+            yield batch_of(ids, known[has // 2], has % 2, n[has // 2], need.T.ravel()[has], key, k[has])
+
+    return _to_homes(packed, tasks).mapInArrow(run, "id long, node long, side byte, n long, extra long, keys array<long>")
+
+
+def _counts(packed: DataFrame, tasks: int) -> DataFrame:
+    """(node, s): rows that reached the node's home."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in _by_home(batches):
+            node, s = np.unique(np.concatenate([np.frombuffer(x[0], np.uint64) for _, x in blocks]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(s.astype(np.int64))], ["node", "s"])
+
+    return _to_homes(packed, tasks).mapInArrow(run, "node long, s long")
 
-    return docs.mapInArrow(run, "doc long, n long, bits binary, hashes binary")
 
+def _sets(docs: DataFrame, seed: int) -> DataFrame:
+    """(node, n, bits, hashes): the shingle set and its bit-parity sketch. Wordless texts have none."""
 
-def _check(pairs: DataFrame, column: str, exact: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            keep = np.zeros(batch.num_rows, bool)
-            ca, cb = batch.column("xa"), batch.column("xb")
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (ca, cb))
-                if exact:
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    keep[i] = 100 * both >= 75 * (len(x) + len(y) - both)
-                else:
-                    keep[i] = 7 * int(np.bitwise_count(x ^ y).sum()) <= na[i] + nb[i]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
-
-    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
-
-
-def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, sketch_first: bool) -> DataFrame:
-    """The pairs (a, b) that are linked, as a table."""
-    for column, exact in ((("bits", False),) if sketch_first else ()) + (("hashes", True),):
-        rows = pairs.count()
-        if not rows:
-            return scratch.table(pairs.select("a", "b"))
-        joined = pairs
-        for end in ("a", "b"):
-            # Few ends can have many of the pairs; their sets are broadcast, all others meet by a shuffle.
-            uses = pairs.groupBy(end).agg(F.count("*").alias("uses_"))
-            one = sets.select(F.col("doc").alias(end), F.col("n").alias(f"n{end}"), F.col(column).alias(f"x{end}")).join(uses, end)
-            joined = split_join(joined, one, [end], "uses_", rows, 100).drop("uses_")
-        pairs = scratch.table(_check(joined, column, exact))
-    return pairs
-
-
-def components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """(doc, comp): smallest doc reachable, for every end of a link. Labels shrink along links and are then followed a step, until nothing moves."""
-    both = scratch.table(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
+            for a, b, data, offs in utf8_chunks(batch.column(0)):
+                s, t = shingles(data, offs)
+                n = np.bincount(t, minlength=b - a)
+                node, _ = fingerprints(s, n, seed)
+                has = np.flatnonzero(n)
+                end = np.cumsum(n)
+                bits = []
+                for lo, hi in zip((end - n)[has].tolist(), end[has].tolist(), strict=True):
+                    odd = np.bincount((mix(s[lo:hi]) & U64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                    bits.append(np.packbits(odd.astype(bool)).tobytes())
+                offsets = pa.array(np.concatenate([[0], end[has]]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[has].view(np.int64)), pa.array(n[has].astype(np.int64)), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64)))],
+                    ["node", "n", "bits", "hashes"],
+                )
+
+    return docs.mapInArrow(run, "node long, n long, bits binary, hashes array<long>")
+
+
+def _linked(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """The pairs (a, b), a table, whose sets have similarity 3/4; None if there are none. Sets meet pairs by shuffles, a set with many pairs in several places."""
+    rows = pairs.count()
+    if not rows:
+        return None
+    salts = F.lit(1 + rows // 20_000)
+    out = pairs
+    for end, other in (("a", "b"), ("b", "a")):
+        salt = F.pmod(F.xxhash64(other), salts).alias("salt")
+        one = sets.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("hashes").alias(f"x{end}")).join(pairs.select(end, salt).distinct(), end)
+        out = out.withColumn("salt", salt).join(one, [end, "salt"]).drop("salt")
+    both = F.size(F.array_intersect("xa", "xb"))
+    found = scratch.table(out.where(100 * both >= 75 * (F.col("na") + F.col("nb") - both)).select("a", "b"))
+    return found if found.limit(1).count() else None
+
+
+def _contracted(scratch: Scratch, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with the components that links (a, b) join merged: their least label."""
+    comp = nodes.select("node", "comp")
+    ends = links.join(comp.withColumnsRenamed({"node": "a", "comp": "x"}), "a").join(comp.withColumnsRenamed({"node": "b", "comp": "y"}), "b").where("x <> y").select("x", "y")
+    both = scratch.table(ends.union(ends.select("y", "x")).distinct())
     label = scratch.table(both.groupBy(F.col("x").alias("doc")).agg(F.least(F.min("y"), F.first("x")).alias("comp")))
     while True:
-        after = scratch.table(_step(both, _step(both, label)).join(label.withColumnRenamed("comp", "old"), "doc"))
+        after = scratch.table(_step(both, label).join(label.withColumnRenamed("comp", "old"), "doc"))
         moved = after.where("comp < old").limit(1).count()
-        scratch.drop(label)
         label = after.select("doc", "comp")
-        label._scratch_path = after._scratch_path
         if not moved:
-            scratch.drop(both)
-            return label
+            break
+    sizes = nodes.groupBy("comp").agg(F.count("*").alias("size_"))
+    one = label.withColumnsRenamed({"comp": "new_", "doc": "comp"}).join(sizes, "comp")
+    moved = split_join(nodes, one, ["comp"], "size_", nodes.count()).withColumn("comp", F.coalesce("new_", "comp")).drop("new_", "size_")
+    return scratch.table(moved.select(*nodes.columns))
 
 
 def _step(both: DataFrame, label: DataFrame) -> DataFrame:
-    """The least label among a doc and its neighbours, and that label's own label."""
+    """The least label among a doc and its neighbours, then that label's own label."""
     low = both.join(label, both.x == label.doc).groupBy(F.col("y").alias("doc")).agg(F.min("comp").alias("m"))
     best = label.join(low, "doc").select("doc", F.least("comp", "m").alias("new"))
     far = label.select(F.col("doc").alias("new"), F.col("comp").alias("far"))
     return best.join(far, "new", "left").select("doc", F.least("new", F.coalesce("far", "new")).alias("comp"))
 
 
-def _needed(table: DataFrame) -> DataFrame:
-    """Rows (key, doc, side, need, ...) of documents that still have as many repeated sketches as a partner needs."""
-    w = Window.partitionBy("doc", "side")
-    return table.withColumn("k", F.count("*").over(w)).where("k >= need")
+def _led(scratch: Scratch, sample: DataFrame, nodes: DataFrame, rows: int, turn: int) -> DataFrame:
+    """(a, b): each node with the leader in another component that most of its sampled sketches name; a sketch's leader has few shingles of its own."""
+    table = sample.join(nodes.select("node", "comp", "n", "w"), "node")
+    order = F.struct(F.floor(8 * F.col("w") / F.col("n")), F.xxhash64("node", F.lit(turn)))
+    lead = F.min_by(F.struct("node", "n", "comp"), order).alias("lead")
+    groups = table.groupBy("key").agg(lead, F.min("comp").alias("lo_"), F.max("comp").alias("hi_"), F.count("*").alias("c")).where("lo_ < hi_").drop("lo_", "hi_")
+    led = split_join(table, groups, ["key"], "c", rows).where("lead.comp <> comp and 4 * n >= 3 * lead.n and 4 * lead.n >= 3 * n")
+    votes = led.groupBy("node", F.col("lead.node").alias("a")).agg(F.count("*").alias("v"))
+    return scratch.table(votes.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("v", "a")).alias("best")).select("best.a", "b"))
 
 
-def _again(scratch: Scratch, table: DataFrame, rows: int, *extra: Column) -> DataFrame:
-    """table's rows whose key two documents still have, with the key's count and extra aggregates."""
-    groups = table.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("lo_"), F.max("doc").alias("hi_"), *extra).where("lo_ < hi_").drop("lo_", "hi_")
-    return split_join(table, groups, ["key"], "c", rows).where("c is not null")
+def _pairs_across(rows: DataFrame) -> DataFrame:
+    """(a, b) of rows (key, cell, blk, node, comp, side, n, w, bits), grouped: pairs of one key, of different components, that sizes, w and bits allow.
 
+    Only light nodes (w <= 0) are compared with others, for of two similar ones
+    one is light; pairs are told once a task.
+    """
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: float = 1.0) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links of similarity >= 0.75).
-
-    Ids are unique integers; rows without an id are left out. Null and empty texts and such without words have no
-    shingles and are linked with nothing. Equal sets are one class, compared
-    once. Empty input: no rows. Only counts reach the driver.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        held = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            ab = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            found.clear()
+            found.append(ab)
+            held = len(ab)
+            if held > 1 << 19:
+                found.clear()
+                held = 0
+                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], ["a", "b"])
+
+        def compare(cols: list[np.ndarray], bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal held
+            _, _, blk, node, _, _, n, _ = cols
+            for a in range(0, len(x), 1 << 17):
+                i, j = x[a : a + (1 << 17)], y[a : a + (1 << 17)]
+                ok = 7 * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+                i, j = node[i[ok]], node[j[ok]]
+                if len(i):
+                    found.append(np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0))
+                    held += len(found[-1])
+
+        def allowed(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            _, cell, blk, _, comp, side, n, w = cols
+            ok = (comp[i] != comp[j]) & (w[i] + w[j] <= 0) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i]) & (side[i] + side[j] < 2)
+            return ok & ((cell[i] == 0) | (blk[i] != blk[j]))
+
+        def groups(cols: list[np.ndarray], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+            key, cell, _, _, comp, _, _, w = cols
+            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
+            size = np.diff(np.append(start, len(key)))
+            light = np.logical_or.reduceat(w <= 0, start) & (np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start))
+            for z in np.unique(size[light & (size <= 48)]).tolist():
+                iu, ju = np.triu_indices(z, 1)
+                own = start[light & (size == z)]
+                step = max(1, (1 << 18) // max(1, len(iu)))
+                for a in range(0, len(own), step):
+                    i, j = ((own[a : a + step, None] + q).ravel() for q in (iu, ju))
+                    ok = allowed(cols, i, j)
+                    compare(cols, bits, i[ok], j[ok])
+                    if held > 1 << 20:
+                        yield from told()
+            for a, z in zip(start[light & (size > 48)].tolist(), size[light & (size > 48)].tolist(), strict=True):
+                every = np.arange(a, a + z)
+                lead = every[w[a : a + z] <= 0]
+                step = max(1, (1 << 18) // z)
+                for b in range(0, len(lead), step):
+                    i, j = np.repeat(lead[b : b + step], z), np.tile(every, len(lead[b : b + step]))
+                    ok = ((w[j] > 0) | (j > i)) & allowed(cols, i, j)
+                    compare(cols, bits, i[ok], j[ok])
+                    if held > 1 << 20:
+                        yield from told()
+
+        rest = None
+        for batch in batches:
+            cols = [batch.column(k).to_numpy() for k in range(8)]
+            bits = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(len(cols[0]), -1)
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest[0], cols, strict=True)]
+                bits = np.concatenate([rest[1], bits])
+            if not len(cols[0]):
+                continue
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+            if cut:
+                yield from groups([c[:cut] for c in cols], bits[:cut])
+            rest = [c[cut:] for c in cols], bits[cut:]
+        if rest is not None and len(rest[0][0]):
+            yield from groups(*rest)
+        yield from told()
+        for ab in found:
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], ["a", "b"])
+
+    return rows.select("key", "cell", "blk", "node", "comp", "side", "n", "w", "bits").mapInArrow(run, "a long, b long")
+
+
+def _open_pairs(scratch: Scratch, table: DataFrame, nodes: DataFrame, sets: DataFrame, tasks: int, cell_rows: int) -> DataFrame:
+    """(a, b): all pairs across components that may be linked. table: (node, side, need, keys)."""
+    rows = table.join(nodes.select("node", "comp"), "node").select("node", "side", "need", "comp", F.explode("keys").alias("key"))
+    groups = rows.groupBy("key").agg(F.min("comp").alias("lo_"), F.max("comp").alias("hi_"), F.min("side").alias("side_"), F.count("*").alias("c"))
+    groups = groups.where("lo_ < hi_ and side_ = 0").select("key", "c")
+    total = table.agg(F.sum(F.size("keys"))).first()[0] or 0
+    still = split_join(rows, groups, ["key"], "c", total).where("c is not null")
+    per_node = still.groupBy("node", "side").agg(F.max("need").alias("need"), F.sort_array(F.collect_list(F.struct("c", "key"))).alias("open"))
+    # Two similar nodes share `need` open sketches or more, so the rarest `size - need + 1` of each have one in common.
+    per_node = per_node.where(F.size("open") >= F.col("need")).withColumn("open", F.slice("open", 1, F.size("open") - F.greatest("need", F.lit(1)) + 1))
+    per_node = scratch.table(per_node.select("node", "side", "open"))
+    full = per_node.join(nodes.select("node", "comp", "n", "w"), "node").join(sets.select("node", "bits"), "node")
+    each = full.select("node", "side", "comp", "n", "w", "bits", F.explode("open").alias("o")).select("*", F.col("o.key").alias("key"), F.ceil(F.col("o.c") / cell_rows).cast("long").alias("g")).drop("o")
+    blk = F.pmod(F.xxhash64("node"), F.col("g"))
+    cells = F.when(F.col("g") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda j: F.least("blk", j) * F.col("g") + F.greatest("blk", j)))
+    each = each.withColumn("blk", blk).select("*", F.explode(cells).alias("cell"))
+    # A cell on the diagonal compares a block with itself, which cell 0 stands for.
+    each = each.withColumn("own_", F.col("cell") == F.col("blk") * F.col("g") + F.col("blk"))
+    each = each.withColumn("key", F.when(F.col("own_") & (F.col("g") > 1), F.xxhash64("key", "blk")).otherwise(F.col("key"))).withColumn("cell", F.when(F.col("own_"), F.lit(0)).otherwise(F.col("cell"))).drop("own_", "g")
+    n_rows = per_node.agg(F.sum(F.size("open"))).first()[0] or 0
+    places = max(1, min(tasks, n_rows // 50_000))
+    dealt = each.repartition(places, "key", "cell").sortWithinPartitions("key", "cell")
+    return scratch.table(_pairs_across(dealt).distinct())
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: float = 1.0, rounds: int = ROUNDS, cell_rows: int = CELL) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links of similarity >= 0.75).
+
+    Ids are integers; repeated ids and rows without an id are rows like others,
+    except that a null is never the smallest id. Null and empty texts and such
+    without words have no shingles and are linked with nothing: their component
+    is their own id. Equal sets are one node and compared once. Other columns are
+    ignored, whatever their names. Empty input: no rows. Only counts reach the
+    driver. The work inside one sketch's group that spans components is a product
+    of their rows, dealt into cells of `cell_rows` rows; pairs without a light
+    node (see `_pairs_across`) are never looked at.
     """
     scratch = Scratch(spark, "jaccard")
-    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = 4 * tasks
+    seed = 0
     while True:
-        wire = _emit(narrow, 4 * tasks, spread)
-        raw = scratch.table(repeated(wire, ["doc", "side"], ["long", "byte"], tasks, 4 * tasks, short=True))
+        raw = scratch.table(_candidates(_homeward(_sketched(narrow, owners, spread, seed), owners, owners, tasks, False), tasks))
         scratch.free_shuffles()
-        pick = [F.max(F.when(F.col("side") == v, F.col("key"))).alias(k) for k, v in _META.items()]
-        meta = scratch.table(raw.where("pass_").groupBy("doc").agg(*pick).withColumns(_needs()))
-        # All u parts of a document could differ: more parts, then. The parts are chosen to make this all but impossible.
-        if not meta.where("n > 0 and (u0 <= t0 or (u1 > 0 and u1 <= t1))").limit(1).count():
+        meta = raw.where("side = -1").select("id", "node", "n", F.col("extra").alias("check"))
+        agg = meta.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.max("n").alias("n"), (F.struct(F.min("check"), F.min("n")) < F.struct(F.max("check"), F.max("n"))).alias("clash"))
+        classes = scratch.table(agg)
+        # All u parts of a set could differ: more parts, then. Or two sets have one digest. Both are made all but impossible.
+        few, clash = raw.where("side = -2").limit(1).count(), classes.where("clash").limit(1).count()
+        if not few and not clash:
             break
-        spread *= 1.5
-        scratch.drop(raw, meta)
-    rows = meta.count()
-    # Of each class, the sketches of one document that sent them are taken; it need not be the smallest id.
-    sender = F.min(F.when(F.col("sent") == 1, F.col("doc"))).alias("sender")
-    classes = meta.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep"), sender, F.count("*").alias("c"))
-    classed = scratch.table(split_join(meta.select("doc", "n", "f1", "f2"), classes, ["f1", "f2", "n"], "c", rows).select("doc", "n", F.coalesce("rep", "doc").alias("rep"), "sender"))
-    reps = meta.join(classed.where("doc = sender").select("doc", "rep"), "doc")
-    need = F.greatest(F.lit(1), F.when(F.col("side") == 0, F.col("u0") - F.col("t0")).otherwise(F.col("u1") - F.col("t1")))
-    table = scratch.table(_needed(raw.where("not pass_").select("key", "doc", "side").join(reps.select("doc", "rep", "n", "u0", "u1", "t0", "t1"), "doc").select("key", F.col("rep").alias("doc"), "side", "n", need.alias("need"))).drop("k"))
-    scratch.drop(raw, meta)
-    kept = table.count()
-    first, table = table, scratch.table(_needed(_again(scratch, table, kept).drop("c")).drop("k"))
-    scratch.drop(first)
+        spread, seed = spread * 1.5 if few else spread, seed + 1
+        scratch.drop(raw, classes)
+    table = raw.where("side >= 0").select("node", "side", F.col("extra").alias("need"), "keys")
+    active = scratch.table(table.select("node").distinct().join(classes.select("node", "rep"), "node"))
+    wanted = active.where("rep is not null").select(F.col("rep").alias("id_")).distinct()
+    nameless = narrow.where("id_ is null") if active.where("rep is null").limit(1).count() else narrow.limit(0)
+    texts = narrow.where("id_ is not null").join(wanted, "id_", "left_semi").unionByName(nameless).select("text_")
+    sets = scratch.table(_sets(texts, seed).join(active.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     scratch.free_shuffles()
-    active = scratch.table(table.select("doc").distinct())
-    sets = scratch.table(_sets(narrow.join(active, narrow.id_ == active.doc, "left_semi")))
+    alone = _counts(_homeward(_set_keys(sets, owners), owners, owners, tasks, True), tasks)
+    own = F.coalesce("s", F.lit(0))
+    # Of similar sets A and B, |A - B| is at most |A| / 4, and the symmetric difference at most (|A| + |B|) / 7.
+    nodes = sets.select("node", "n").join(alone, "node", "left").where(4 * own <= F.col("n")).select("node", "n", (7 * own - F.col("n")).alias("w"), F.col("node").alias("comp"))
+    nodes = scratch.table(nodes)
+    table = scratch.table(table.join(nodes.select("node"), "node", "left_semi"))
+    sample = scratch.table(table.select("node", F.explode(F.slice("keys", 1, SAMPLE)).alias("key")).distinct())
     scratch.free_shuffles()
-    links, label = None, None
-    table = scratch.table(table.withColumn("comp", F.col("doc")))
-    kept = table.count()
-    enough = max(100_000, kept // 2)
-    for turn in range(LEADER_ROUNDS):
-        # Rows that joining all open keys with themselves would give; few enough for the size of the input ends the rounds.
-        if not kept or _cross_rows(table) <= enough * (turn > 0):
+    rows = sample.count()
+    for turn in range(rounds if rows else 0):
+        links = _linked(scratch, _led(scratch, sample, nodes, rows, turn), sets)
+        if links is None:
             break
-        lead = F.min_by(F.struct("doc", "n", "comp"), F.xxhash64("doc", F.lit(turn))).alias("lead")
-        led = _again(scratch, table, kept, lead).where("lead.comp <> comp").where(_like(F.col("n"), F.col("lead.n")))
-        votes = led.groupBy("doc", F.col("lead.doc").alias("a")).agg(F.count("*").alias("v"))
-        best = F.slice(F.sort_array(F.collect_list(F.struct("v", "a")), asc=False), 1, LEADERS)
-        pairs = votes.groupBy("doc").agg(best.alias("best")).select(F.explode("best.a").alias("a"), F.col("doc").alias("b"))
-        found = _verified(scratch, scratch.table(pairs), sets, turn > 0)
-        if not found.limit(1).count():
-            break
-        links = found if links is None else links.unionByName(found)
-        label = components(scratch, links)
-        smaller = scratch.table(_open_keys(table.drop("comp"), label, kept))
-        scratch.drop(table)
+        nodes = _contracted(scratch, nodes, links)
+        scratch.free_shuffles()
+    if rows:
+        links = _linked(scratch, _open_pairs(scratch, table, nodes, sets, tasks, cell_rows), sets)
+        if links is not None:
+            nodes = _contracted(scratch, nodes, links)
         scratch.free_shuffles()
-        table = smaller
-        kept = table.count()
-    kept = table.count()
-    if kept:
-        counted = _needed(_again(scratch, table, kept))
-        w = Window.partitionBy("doc", "side").orderBy("c", "key")
-        prefix = scratch.table(counted.withColumn("r", F.row_number().over(w)).where("r <= k - need + 1").select("key", "doc", "n", "comp"))
-        x, y = prefix.alias("x"), prefix.alias("y")
-        pairs = x.join(y, F.expr("x.key = y.key and x.doc < y.doc and x.comp <> y.comp")).where(_like(F.col("x.n"), F.col("y.n")))
-        pairs = pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-        found = _verified(scratch, scratch.table(pairs), sets, True)
-        links = found if links is None else links.unionByName(found)
-        label = components(scratch, links)
-    if links is None:
-        return classed.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
-    joined = split_join(classed, label.select(F.col("doc").alias("rep"), "comp").join(classed.groupBy("rep").agg(F.count("*").alias("c")), "rep"), ["rep"], "c", rows)
-    return joined.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
-
-
-def _cross_rows(table: DataFrame) -> int:
-    """Pairs of rows with one key and different components."""
-    each = table.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    pairs = each.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("p"))
-    return int(pairs.agg(F.sum("p").alias("p")).first().p or 0)
-
-
-def _like(x: Column, y: Column) -> Column:
-    return (4 * x >= 3 * y) & (4 * y >= 3 * x)
-
-
-def _needs() -> dict[str, Column]:
-    """t0, t1: tolerance() in SQL, from the band edges."""
-    edges = F.array(*[F.lit(int(v)) for v in LOW])
-    band = F.size(F.filter(edges, lambda v: v <= F.col("n"))) - 1
-    out = {}
-    for side in (0, 1):
-        high = F.get(edges, F.least(band - side + 2, F.lit(len(LOW) - 1))) - 1
-        out[f"t{side}"] = F.floor((F.col("n") + F.least(F.floor(4 * F.col("n") / 3), high)) / 7)
-    return out
-
-
-def _labelled(table: DataFrame, label: DataFrame) -> DataFrame:
-    return table.join(label, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-
-
-def _open_keys(table: DataFrame, label: DataFrame, rows: int) -> DataFrame:
-    """Rows of the keys that still span several components, with the component."""
-    t = _labelled(table, label)
-    spans = t.groupBy("key").agg(F.min("comp").alias("lo_"), F.max("comp").alias("hi_"), F.count("*").alias("c")).where("lo_ < hi_").drop("lo_", "hi_")
-    return split_join(t, spans, ["key"], "c", rows).where("c is not null").drop("c")
+    in_comp = nodes.select("node", "comp").join(classes.select("node", "rep"), "node")
+    least = in_comp.groupBy("comp").agg(F.min("rep").alias("least_"), F.count("*").alias("size_")).where("size_ > 1")
+    named = split_join(in_comp, least, ["comp"], "size_", nodes.count()).select("node", F.col("least_"))
+    final = scratch.table(classes.select("node", "rep", "c").join(named, "node", "left").select("node", "c", F.coalesce("least_", "rep").alias("component_id")))
+    some = split_join(meta.where("n > 0"), final, ["node"], "c", meta.count()).select("id", "n", "component_id")
+    every = some.unionByName(meta.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

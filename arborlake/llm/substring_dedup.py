@@ -194,7 +194,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text_"))
     names, types = ["doc", "first", "n", "side"], ["long", "int", "byte", "byte"]
-    found = scratch.table(repeated(_find_runs(narrow, 4 * tasks, window), names, types, tasks, 4 * tasks).drop("pass_"))
+    found = scratch.table(repeated(_find_runs(narrow, 4 * tasks, window), names, types, tasks, 4 * tasks))
     scratch.free_shuffles()
     run = ["doc", "first"]
     whole = found.where("side = 1")

@@ -116,6 +116,62 @@ def test_jaccard_of_equal_sets_in_any_row_order(spark, order):
     assert got == brute.jaccard(rows) and len({c for _, c in got.values()}) == 6
 
 
+def _letters(n, fills, seed):
+    """Form letters: a common body in which every 12th word is filled in."""
+    r = random.Random(seed)
+    body = [f"b{i}" for i in range(120)]
+    out = []
+    for _ in range(n):
+        w = list(body)
+        for i in range(5, 120, 17):
+            w[i] = r.choice(fills) if fills else f"u{r.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("cell_rows", [jaccard_join.CELL, 3])
+def test_jaccard_of_form_letters(spark, cell_rows):
+    # Unique fillings (similarity about 0.55 to each other), fillings from a short list, and edits of one of them.
+    texts = _letters(60, None, 1) + _letters(60, ["ann", "bob", "cy"], 2)
+    texts += [edited(texts[0], e) for e in (110, 90, 70)] + [edited(texts[70], e) for e in (100, 80, 60)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute.jaccard(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark, df, cell_rows=cell_rows).collect()} == want
+    # The join of open sketches alone, without leader rounds, finds the same.
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark, df, rounds=0, cell_rows=cell_rows).collect()} == want
+    assert 1 < len({c for _, c in want.values()}) < len(want)
+
+
+def test_form_letters_make_no_pairs(spark, monkeypatch):
+    made = []
+    linked = jaccard_join._linked
+    monkeypatch.setattr(jaccard_join, "_linked", lambda s, pairs, sets: (made.append(pairs.count()), linked(s, pairs, sets))[1])
+    body = [f"b{i}" for i in range(100)]
+    r = random.Random(4)
+    texts = []
+    for _ in range(1500):
+        w = list(body)
+        for i in (10, 30, 50, 70):
+            w[i] = f"u{r.randrange(10**9)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = jaccard_join.jaccard_components(spark, df).collect()
+    assert len({x.component_id for x in rows}) == 1500 and sum(made) < 3000
+
+
+def test_jaccard_takes_every_row(spark):
+    base = " ".join(rng.choice(VOCAB) for _ in range(150))
+    near = edited(base, 70)
+    rows = [(1, base), (1, base), (1, "another short text"), (None, base), (None, near), (None, "alone without an id here"), (7, near), (8, None), (8, ""), (None, None)]
+    extra = {c: F.lit("x") for c in ("node", "id_", "text_", "key", "side", "n", "comp", "component_id", "n_shingles", "need", "keys")}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns(extra)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark, df).collect()]
+    n, m = len(brute.shingle_set(base)), len(brute.shingle_set(near))
+    want = [(1, n, 1), (1, n, 1), (1, 1, 1), (None, n, 1), (None, m, 1), (None, 1, None), (7, m, 1), (8, 0, 8), (8, 0, 8), (None, 0, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_part_sketches_keep_the_pigeonhole():
     for n in (1, 3, 7, 20, 60, 150, 700, 4000):
         s = np.sort(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
