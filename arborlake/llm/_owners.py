@@ -9,7 +9,7 @@ binary blocks per owner, and owners sort them in numpy.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +75,11 @@ def to_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["owner", "kind", "key", "flag", *names])
 
 
-def owner_groups(batches: Iterator[pa.RecordBatch], types: list[type], short: bool, owners: int) -> Iterator[tuple]:
-    """What a task gets, whose blocks are sorted by owner: ("pass", raw bytes), ("sure", key, rest), and per owner, one at a time, ("own", key, flag, follow, rest).
+def owner_groups(batches: Iterator[pa.RecordBatch], decode: Callable[[list[pa.Buffer]], list[np.ndarray]], short: bool, owners: int) -> Iterator[tuple]:
+    """What a task gets, whose blocks are sorted by owner: ("pass", kind, bytes), ("sure", key, rest), and per owner, one at a time, ("own", key, flag, follow, rest).
 
     So a worker holds the blocks of one owner, however many owners its task has.
+    decode: a block's further columns as arrays as long as its keys.
     """
     held: list[tuple] = []
     current = None
@@ -93,9 +94,9 @@ def owner_groups(batches: Iterator[pa.RecordBatch], types: list[type], short: bo
             owner, kind = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
             raw = batch.column(2)[i].as_buffer()
             if kind >= 8:
-                yield "pass", kind, raw.to_pybytes(), [c[i].as_buffer().to_pybytes() for c in batch.columns[4:]]
+                yield "pass", kind, raw.to_pybytes()
                 continue
-            rest = [np.frombuffer(c[i].as_buffer(), t) for c, t in zip(batch.columns[4:], types, strict=True)]
+            rest = decode([c[i].as_buffer() for c in batch.columns[4:]])
             if kind == 1:
                 key = np.frombuffer(raw, np.uint64)
                 yield "sure", (key & U64((1 << 40) - 1)) | (((key >> U64(40)) % U64(owners)) << U64(40)) if short else key, rest
@@ -117,7 +118,9 @@ def to_owners(wire: DataFrame, tasks: int) -> DataFrame:
 def repeated(wire: DataFrame, names: list[str], types: list[str], tasks: int, owners: int, short: bool = False) -> DataFrame:
     """(key long, names...) rows whose key repeats over units."""
     np_types = {"long": np.int64, "int": np.int32, "byte": np.int8}
-    kinds = [np_types[t] for t in types]
+
+    def decode(raw: list[pa.Buffer]) -> list[np.ndarray]:
+        return [np.frombuffer(r, np_types[t]) for r, t in zip(raw, types, strict=True)]
 
     def emit(key: np.ndarray, rest: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(key), 1 << 18):
@@ -125,7 +128,7 @@ def repeated(wire: DataFrame, names: list[str], types: list[str], tasks: int, ow
             yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), *(pa.array(r[s]) for r in rest)], ["key", *names])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for what, key, *more in owner_groups(batches, kinds, short, owners):
+        for what, key, *more in owner_groups(batches, decode, short, owners):
             if what == "sure":
                 yield from emit(key, more[0])
                 continue

@@ -31,10 +31,12 @@ probability 2^-64.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,25 +128,51 @@ def fingerprints(s: np.ndarray, n: np.ndarray, seed: int) -> tuple[np.ndarray, n
 
 
 class _Sender:
-    """Gathers (key, node, side) rows into packed blocks for the owners of the keys."""
+    """Gathers the keys of a task's sets into packed blocks for the owners of the keys.
 
-    def __init__(self, owners: int):
-        self.owners, self.rows, self.held = owners, 0, ([], [], [])
+    A set is known by its place in the task (`rid`), which travels as two bytes a
+    key: its place in the block and the side.
+    """
 
-    def add(self, key: np.ndarray, node: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for x, v in zip(self.held, (key, node, side), strict=True):
-            x.append(v)
-        self.rows += len(key)
-        if self.rows >= BLOCK:
-            yield from self.flush()
+    def __init__(self, owners: int):
+        self.owners, self.next = owners, TaskContext.get().partitionId() << 40
+        self.base, self.rows, self.held = self.next, 0, ([], [])
+
+    def add(self, key: np.ndarray, owner: np.ndarray, side: np.ndarray, sets: int) -> Iterator[pa.RecordBatch]:
+        """Rows (key, owner, side) of the next sets 0 to sets - 1, sorted by owner."""
+        for lo in range(0, sets, 1 << 13):
+            hi = min(sets, lo + (1 << 13))
+            part = slice(*np.searchsorted(owner, [lo, hi]))
+            if self.rows + part.stop - part.start > BLOCK or self.next + hi - lo - self.base > 1 << 15:
+                yield from self.flush()
+            code = (self.next - self.base + owner[part] - lo) * 2 + side[part]
+            self.held[0].append(key[part])
+            self.held[1].append(code.astype(np.uint16))
+            self.next += hi - lo
+            self.rows += part.stop - part.start
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.rows:
-            key, node, side = (np.concatenate(x) for x in self.held)
-            for x in self.held:
-                x.clear()
-            self.rows = 0
-            yield to_batch(send(key, node, [node, side], self.owners, int(node[0]), short=True, useful=side == 0), ["node", "side"])
+            key, code = (np.concatenate(x) for x in self.held)
+            rows = send(key, code >> 1, [code], self.owners, int(key[0] % U64(self.owners)), short=True, useful=code & 1 == 0)
+            yield to_batch([(*r, np.int64(self.base).tobytes()) for r in rows], ["code", "base"])
+        for x in self.held:
+            x.clear()
+        self.base, self.rows = self.next, 0
+
+
+_WIRE = wire_schema(["code", "base"])
+
+
+def _decode(raw: list[pa.Buffer]) -> list[np.ndarray]:
+    """(rid, side) of a block's keys."""
+    code = np.frombuffer(raw[0], np.uint16).astype(np.int64)
+    return [np.frombuffer(raw[1], np.int64)[0] + (code >> 1), (code & 1).astype(np.int8)]
+
+
+def _table(kind: int, salt: int, *cols: np.ndarray) -> tuple:
+    """A block of kind 8 or 9, which passes the owners: int64 columns side by side."""
+    return salt, kind, np.stack([np.asarray(c).astype(np.int64) for c in cols], axis=1).tobytes(), b"", b"", b""
 
 
 def _sketched(docs: DataFrame, owners: int, spread: float, seed: int) -> DataFrame:
@@ -168,19 +196,20 @@ def _sketched(docs: DataFrame, owners: int, spread: float, seed: int) -> DataFra
                     if n[i] and x not in seen:
                         seen.add(x)
                         fresh[i] = True
+                place = np.cumsum(fresh) - 1
                 mine = fresh[t]
-                counts = []
-                for side in (0, 1):
-                    key, owner, u = part_sketches(s[mine], t[mine], n, side, spread)
-                    counts.append(u)
-                    yield from out.add(key, node[owner], np.full(len(key), side, np.int8))
-                meta = np.stack([ids[a:b], valid[a:b], node.view(np.int64), n, check.view(np.int64)], axis=1).astype(np.int64)
-                info = np.stack([node.view(np.int64), n, *counts], axis=1).astype(np.int64)[fresh]
+                s, t, size = s[mine], place[t[mine]], n[fresh]
+                parts = [part_sketches(s, t, size, side, spread) for side in (0, 1)]
+                key, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                side = np.repeat([0, 1], [len(p[0]) for p in parts])
+                order = np.argsort(owner, kind="stable")
                 salt = int(node[0] % U64(owners))
-                yield to_batch([(salt, 9, meta.tobytes(), b"", b"", b""), (salt, 8, info.tobytes(), b"", b"", b"")], ["node", "side"])
+                rid = out.next + np.arange(len(size))
+                yield to_batch([_table(9, salt, ids[a:b], valid[a:b], node.view(np.int64), n, check.view(np.int64)), _table(8, salt, rid, node[fresh].view(np.int64), size, parts[0][2], parts[1][2])], ["code", "base"])
+                yield from out.add(key[order], owner[order], side[order], len(size))
         yield from out.flush()
 
-    return docs.mapInArrow(run, wire_schema(["node", "side"]))
+    return docs.mapInArrow(run, _WIRE)
 
 
 def _set_keys(sets: DataFrame, owners: int) -> DataFrame:
@@ -189,70 +218,79 @@ def _set_keys(sets: DataFrame, owners: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Sender(owners)
         for batch in batches:
-            lists = batch.column(1)
-            key = lists.flatten().to_numpy().view(np.uint64)
-            node = np.repeat(batch.column(0).to_numpy().view(np.uint64), lists.value_lengths().to_numpy())
-            for a in range(0, len(key), BLOCK):
-                s = slice(a, a + BLOCK)
-                yield from out.add(key[s], node[s], np.zeros(len(key[s]), np.int8))
+            node = batch.column(0).to_numpy()
+            for a in range(0, len(node), 256):
+                lists = batch.column(1).slice(a, 256)
+                key = lists.flatten().to_numpy().view(np.uint64)
+                owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                rid = out.next + np.arange(len(lists))
+                zero = np.zeros(len(lists))
+                yield to_batch([_table(8, int(key[0] % U64(owners)), rid, node[a : a + 256], zero, zero, zero)], ["code", "base"])
+                yield from out.add(key, owner, np.zeros(len(key), np.int64), len(lists))
         yield from out.flush()
 
-    return sets.select("node", "hashes").mapInArrow(run, wire_schema(["node", "side"]))
+    return sets.select("node", "hashes").mapInArrow(run, _WIRE)
 
 
 def _homeward(wire: DataFrame, owners: int, homes: int, tasks: int, unique: bool) -> DataFrame:
-    """Packed rows on their way to their nodes' homes: of keys that several nodes have, or (unique) that one alone has."""
+    """Packed rows on their way to their sets' homes: of keys that several sets have, or (unique) that one alone has."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        info: list[np.ndarray] = []
         rows = 0
 
-        def pack(kind: int, node: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
-            home = (mix(node) % U64(homes)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
+        def pack(kind: int, rid: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
+            home = (mix(rid.view(np.uint64)) % U64(homes)).astype(np.int64)
+            order = np.lexsort((rid, home))
             cuts = np.flatnonzero(np.diff(home[order])) + 1
-            blobs = [(int(home[p[0]]), kind, *(c[p].tobytes() for c in cols), *[b""] * (3 - len(cols))) for p in np.split(order, cuts) if len(p)]
+            return batch_of([(int(home[p[0]]), kind, *(c[p].tobytes() for c in cols), *[b""] * (3 - len(cols))) for p in np.split(order, cuts) if len(p)])
+
+        def batch_of(blobs: list[tuple]) -> pa.RecordBatch:
             each = zip(*blobs, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(each, [pa.int32(), pa.int32(), *[pa.binary()] * 3], strict=True)], ["home", "kind", "key", "node", "side"])
+            return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(each, [pa.int32(), pa.int32(), *[pa.binary()] * 3], strict=True)], ["home", "kind", "key", "rid", "side"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal rows
             if rows:
-                key, node, side = (np.concatenate(x) for x in zip(*held, strict=True))
+                key, rid, side = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
                 rows = 0
-                yield pack(0, node, node) if unique else pack(0, node, key, node, side)
+                yield pack(0, rid, [rid] if unique else [key, rid, side])
 
-        for what, key, *more in owner_groups(batches, [np.uint64, np.int8], True, owners):
+        for what, key, *more in owner_groups(batches, _decode, True, owners):
             if what == "pass":
-                # Part counts go to the node's home; rows of documents anywhere, since a set may have any number of them.
-                table = np.frombuffer(more[0], np.int64).reshape(-1, 5 if key == 9 else 4)
-                if len(table):
-                    spot = np.ascontiguousarray(table[:, 0]).view(np.uint64)
-                    yield pack(key, mix(spot) if key == 9 else spot, table)
+                # Part counts go to the set's home; rows of documents anywhere.
+                if key == 8:
+                    info.append(np.frombuffer(more[0], np.int64).reshape(-1, 5))
+                elif more[0]:
+                    yield batch_of([(zlib.crc32(more[0]) % homes, 9, more[0], b"", b"")])
                 continue
             if what == "sure":
+                if unique:
+                    continue
                 kept = (key, *more[0])
             else:
-                flag, _, (node, side) = more
+                flag, _, (rid, side) = more
                 order = np.argsort(key, kind="stable")
-                k, nd, sd = key[order], node[order], side[order]
+                k, r, sd = key[order], rid[order], side[order]
                 first = np.concatenate([[True], k[1:] != k[:-1]])
                 starts = np.flatnonzero(first)
-                two = np.minimum.reduceat(nd, starts) != np.maximum.reduceat(nd, starts)
+                two = np.minimum.reduceat(r, starts) != np.maximum.reduceat(r, starts)
                 many = (two & np.logical_or.reduceat(sd == 0, starts)) | np.logical_or.reduceat(flag[order], starts)
-                keep = ~(many | two) if unique else many
-                keep = keep[np.cumsum(first) - 1]
-                kept = (k[keep], nd[keep], sd[keep])
-            if unique and what == "sure":
-                continue
+                keep = (~(many | two) if unique else many)[np.cumsum(first) - 1]
+                kept = (k[keep], r[keep], sd[keep])
             held.append(kept)
             rows += len(kept[0])
             if rows >= BLOCK:
                 yield from flush()
         yield from flush()
+        if info:
+            table = np.concatenate(info)
+            if len(table):
+                yield pack(8, np.ascontiguousarray(table[:, 0]), [table])
 
-    return to_owners(wire, tasks).mapInArrow(own, "home int, kind int, key binary, node binary, side binary")
+    return to_owners(wire, tasks).mapInArrow(own, "home int, kind int, key binary, rid binary, side binary")
 
 
 def _by_home(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, list[bytes]]]]:
@@ -276,12 +314,12 @@ def _to_homes(packed: DataFrame, tasks: int) -> DataFrame:
 
 
 def _candidates(packed: DataFrame, tasks: int) -> DataFrame:
-    """Rows (side -1: id, node, n, extra = check) per document, (side 0 or 1: node, n, extra = need, keys) per node that may have a partner, (side -2) where the parts were too few."""
-    names = ["id", "node", "side", "n", "extra", "keys"]
+    """Rows (side -1: id, node, n, extra = check) per document, (side 0 or 1: rid, node, n, extra = need, keys) per set that may have a partner, (side -2) where the parts were too few."""
+    names = ["id", "rid", "node", "side", "n", "extra", "keys"]
 
-    def batch_of(ids, node, side, n, extra, keys, sizes) -> pa.RecordBatch:
+    def batch_of(ids, rid, node, side, n, extra, keys, sizes) -> pa.RecordBatch:
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        cols = [ids, pa.array(node.view(np.int64)), pa.array(side.astype(np.int8)), pa.array(n), pa.array(extra), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))]
+        cols = [ids, pa.array(rid), pa.array(node), pa.array(side.astype(np.int8)), pa.array(n), pa.array(extra), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))]
         return pa.RecordBatch.from_arrays(cols, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,46 +329,49 @@ def _candidates(packed: DataFrame, tasks: int) -> DataFrame:
                 m = np.frombuffer(raw, np.int64).reshape(-1, 5)
                 ids = pa.array(m[:, 0], mask=m[:, 1] == 0)
                 zero = np.zeros(len(m), np.int64)
-                yield batch_of(ids, np.ascontiguousarray(m[:, 2]), zero - 1, np.ascontiguousarray(m[:, 3]), np.ascontiguousarray(m[:, 4]), none, zero)
-            info = [np.frombuffer(b[1][0], np.int64).reshape(-1, 4) for b in blocks if b[0] == 8]
+                yield batch_of(ids, zero, np.ascontiguousarray(m[:, 2]), zero - 1, np.ascontiguousarray(m[:, 3]), np.ascontiguousarray(m[:, 4]), none, zero)
+            info = [np.frombuffer(b[1][0], np.int64).reshape(-1, 5) for b in blocks if b[0] == 8]
             if not info:
                 continue
             info = np.concatenate(info)
-            known, at = np.unique(np.ascontiguousarray(info[:, 0]).view(np.uint64), return_index=True)
-            n, u = info[at, 1], info[at, 2:].T
+            info = info[np.argsort(info[:, 0])]
+            known, node, n, u = info[:, 0], info[:, 1], info[:, 2], info[:, 3:].T
             band = np.searchsorted(LOW, n, "right") - 1
             need = np.stack([u[z] - tolerance(n, np.maximum(band - z, 0)) for z in (0, 1)])
             if (need[0] <= 0).any() or ((need[1] <= 0) & (u[1] > 0)).any():
                 one = np.zeros(1, np.int64)
-                yield batch_of(pa.array([None], pa.int64()), one, one - 2, one, one, none, one)
+                yield batch_of(pa.array([None], pa.int64()), one, one, one - 2, one, one, none, one)
             sent = [b[1] for b in blocks if b[0] == 0]
             if not sent:
                 continue
-            key, node = (np.concatenate([np.frombuffer(x[i], np.uint64) for x in sent]) for i in (0, 1))
+            key, rid = (np.concatenate([np.frombuffer(x[i], ty) for x in sent]) for i, ty in ((0, np.uint64), (1, np.int64)))
             side = np.concatenate([np.frombuffer(x[2], np.int8) for x in sent])
-            spot = np.searchsorted(known, node) * 2 + side
+            spot = np.searchsorted(known, rid) * 2 + side
             order = np.lexsort((key, spot))
             key, spot = key[order], spot[order]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (spot[1:] != spot[:-1])])
-            key, spot = key[new], spot[new]
             k = np.bincount(spot, minlength=2 * len(known))
             enough = k >= np.maximum(need, 1).T.ravel()
             k = k * enough
             key = key[enough[spot]]
             has = np.flatnonzero(k)
             ids = pa.nulls(len(has), pa.int64())
-            yield batch_of(ids, known[has // 2], has % 2, n[has // 2], need.T.ravel()[has], key, k[has])
+            yield batch_of(ids, known[has // 2], node[has // 2], has % 2, n[has // 2], need.T.ravel()[has], key, k[has])
 
-    return _to_homes(packed, tasks).mapInArrow(run, "id long, node long, side byte, n long, extra long, keys array<long>")
+    return _to_homes(packed, tasks).mapInArrow(run, "id long, rid long, node long, side byte, n long, extra long, keys array<long>")
 
 
 def _counts(packed: DataFrame, tasks: int) -> DataFrame:
-    """(node, s): rows that reached the node's home."""
+    """(node, s): rows that reached the set's home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in _by_home(batches):
-            node, s = np.unique(np.concatenate([np.frombuffer(x[0], np.uint64) for _, x in blocks]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(s.astype(np.int64))], ["node", "s"])
+            info = [np.frombuffer(x[0], np.int64).reshape(-1, 5) for kind, x in blocks if kind == 8]
+            sent = [np.frombuffer(x[0], np.int64) for kind, x in blocks if kind == 0]
+            if info and sent:
+                table = np.concatenate(info)
+                table = table[np.argsort(table[:, 0])]
+                s = np.bincount(np.searchsorted(table[:, 0], np.concatenate(sent)), minlength=len(table))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, 1])), pa.array(s.astype(np.int64))], ["node", "s"])
 
     return _to_homes(packed, tasks).mapInArrow(run, "node long, s long")
 
@@ -532,7 +573,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     without words have no shingles and are linked with nothing: their component
     is their own id. Equal sets are one node and compared once. Other columns are
     ignored, whatever their names. Empty input: no rows. Only counts reach the
-    driver. The work inside one sketch's group that spans components is a product
+    driver. Rows must come in the same order when a lost task is run again, as
+    those of files do. The work inside one sketch's group that spans components is a product
     of their rows, dealt into cells of `cell_rows` rows; pairs without a light
     node (see `_pairs_across`) are never looked at.
     """
@@ -542,7 +584,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     owners = 4 * tasks
     seed = 0
     while True:
-        raw = scratch.table(_candidates(_homeward(_sketched(narrow, owners, spread, seed), owners, owners, tasks, False), tasks))
+        raw = scratch.table(_candidates(_homeward(_sketched(narrow, owners, spread, seed), owners, tasks, tasks, False), tasks))
         scratch.free_shuffles()
         meta = raw.where("side = -1").select("id", "node", "n", F.col("extra").alias("check"))
         agg = meta.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.max("n").alias("n"), (F.struct(F.min("check"), F.min("n")) < F.struct(F.max("check"), F.max("n"))).alias("clash"))
@@ -553,14 +595,17 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
             break
         spread, seed = spread * 1.5 if few else spread, seed + 1
         scratch.drop(raw, classes)
-    table = raw.where("side >= 0").select("node", "side", F.col("extra").alias("need"), "keys")
-    active = scratch.table(table.select("node").distinct().join(classes.select("node", "rep"), "node"))
+    # Tasks that had the same set sent it each: one of them stands for the node.
+    table = raw.where("side >= 0").select("rid", "node", "side", F.col("extra").alias("need"), "keys")
+    one = table.groupBy("node").agg(F.min("rid").alias("rid"))
+    active = scratch.table(one.join(classes.select("node", "rep"), "node"))
+    table = table.join(active.select("rid"), "rid", "left_semi").drop("rid")
     wanted = active.where("rep is not null").select(F.col("rep").alias("id_")).distinct()
     nameless = narrow.where("id_ is null") if active.where("rep is null").limit(1).count() else narrow.limit(0)
     texts = narrow.where("id_ is not null").join(wanted, "id_", "left_semi").unionByName(nameless).select("text_")
     sets = scratch.table(_sets(texts, seed).join(active.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     scratch.free_shuffles()
-    alone = _counts(_homeward(_set_keys(sets, owners), owners, owners, tasks, True), tasks)
+    alone = _counts(_homeward(_set_keys(sets, owners), owners, tasks, tasks, True), tasks)
     own = F.coalesce("s", F.lit(0))
     # Of similar sets A and B, |A - B| is at most |A| / 4, and the symmetric difference at most (|A| + |B|) / 7.
     nodes = sets.select("node", "n").join(alone, "node", "left").where(4 * own <= F.col("n")).select("node", "n", (7 * own - F.col("n")).alias("w"), F.col("node").alias("comp"))
