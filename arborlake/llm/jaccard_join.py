@@ -176,7 +176,7 @@ def _table(kind: int, salt: int, *cols: np.ndarray) -> tuple:
 
 
 def _sketched(docs: DataFrame, owners: int, spread: float, seed: int) -> DataFrame:
-    """Packed sketches of the sets (kind 0 to 2), their part counts (8) and one row (9) per document."""
+    """Packed sketches of the sets (kind 0 to 2), their needs (8) and one row (9) per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, seen = _Sender(owners), set()
@@ -205,31 +205,35 @@ def _sketched(docs: DataFrame, owners: int, spread: float, seed: int) -> DataFra
                 order = np.argsort(owner, kind="stable")
                 salt = int(node[0] % U64(owners))
                 rid = out.next + np.arange(len(size))
-                yield to_batch([_table(9, salt, ids[a:b], valid[a:b], node.view(np.int64), n, check.view(np.int64)), _table(8, salt, rid, node[fresh].view(np.int64), size, parts[0][2], parts[1][2])], ["code", "base"])
+                band = np.searchsorted(LOW, size, "right") - 1
+                need = [parts[z][2] - tolerance(size, np.maximum(band - z, 0)) for z in (0, 1)]
+                need[1] = np.where(parts[1][2] > 0, need[1], 1)
+                yield to_batch([_table(9, salt, ids[a:b], valid[a:b], node.view(np.int64), n, check.view(np.int64)), _table(8, salt, rid, node[fresh].view(np.int64), size, *need)], ["code", "base"])
                 yield from out.add(key[order], owner[order], side[order], len(size))
         yield from out.flush()
 
     return docs.mapInArrow(run, _WIRE)
 
 
-def _set_keys(sets: DataFrame, owners: int) -> DataFrame:
-    """Packed shingles of sets (node, hashes)."""
+def _row_keys(rows: DataFrame, owners: int) -> DataFrame:
+    """Packed keys of rows (node, n, side, need, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Sender(owners)
         for batch in batches:
-            node = batch.column(0).to_numpy()
+            node, n, side, need = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
             for a in range(0, len(node), 256):
-                lists = batch.column(1).slice(a, 256)
+                part = slice(a, a + 256)
+                lists = batch.column(4).slice(a, 256)
                 key = lists.flatten().to_numpy().view(np.uint64)
                 owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
                 rid = out.next + np.arange(len(lists))
-                zero = np.zeros(len(lists))
-                yield to_batch([_table(8, int(key[0] % U64(owners)), rid, node[a : a + 256], zero, zero, zero)], ["code", "base"])
-                yield from out.add(key, owner, np.zeros(len(key), np.int64), len(lists))
+                needs = [np.where(side[part] == z, need[part], 1) for z in (0, 1)]
+                yield to_batch([_table(8, int(key[0] % U64(owners)), rid, node[part], n[part], *needs)], ["code", "base"])
+                yield from out.add(key, owner, side[part][owner], len(lists))
         yield from out.flush()
 
-    return sets.select("node", "hashes").mapInArrow(run, _WIRE)
+    return rows.select("node", "n", "side", "need", "keys").mapInArrow(run, _WIRE)
 
 
 def _homeward(wire: DataFrame, owners: int, homes: int, tasks: int, unique: bool) -> DataFrame:
@@ -260,7 +264,7 @@ def _homeward(wire: DataFrame, owners: int, homes: int, tasks: int, unique: bool
 
         for what, key, *more in owner_groups(batches, _decode, True, owners):
             if what == "pass":
-                # Part counts go to the set's home; rows of documents anywhere.
+                # Needs go to the set's home; rows of documents anywhere.
                 if key == 8:
                     info.append(np.frombuffer(more[0], np.int64).reshape(-1, 5))
                 elif more[0]:
@@ -335,10 +339,8 @@ def _candidates(packed: DataFrame, tasks: int) -> DataFrame:
                 continue
             info = np.concatenate(info)
             info = info[np.argsort(info[:, 0])]
-            known, node, n, u = info[:, 0], info[:, 1], info[:, 2], info[:, 3:].T
-            band = np.searchsorted(LOW, n, "right") - 1
-            need = np.stack([u[z] - tolerance(n, np.maximum(band - z, 0)) for z in (0, 1)])
-            if (need[0] <= 0).any() or ((need[1] <= 0) & (u[1] > 0)).any():
+            known, node, n, need = info[:, 0], info[:, 1], info[:, 2], info[:, 3:].T
+            if (need <= 0).any():
                 one = np.zeros(1, np.int64)
                 yield batch_of(pa.array([None], pa.int64()), one, one, one - 2, one, one, none, one)
             sent = [b[1] for b in blocks if b[0] == 0]
@@ -595,17 +597,20 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
             break
         spread, seed = spread * 1.5 if few else spread, seed + 1
         scratch.drop(raw, classes)
-    # Tasks that had the same set sent it each: one of them stands for the node.
-    table = raw.where("side >= 0").select("rid", "node", "side", F.col("extra").alias("need"), "keys")
-    one = table.groupBy("node").agg(F.min("rid").alias("rid"))
-    active = scratch.table(one.join(classes.select("node", "rep"), "node"))
-    table = table.join(active.select("rid"), "rid", "left_semi").drop("rid")
+    # Tasks that had the same set sent it each, so its sketches seemed to repeat: now one of them stands for the node.
+    sent = raw.where("side >= 0").select("rid", "node", "n", "side", F.col("extra").alias("need"), "keys")
+    one = sent.groupBy("node").agg(F.min("rid").alias("rid"))
+    sent = scratch.table(sent.join(one.select("rid"), "rid", "left_semi"))
+    table = scratch.table(_candidates(_homeward(_row_keys(sent, owners), owners, tasks, tasks, False), tasks).select("node", "side", F.col("extra").alias("need"), "keys"))
+    scratch.free_shuffles()
+    active = scratch.table(table.select("node").distinct().join(classes.select("node", "rep"), "node"))
     wanted = active.where("rep is not null").select(F.col("rep").alias("id_")).distinct()
     nameless = narrow.where("id_ is null") if active.where("rep is null").limit(1).count() else narrow.limit(0)
     texts = narrow.where("id_ is not null").join(wanted, "id_", "left_semi").unionByName(nameless).select("text_")
     sets = scratch.table(_sets(texts, seed).join(active.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     scratch.free_shuffles()
-    alone = _counts(_homeward(_set_keys(sets, owners), owners, tasks, tasks, True), tasks)
+    all_keys = sets.select("node", "n", F.lit(0).alias("side"), F.lit(1).alias("need"), F.col("hashes").alias("keys"))
+    alone = _counts(_homeward(_row_keys(all_keys, owners), owners, tasks, tasks, True), tasks)
     own = F.coalesce("s", F.lit(0))
     # Of similar sets A and B, |A - B| is at most |A| / 4, and the symmetric difference at most (|A| + |B|) / 7.
     nodes = sets.select("node", "n").join(alone, "node", "left").where(4 * own <= F.col("n")).select("node", "n", (7 * own - F.col("n")).alias("w"), F.col("node").alias("comp"))
