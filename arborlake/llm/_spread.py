@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._scratch import Scratch
+
 BLOCK = 50_000
 
 
@@ -41,3 +43,11 @@ def split_join(many: DataFrame, one: DataFrame, key: list[str], size: str, rows:
     first = tagged.where(F.col("hot_")).drop("hot_").join(hot.drop("hot_"), key)
     second = tagged.where(F.col("hot_").isNull()).drop("hot_").join(cold, key, "left")
     return first.unionByName(second)
+
+
+def keyed(scratch: Scratch, docs: DataFrame, id_col: str, key: str) -> DataFrame:
+    """docs with a unique long `key`: the id where every row has one of its own, and else a number given to each row in a copy."""
+    ids = docs.select(F.col(id_col).cast("long").alias("i_")).agg(F.count("*").alias("n"), F.count_distinct("i_").alias("d")).first()
+    if ids["n"] == ids["d"]:
+        return docs.withColumn(key, F.col(id_col).cast("long"))
+    return scratch.table(docs.withColumn(key, F.monotonically_increasing_id()))

@@ -5,9 +5,11 @@ shards, so shards are made by content. A window's anchor is its smallest 8-gram
 hash (leftmost if tied), the same wherever the window stands; consecutive
 windows with one anchor form a run. Two equal windows have equal anchors, so
 only runs whose anchor repeats are candidates, and all of them meet in the
-anchor's shard. Runs that repeat whole are known from their fingerprints and
-enter the index once. There, an FM-index over the distinct runs tells by
-backward search, as matching statistics, which windows occur again.
+anchor's shard. Runs that are alike as a whole (by a 64-bit fingerprint) enter
+the index twice, however many there are, and are searched once. In a shard, an
+FM-index over these runs is searched backward for each of them: its matching
+statistics tell which windows occur again. Words are compared by 64-bit hashes:
+two different words agree with probability 2^-64.
 """
 
 from __future__ import annotations
@@ -23,12 +25,26 @@ from pyspark.sql import functions as F
 from ._bytes import U64, mix, ngrams, powers, utf8_chunks, words
 from ._owners import BLOCK, repeated, send, to_batch, wire_schema
 from ._scratch import Scratch
+from ._spread import keyed, split_join
 from .fm_index import FMIndex, repeated_windows
 
 WINDOW, GRAM = 35, 8
 _BASE = 0xC2B2AE3D27D4EB4F | 5
 _INV = pow(_BASE, -1, 1 << 64)
 _POS = U64((1 << 24) - 1)
+#: 8-grams whose smallest are sought at once; their places must fit under _POS.
+STRETCH = 1 << 23
+
+
+def _smallest(g: np.ndarray, grams: int) -> np.ndarray:
+    """Place of the smallest of each `grams` consecutive hashes (by their upper 40 bits, the leftmost if tied)."""
+    low = (g & ~_POS) | np.arange(len(g)).astype(U64)
+    n = len(g) - grams + 1
+    span = 1
+    while 2 * span <= grams:
+        low = np.minimum(low[: len(low) - span], low[span:])
+        span *= 2
+    return (np.minimum(low[:n], low[grams - span : grams - span + n]) & _POS).astype(np.int64)
 
 
 def runs(data: np.ndarray, offs: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
@@ -39,14 +55,8 @@ def runs(data: np.ndarray, offs: np.ndarray, window: int = WINDOW) -> tuple[np.n
     if n <= 0:
         return z, z, z, z.astype(U64), z.astype(U64)
     g = ngrams(h, GRAM, 77)
-    low = (g & ~_POS) | np.arange(len(g)).astype(U64)
     grams = window - GRAM + 1
-    span = 1
-    while 2 * span <= grams:
-        low = np.minimum(low[: len(low) - span], low[span:])
-        span *= 2
-    low = np.minimum(low[:n], low[grams - span : grams - span + n])
-    at = (low & _POS).astype(np.int64)
+    at = np.concatenate([i + _smallest(g[i : i + STRETCH + grams - 1], grams) for i in range(0, n, STRETCH)])[:n]
     valid = t[:n] == t[window - 1 :]
     first = valid.copy()
     first[1:] &= ~valid[:-1] | (at[1:] != at[:-1]) | (t[1:n] != t[: n - 1])
@@ -115,7 +125,7 @@ def _segments(wanted: DataFrame, shards: int, window: int) -> DataFrame:
                     size = n[own].astype(np.int64) + window - 1
                     lo = begin[owner[own]] + first[own]
                     idx = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-                    rows.append((int(shard[own[0]]), ids[a:b][owner[own]].tobytes(), first[own].astype(np.int32).tobytes(), n[own].astype(np.int8).tobytes(), search[own].astype(bool).tobytes(), h[idx].tobytes()))
+                    rows.append((int(shard[own[0]]), ids[a:b][owner[own]].tobytes(), first[own].astype(np.int32).tobytes(), n[own].astype(np.int8).tobytes(), search[own].astype(np.int8).tobytes(), h[idx].tobytes()))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, [pa.int32()] + [pa.binary()] * 5, strict=True)], ["shard", "doc", "first", "n", "search", "hashes"])
 
@@ -123,18 +133,26 @@ def _segments(wanted: DataFrame, shards: int, window: int) -> DataFrame:
 
 
 def _search(segments: DataFrame, tasks: int, window: int) -> DataFrame:
-    """(doc, first, mask): bit i set if the run's window i occurs again. One FM-index per shard."""
+    """(doc, first, search, mask): bit i set if the run's window i occurs again. One FM-index per shard, one shard at a time in a worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: dict[int, list[list[np.ndarray]]] = {}
-        kinds = (np.int64, np.int32, np.int8, bool, np.uint64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                got = shards.setdefault(batch.column(0)[i].as_py(), [[] for _ in kinds])
-                for held, c, kind in zip(got, batch.columns[1:], kinds, strict=True):
-                    held.append(np.frombuffer(c[i].as_buffer(), kind))
-        for shard in list(shards):
-            doc, first, n, search, h = (np.concatenate(x) for x in shards.pop(shard))
+        kinds = (np.int64, np.int32, np.int8, np.int8, np.uint64)
+
+        def shards() -> Iterator[list[np.ndarray]]:
+            held: list[list[np.ndarray]] = []
+            current = None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    shard = batch.column(0)[i].as_py()
+                    if shard != current and held:
+                        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                        held.clear()
+                    current = shard
+                    held.append([np.frombuffer(c[i].as_buffer(), kind) for c, kind in zip(batch.columns[1:], kinds, strict=True)])
+            if held:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+        for doc, first, n, search, h in shards():
             size = n.astype(np.int64) + window - 1
             start = np.cumsum(size + 1) - size  # a separator before each segment
             _, symbol = np.unique(h, return_inverse=True)
@@ -147,9 +165,9 @@ def _search(segments: DataFrame, tasks: int, window: int) -> DataFrame:
             mask = np.zeros(len(own), np.uint64)
             np.bitwise_or.at(mask, seg, ((U64(1) << hi.astype(U64)) - U64(1)) & ~((U64(1) << lo.astype(U64)) - U64(1)))
             hit = mask > 0
-            yield pa.RecordBatch.from_arrays([pa.array(doc[own][hit]), pa.array(first[own][hit]), pa.array(mask[hit].view(np.int64))], ["doc", "first", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[own][hit]), pa.array(first[own][hit]), pa.array(search[own][hit]), pa.array(mask[hit].view(np.int64))], ["doc", "first", "search", "mask"])
 
-    return segments.repartition(tasks, "shard").mapInArrow(run, "doc long, first int, mask long")
+    return segments.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(run, "doc long, first int, search byte, mask long")
 
 
 def _apply(joined: DataFrame, window: int, id_col: str, kind: str) -> DataFrame:
@@ -183,35 +201,41 @@ def _apply(joined: DataFrame, window: int, id_col: str, kind: str) -> DataFrame:
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space).
+    """One row per row of docs: id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space).
 
     Windows are judged on the input, so every copy of a repeated passage goes,
     in one document too. Null and empty texts have no words; texts shorter than
-    a window lose nothing. Ids are unique integers; rows without an id are left
-    out. Empty input: no rows.
+    a window lose nothing. Ids are integers; repeated rows are documents like
+    others (so they lose all windows), and so are rows without an id. Other
+    columns are ignored, whatever their names. Empty input: no rows.
     """
     scratch = Scratch(spark, "repeats")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text_"))
+    narrow = keyed(scratch, docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")), "id_", "doc")
+    texts = narrow.select("doc", "text_")
     names, types = ["doc", "first", "n", "side"], ["long", "int", "byte", "byte"]
-    found = scratch.table(repeated(_find_runs(narrow, 4 * tasks, window), names, types, tasks, 4 * tasks))
+    found = scratch.table(repeated(_find_runs(texts, 4 * tasks, window), names, types, tasks, 4 * tasks))
     scratch.free_shuffles()
-    run = ["doc", "first"]
-    whole = found.where("side = 1")
-    # Both rows of a run meet; the fingerprint's key tells which runs are equal.
-    state = found.groupBy(*run).agg(F.max("n").alias("n"), F.max(F.when(F.col("side") == 0, F.col("key"))).alias("anchor"), F.max(F.when(F.col("side") == 1, F.col("key"))).alias("print"))
+    # Both rows of a run meet; the fingerprint's key tells which runs are alike.
+    state = found.groupBy("doc", "first").agg(F.max("n").alias("n"), F.max(F.when(F.col("side") == 0, F.col("key"))).alias("anchor"), F.max(F.when(F.col("side") == 1, F.col("key"))).alias("print"))
     state = scratch.table(state)
-    open_ = state.where("print is null")
-    one = state.where("print is not null").groupBy("print", "anchor").agg(F.min(F.struct("doc", "first", "n")).alias("s")).select("s.*", "anchor")
-    one = one.join(open_.select("anchor").distinct(), "anchor", "left_semi")
-    wanted = open_.select("doc", "first", "n", F.lit(True).alias("search"), "anchor").unionByName(one.select("doc", "first", "n", F.lit(False).alias("search"), "anchor"))
+    scratch.drop(found)
+    alike = ["print", "anchor"]
+    place = F.struct("doc", "first", "n")
+    two = scratch.table(state.where("print is not null").groupBy(*alike).agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("c")))
+    search = lambda kind: F.lit(kind).cast("byte").alias("search")
+    wanted = state.where("print is null").select("doc", "first", "n", search(1), "anchor")
+    wanted = wanted.unionByName(two.select("lo.*", search(2), "anchor")).unionByName(two.select("hi.*", search(0), "anchor"))
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "search", "anchor")).alias("runs"))
-    segments = _segments(narrow.join(lists, "doc").select("doc", "text_", "runs"), 4 * tasks, window)
+    segments = _segments(texts.join(lists, "doc").select("doc", "text_", "runs"), 4 * tasks, window)
     masks = scratch.table(_search(segments, tasks, window))
     scratch.free_shuffles()
-    full = whole.select("doc", "first", F.expr("shiftleft(1L, cast(n as int)) - 1").alias("mask"))
-    per_doc = masks.unionByName(full).groupBy("doc").agg(F.collect_list(F.struct("first", "mask")).alias("masks"))
-    return _apply(narrow.join(per_doc, "doc", "left").select("doc", "text_", "masks"), window, id_col, "long")
+    # What the index says of one run holds for all that are alike.
+    told = two.select(*alike, F.col("lo.doc").alias("doc"), F.col("lo.first").alias("first"), "c").join(masks.where("search = 2"), ["doc", "first"]).select(*alike, "mask", "c")
+    whole = state.where("print is not null").select("doc", "first", *alike)
+    spread = split_join(whole, told, alike, "c", whole.count()).where("mask is not null").select("doc", "first", "mask")
+    per_doc = masks.where("search = 1").select("doc", "first", "mask").unionByName(spread).groupBy("doc").agg(F.collect_list(F.struct("first", "mask")).alias("masks"))
+    return _apply(narrow.join(per_doc, "doc", "left").select("id_", "text_", "masks"), window, id_col, dict(narrow.dtypes)["id_"])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
+from arborlake.llm._scratch import Scratch  # noqa: E402
 from arborlake.llm import _bytes, decontaminate, exact_dedup, fm_index, jaccard_join, language_id, packing, registry, secret_scan, sharding, substring_dedup, toxicity, url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -89,8 +90,38 @@ def test_exact_dedup(spark, docs, empty):
 
 def test_directory_splits_overfull_buckets():
     d = exact_dedup.directory({0b0000: 5, 0b0001: 1, 0b1000: 1, 0b1100: 1}, 3, 4)
-    assert d[0b0000] == (0b10000, 4) and d[0b0001] == (0b10001, 4)
-    assert d[0b1000] == d[0b1100] == (0b11, 1)
+    assert d == {0b0000: (0, 2, 4), 0b0001: (2, 1, 4), 0b1000: (3, 1, 1), 0b1100: (3, 1, 1)}
+
+
+def test_index_owners_hold_key_ranges(spark):
+    texts = [f"text {i}" for i in range(3000)] + ["hot"] * 1500
+    df = spark.createDataFrame(list(enumerate(texts)), "id_ long, norm string")
+    index = exact_dedup.Index(Scratch(spark, "t"), df, capacity=200)
+    rows = index.files.toPandas()
+    assert len(rows) == 4500 and rows.groupby("owner").size().max() <= 400 and rows.owner.nunique() > 15
+    rows["key"] = rows.h.to_numpy().view(np.uint64)
+    ends = rows.groupby("owner").key.agg(["min", "max"]).sort_index()
+    assert (ends["max"].to_numpy()[:-1] <= ends["min"].to_numpy()[1:]).mean() > 0.6 and rows[rows.h.duplicated(keep=False)].owner.nunique() >= 7
+    got = exact_dedup.exact_dedup(spark, df, "id_", "norm", capacity=200).toPandas()
+    assert len(got) == 4500 and set(got[got.group_size > 1].keep_id) == {3000} and got.kept.sum() == 3001
+
+
+def test_exact_dedup_moves_only_repeated_texts(spark):
+    df = spark.createDataFrame([(i, f"text {i // 2 if i < 10 else i}") for i in range(5000)], "doc_id long, text string")
+    plan = exact_dedup.exact_dedup(spark, df)
+    index = exact_dedup.Index(Scratch(spark, "t"), df.select(F.col("doc_id").alias("id_"), F.col("text").alias("norm")))
+    bits, pages = index.marks()
+    assert pages.select(F.sum(F.bitmap_count("marks"))).first()[0] == 5 and bits >= 16
+    assert plan.where("group_size = 2").count() == 10 and "Python" not in plan._jdf.queryExecution().toString()
+
+
+def test_exact_dedup_takes_every_row(spark):
+    rows = [(1, "a  b"), (1, "a b"), (2, "a\tb"), (None, "a b"), (None, "c"), (None, "c"), (1, "d"), (None, None), (5, "")]
+    extra = {c: F.lit("x") for c in ("id_", "norm", "h", "sha", "cell", "owner", "keep_id", "group_size", "kept", "page", "marks")}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns(extra)
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, df).collect()]
+    want = [(1, 1, 4, True), (1, 1, 4, True), (2, 1, 4, False), (None, 1, 4, False), (None, None, 2, True), (None, None, 2, True), (1, 1, 1, True), (None, 5, 2, False), (5, 5, 2, True)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
 def test_jaccard_against_brute_force(spark, docs, empty):
@@ -191,6 +222,35 @@ def test_substring_dedup_against_brute_force(spark, docs, empty):
     assert substring_dedup.remove_repeats(spark, empty).count() == 0
 
 
+def test_substring_dedup_takes_every_row(spark):
+    passage = prose(50)
+    rows = [(1, passage + " a"), (1, "b " + passage), (None, prose(40)), (2, None), (3, prose(70)), (3, prose(36))]
+    rows += [rows[4], (None, "c " + passage)]
+    extra = {c: F.lit("x") for c in ("id_", "doc", "text_", "first", "n", "key", "side", "masks", "kept_text", "n_words")}
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumns(extra)).collect()]
+    want = brute.repeats([(i, t) for i, (_, t) in enumerate(rows)])
+    assert sorted(map(repr, got)) == sorted(repr((rows[i][0], *v)) for i, v in want.items()) and sum(v[1] for v in want.values()) == 3 * 50 + 2 * 70
+
+
+def test_runs_of_texts_longer_than_a_stretch(monkeypatch):
+    text = prose(3000).encode()
+    data, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    want = substring_dedup.runs(data, offs)
+    monkeypatch.setattr(substring_dedup, "STRETCH", 64)
+    monkeypatch.setattr(substring_dedup, "_POS", np.uint64(127))
+    got = substring_dedup.runs(data, offs)
+    assert got[2].sum() == want[2].sum() == 3000 - 34
+    monkeypatch.setattr(substring_dedup, "_POS", np.uint64((1 << 24) - 1))
+    assert all((a == b).all() for a, b in zip(substring_dedup.runs(data, offs), want, strict=True))
+
+
+def test_index_decides_whole_runs(spark, monkeypatch):
+    # With an index that finds nothing, nothing is removed: fingerprints alone decide no window.
+    monkeypatch.setattr(substring_dedup, "_search", lambda segments, tasks, window: spark.createDataFrame([], "doc long, first int, search byte, mask long"))
+    df = spark.createDataFrame([(i, prose(10) + " " + ROWS[7][1]) for i in range(4)], "doc_id long, text string")
+    assert substring_dedup.remove_repeats(spark, df).agg(F.sum("n_removed")).first()[0] == 0
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=30), min_size=1, max_size=6), st.integers(2, 6))
 def test_fm_index_windows(texts, window):
@@ -234,6 +294,40 @@ def test_large_groups_stay_in_as_few_shards_as_they_need(spark):
     assert {t: int(used[t]) for t in sizes} == {t: 6 if t == "third" else 1 for t in sizes}
 
 
+def test_propagation_cuts_fewer_links(spark):
+    r = random.Random(3)
+    texts = [f"g{i}" for i in range(150) for _ in range(r.randint(2, 9))]
+    texts += [f"single {i}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    report = {}
+    rows = sharding.balanced_shards(spark, df, shards=8, report=report).toPandas()
+    cuts = report["cuts"]
+    assert len(cuts) > 2 and cuts[0] > cuts[1] and cuts[-1] < 0.1 * cuts[0]
+    at = rows.assign(text=[texts[i] for i in rows.doc_id])
+    same = at.groupby(["text", "shard"]).size()
+    n = at.groupby("text").size()
+    assert cuts[-1] == ((n * n).sum() - (same * same).sum()) // 2
+    each = rows.groupby("shard").size()
+    assert each.max() - each.min() <= 1 and len(rows) == len(texts)
+    # Without a document to spare the quotas hold all the same.
+    full = spark.createDataFrame(list(enumerate(texts[: 8 * (len(texts[:-300]) // 8)])), "doc_id long, text string")
+    rows = sharding.balanced_shards(spark, full, shards=8, report=report).toPandas()
+    assert rows.groupby("shard").size().nunique() == 1 and report["cuts"][-1] < 0.2 * report["cuts"][0]
+
+
+def test_granted_moves_respect_room():
+    assert sharding.granted({(0, 1): 5, (1, 0): 3, (2, 1): 4}, [0, 3, 0]) == {(0, 1): 3, (1, 0): 3, (2, 1): 3}
+
+
+def test_sharding_takes_every_row(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "a"), (None, None), (2, "")] * 7
+    extra = {c: F.lit("x") for c in ("id_", "shard", "slot", "size", "law", "n", "c", "g1", "rank_")}
+    got = sharding.balanced_shards(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumns(extra), shards=4).toPandas()
+    assert len(got) == 42 and sorted(got.groupby("shard").size()) == [10, 10, 11, 11]
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert sorted(got.doc_id.fillna(-1).astype(int)) == sorted(-1 if i is None else i for i, _ in rows)
+
+
 def test_url_rules_and_odd_urls(spark):
     urls = {1: "https://a.example.net/en/1?x", 2: "http://Example.NET/fr", 3: "http://b.example.com/de/x#y", 4: "http://x.org/fr/", 5: "http://notexample.com/de/", 6: None, 7: "no url", 8: "http://org", 9: "http://x.org/q?u=http://a.example.net/en/", 10: "ftp://net/", 11: "http://m.net/example.com/de/", 12: "http://spam-farm.example.org/a", 13: "http://ok.example.org/" + "z" * 3000}
     df = spark.createDataFrame(list(urls.items()), "page_id long, url string")
@@ -333,6 +427,42 @@ def test_language_id(spark, empty):
     assert langs == [] and {r.lang_pred for r in language_id.predict(spark, df, langs, m).collect()} == {"und"}
 
 
+def test_kneser_ney_against_a_plain_version(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(VOCAB[:30] if i % 2 else VOCAB[15:60]) for _ in range(25)), i % 2) for i in range(80)]
+    model = toxicity.train(spark.createDataFrame(rows, "id_ long, text string, toxic int"))
+    fold = {x.id: x.f for x in spark.range(80).select("id", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(4)).alias("f")).collect()}
+    pair = [{}, {}]
+    for i, t, y in rows:
+        if fold[i] > 0:
+            for a, b in zip(["", *t.split()], t.split(), strict=False):
+                pair[y][a, b] = pair[y].get((a, b), 0) + 1
+    d, every = toxicity.DISCOUNT, set(pair[0]) | set(pair[1])
+    types = {w for _, w in every}
+
+    def shared(w):
+        base = d * len(types) / len(every) / (len(types) + 1)
+        return max(sum(b == w for _, b in every) - d, 0) / len(every) + base if w in types else base
+
+    def unigram(c, w):
+        if w not in types:
+            return shared(w)
+        k = sum(b == w for _, b in pair[c])
+        return max(k - d, 0) / len(pair[c]) + d * len({b for _, b in pair[c]}) / len(pair[c]) * shared(w)
+
+    def bigram(c, h, w):
+        after = {b: n for (a, b), n in pair[c].items() if a == h}
+        total = sum(after.values())
+        return unigram(c, w) if not total else max(after.get(w, 0) - d, 0) / total + d * len(after) / total * unigram(c, w)
+
+    text = "w3 w3 w17 w20 w59 unseen w1 w40 w16"
+    h, _, _, t = _bytes.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), True, _bytes.NOT_ALNUM)
+    got = model.probabilities(h, t)
+    for c in (0, 1):
+        want = [bigram(c, a, b) for a, b in zip(["", *text.split()], text.split(), strict=False)]
+        assert np.abs(got[c] - want).max() < 1e-9
+
+
 def test_toxicity(spark):
     bad = ["scumword", "vileword"]
     rows = []
