@@ -14,14 +14,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a local one only where it names none (tests)."""
+    """The shared folder the session names; a local one only where it names none and all runs on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
+    if app not in _own_roots and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if app not in _own_roots:
         _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="arborlake-")
     return _own_roots[app]
@@ -34,6 +37,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _made.append(self.path)
 
     def table(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write df, read it back with the same schema."""
@@ -59,3 +63,17 @@ class Scratch:
         """Let Spark's cleaner drop the shuffle files of finished steps."""
         gc.collect()
         self.spark._jvm.System.gc()
+
+
+def made() -> int:
+    """How many scratch folders there have been."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int, keep: Scratch) -> None:
+    """Delete the folders made since, but for keep's: their results have been written elsewhere."""
+    conf = spark._jsc.hadoopConfiguration()
+    for at in [p for p in _made[since:] if p != keep.path]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(conf).delete(path, True)
+    _made[since:] = [keep.path] if keep.path in _made[since:] else []

@@ -21,6 +21,8 @@ from ._bytes import U64, mix, utf8_chunks
 BUCKETS = 1 << 15
 #: About so many labelled documents are learnt from, chosen by a hash of the id.
 MAX_TRAIN = 12_000
+#: Languages that are learnt: the most frequent ones, by name if tied. It bounds the matrix (4 bytes x BUCKETS a language).
+MAX_LANGS = 256
 _TOP = 0x250
 _fold: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -70,18 +72,20 @@ def grams(data: np.ndarray, offs: np.ndarray, buckets: int) -> tuple[np.ndarray,
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", buckets: int = BUCKETS, max_docs: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
     """(languages, float32[buckets + 1, languages]): log-probabilities, and in the last row the log-priors.
 
-    What reaches the driver is at most languages x buckets counts. Rows without
-    text or language teach nothing.
+    What reaches the driver is at most MAX_LANGS x buckets counts. Rows without
+    text or language, or of a language beyond MAX_LANGS, teach nothing; repeated
+    rows teach as often as they stand. Empty docs: no language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[lang_col]: r["n"] for r in known.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}
+    frequent = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    sizes = {r["lang"]: r["n"] for r in frequent.collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((buckets + 1, 0), np.float32)
     # Each language gives up to an equal share, so a rare one is learnt whole.
     share = max_docs / len(langs)
     rate = F.create_map(*[F.lit(x) for la in langs for x in (la, min(1.0, share / sizes[la]))])
-    picked = known.where(F.pmod(F.xxhash64(F.lit("nb"), id_col), F.lit(1_000_000)) < F.element_at(rate, F.col(lang_col)) * 1_000_000)
+    picked = known.where(F.col(lang_col).isin(langs)).where(F.pmod(F.xxhash64(F.lit("nb"), id_col), F.lit(1_000_000)) < F.element_at(rate, F.col(lang_col)) * 1_000_000)
     number = {la: i for i, la in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +117,13 @@ def score(data: np.ndarray, offs: np.ndarray, matrix: np.ndarray) -> tuple[np.nd
     return best, 1 / np.exp(total).sum(axis=1), letters
 
 
-def predict(spark: SparkSession, docs: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score after its own columns (which must not have these names).
+def predict(spark: SparkSession, docs: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs with pred_col and score_col after its own columns (which must not have these names).
 
     `und` with score 0 where the text is null or without a letter, and
     everywhere if nothing was learnt. Ties go to the first language by name.
+    Whole texts of any length are read in pieces of whole texts; rows are
+    independent, so repeated rows give repeated results. Empty docs: no rows.
     """
     shared = spark.sparkContext.broadcast(matrix)
     at = docs.columns.index(text_col)
@@ -133,9 +139,9 @@ def predict(spark: SparkSession, docs: DataFrame, langs: list[str], matrix: np.n
                     k, p, letters = score(data, offs, m)
                     has = letters > 0
                     best[a:b], sc[a:b] = np.where(has, k, len(langs)), np.where(has, p, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(sc)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(sc)], [*batch.schema.names, pred_col, score_col])
 
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = docs.select("*", F.lit("").alias(pred_col), F.lit(0.0).alias(score_col)).schema
     return docs.mapInArrow(run, schema)
 
 

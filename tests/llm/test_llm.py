@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from arborlake.llm._scratch import Scratch  # noqa: E402
-from arborlake.llm import _bytes, decontaminate, exact_dedup, fm_index, jaccard_join, language_id, packing, registry, secret_scan, sharding, substring_dedup, toxicity, url_filter  # noqa: E402
+from arborlake.llm import _bytes, decontaminate, exact_dedup, fm_index, jaccard_join, language_id, packing, registry, secret_scan, sharding, stages, substring_dedup, toxicity, url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -533,6 +533,50 @@ def test_decontamination_of_slots_that_conflict(spark):
     assert got == {(1, 1): False, (2, 2): False, (3, 3): False, (4, 1): False}
 
 
+CLASH = ("id_", "text_", "k_", "row", "lang_pred", "score", "keep_id", "kept", "group_size", "component_id", "node", "n", "key", "item_id", "rank_", "start")
+
+
+def _stage_rows(spark):
+    base = prose(80)
+    near = edited(base, 75)
+    question = "which of the old bridges over the wide river was built by the first king of the northern lands in spring"
+    rows = [
+        (1, base, "en"), (1, base, "en"), (2, base.replace(" ", "  ", 1), "en"), (None, base, "en"), (None, prose(30), "en"), (None, prose(30), "en"), (3, near, "en"), (5, near, None),
+        (4, None, "en"), (6, "", "de"), (7, "123 456", "en"), (8, prose(5) + " " + question + " " + prose(5), "en"), (None, question, "en"), (9, prose(3000), None), (9, prose(45), "en"),
+    ]
+    docs = spark.createDataFrame([(i, t, la, None, None) for i, t, la in rows], SCHEMA).withColumns({c: F.lit("x") for c in CLASH})
+    return docs, question
+
+
+def test_stages_take_every_row(spark, tmp_path):
+    docs, question = _stage_rows(spark)
+    spark.createDataFrame([(1, question), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ids = lambda df: sorted(repr(r.doc_id) for r in df.select("doc_id").collect())
+    kept = stages.identify_language(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and ids(kept) == sorted(map(repr, [1, 1, 2, None, None, None, 3, 5, 8, None, 9, 9]))
+    kept = stages.keep_first_copies(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and ids(kept) == sorted(map(repr, [1, None, None, 3, 4, 7, 8, None, 9, 9]))
+    kept = stages.keep_one_of_near_copies(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and ids(kept) == sorted(map(repr, [1, None, None, 4, 6, 7, 8, None, 9, 9]))
+    kept = stages.drop_benchmark_leaks(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and ids(kept) == sorted(map(repr, [1, 1, 2, None, None, None, 3, 5, 4, 6, 7, 9, 9]))
+    packed = stages.pack_windows(spark, docs, str(tmp_path))
+    assert packed.where("start = 0").count() == 15 and packed.agg(F.sum("length")).first()[0] == packed.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    docs, question = _stage_rows(spark)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    none = docs.limit(0)
+    for stage in (stages.identify_language, stages.keep_first_copies, stages.keep_one_of_near_copies, stages.drop_benchmark_leaks):
+        out = stage(spark, none, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0
+    assert stages.pack_windows(spark, none, str(tmp_path)).count() == 0
+    assert stages.drop_benchmark_leaks(spark, docs, str(tmp_path)).count() == 15
+    # Without a language to learn from, texts with a letter stay.
+    assert stages.identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), str(tmp_path)).count() == 12
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline_against_plain_versions(spark):
     import corpus_pipeline
