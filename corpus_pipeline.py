@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arborlake.llm import stages
-from arborlake.llm._scratch import Scratch
+from arborlake.llm._scratch import Scratch, made, sweep
 
 STAGES = [
     ("language_id", stages.identify_language),
@@ -23,7 +23,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each result is written as Parquet and read as the next one's input."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since, before = made(), None
     for _, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir))
+        sweep(spark, since, scratch)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
         scratch.free_shuffles()
     return docs
