@@ -30,10 +30,21 @@ def shared_root(spark: SparkSession) -> str:
     return _own_roots[app]
 
 
+#: Rows of an Arrow batch where the session sets no other number: texts are long, and a batch stands in the executor's and in its worker's memory.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Scratch tables of one operator call."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        bound_batches(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
         self._n = 0

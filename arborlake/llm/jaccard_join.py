@@ -588,7 +588,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     while True:
         raw = scratch.table(_candidates(_homeward(_sketched(narrow, owners, spread, seed), owners, tasks, tasks, False), tasks))
         scratch.free_shuffles()
-        meta = raw.where("side = -1").select("id", "node", "n", F.col("extra").alias("check"))
+        meta = scratch.table(raw.where("side = -1").select("id", "node", "n", F.col("extra").alias("check")))
         agg = meta.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.max("n").alias("n"), (F.struct(F.min("check"), F.min("n")) < F.struct(F.max("check"), F.max("n"))).alias("clash"))
         classes = scratch.table(agg)
         # All u parts of a set could differ: more parts, then. Or two sets have one digest. Both are made all but impossible.
@@ -596,12 +596,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
         if not few and not clash:
             break
         spread, seed = spread * 1.5 if few else spread, seed + 1
-        scratch.drop(raw, classes)
+        scratch.drop(raw, meta, classes)
     # Tasks that had the same set sent it each, so its sketches seemed to repeat: now one of them stands for the node.
     sent = raw.where("side >= 0").select("rid", "node", "n", "side", F.col("extra").alias("need"), "keys")
     one = sent.groupBy("node").agg(F.min("rid").alias("rid"))
     sent = scratch.table(sent.join(one.select("rid"), "rid", "left_semi"))
     table = scratch.table(_candidates(_homeward(_row_keys(sent, owners), owners, tasks, tasks, False), tasks).select("node", "side", F.col("extra").alias("need"), "keys"))
+    scratch.drop(raw, sent)
     scratch.free_shuffles()
     active = scratch.table(table.select("node").distinct().join(classes.select("node", "rep"), "node"))
     wanted = active.where("rep is not null").select(F.col("rep").alias("id_")).distinct()
@@ -615,7 +616,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     # Of similar sets A and B, |A - B| is at most |A| / 4, and the symmetric difference at most (|A| + |B|) / 7.
     nodes = sets.select("node", "n").join(alone, "node", "left").where(4 * own <= F.col("n")).select("node", "n", (7 * own - F.col("n")).alias("w"), F.col("node").alias("comp"))
     nodes = scratch.table(nodes)
-    table = scratch.table(table.join(nodes.select("node"), "node", "left_semi"))
+    every, table = table, scratch.table(table.join(nodes.select("node"), "node", "left_semi"))
+    scratch.drop(every)
     sample = scratch.table(table.select("node", F.explode(F.slice("keys", 1, SAMPLE)).alias("key")).distinct())
     scratch.free_shuffles()
     rows = sample.count()

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import U64, mix, utf8_chunks
+from ._scratch import bound_batches
 
 BUCKETS = 1 << 15
 #: About so many labelled documents are learnt from, chosen by a hash of the id.
@@ -76,6 +77,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     text or language, or of a language beyond MAX_LANGS, teach nothing; repeated
     rows teach as often as they stand. Empty docs: no language.
     """
+    bound_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     frequent = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
     sizes = {r["lang"]: r["n"] for r in frequent.collect()}

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ._scratch import bound_batches
+
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
@@ -102,6 +104,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out.insert(0, id_col, pdf["id_"].to_numpy() if len(pdf) else [])
             yield out
 
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     narrow = docs.select(docs[id_col].alias("id_"), docs[text_col].alias("text_"))
     return narrow.mapInPandas(scan, f"{id_col} {kind}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
