@@ -235,6 +235,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     whole = state.where("print is not null").select("doc", "first", *alike)
     spread = split_join(whole, told, alike, "c", whole.count()).where("mask is not null").select("doc", "first", "mask")
     per_doc = masks.where("search = 1").select("doc", "first", "mask").unionByName(spread).groupBy("doc").agg(F.collect_list(F.struct("first", "mask")).alias("masks"))
+    per_doc = scratch.table(per_doc)
+    scratch.drop(state, two, masks)
+    scratch.free_shuffles()
     return _apply(narrow.join(per_doc, "doc", "left").select("id_", "text_", "masks"), window, id_col, dict(narrow.dtypes)["id_"])
 
 
