@@ -12,7 +12,7 @@ def category_tokens(c: Column) -> Column:
 
 
 def authors(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, " and "), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, " and "), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def prefix_year(c: Column) -> Column:

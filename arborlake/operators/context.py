@@ -8,6 +8,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 
+# The profiles' token budgets.
 PROFILES = {"brief": 1500, "standard": 4000, "deep": 8000}
 
 
@@ -53,6 +54,27 @@ def package(head: dict, items: list[dict], evidence: dict[str, str], budget: int
     return best
 
 
+def package_keys(package: dict) -> set[str]:
+    """What a package holds, as keys that stay the same between budgets."""
+    return {"head:" + package["head"]["statement"]} | {f"{i.get('field', 'item')}:{i['statement']}" for i in package["items"]}
+
+
+def package_checks(head: dict, items: list[dict], evidence: dict[str, str], budgets: dict[str, int] = PROFILES) -> list[dict]:
+    """Per profile, smallest budget first: tokens, units and evidence kept, and whether the package keeps its promises."""
+    out: list[dict] = []
+    before: set[str] = set()
+    for profile, budget in sorted(budgets.items(), key=lambda x: x[1]):
+        p = package(head, items, evidence, budget)
+        keys = package_keys(p)
+        cited = set(p["head"]["evidence_ids"]).union(*[i["evidence_ids"] for i in p["items"]])
+        out.append({
+            "profile": profile, "tokens": p["estimated_tokens"], "units": len(p["items"]), "evidence": len(p["evidence"]), "budget_compliant": p["estimated_tokens"] <= budget, "evidence_closed": cited == set(p["evidence"]),
+            "deterministic": p == package(head, items, evidence, budget), "monotonic": before <= keys,
+        })
+        before = keys
+    return out
+
+
 def pack_papers(items: DataFrame, paper: str, order: str, text: str, budget: int) -> DataFrame:
     """(paper, items, tokens): per paper, its first row as head and the others as items, each its own evidence."""
 
@@ -70,28 +92,49 @@ def pack_papers(items: DataFrame, paper: str, order: str, text: str, budget: int
     return items.select(paper, order, text).groupBy(paper).applyInPandas(run, f"{paper} {dict(items.dtypes)[paper]}, items long, tokens long")
 
 
-def fit_response(response: dict, budget: int) -> dict:
-    """Shrink a search response of a few dozen papers to the budget.
+def _clipped(abstract: str, limit: int) -> str:
+    """At most limit characters with the ellipsis, back to the last space."""
+    return abstract[: limit - 1].rsplit(" ", 1)[0] + "…"
+
+
+def fit_response(response: dict, budget: int, clip: int = 800) -> dict:
+    """Shrink a search response of a few dozen papers to the budget, one change at a time, counts and estimate included.
 
-    In order: abstracts of evidence papers from the tail, items (one stays), long
-    abstracts clipped, papers (one stays), remaining abstracts.
+    Each step takes the last paper that allows it: drop the abstract of a paper
+    with evidence (tier 1); drop its last item, if it has several; clip an
+    abstract above `clip` characters. Then whole papers go (one stays), and then
+    the first abstract that is left.
     """
-    papers = [dict(p, items=list(p.get("items", []))) for p in response["papers"]]
-
-    def fits() -> bool:
-        return estimate(response | {"papers": papers}) <= budget
-
-    def sweep(change) -> None:
-        for p in reversed(papers):
-            if fits():
-                return
-            change(p)
-
-    sweep(lambda p: p.get("items") and p.update(abstract=None))
-    while not fits() and any(len(p["items"]) > 1 for p in papers):
-        next(p for p in reversed(papers) if len(p["items"]) > 1)["items"].pop()
-    sweep(lambda p: p.get("abstract") and p.update(abstract=p["abstract"][:800]))
-    while not fits() and len(papers) > 1:
-        papers.pop()
-    sweep(lambda p: p.update(abstract=None))
-    return response | {"papers": papers, "paper_count": len(papers), "item_count": sum(len(p["items"]) for p in papers)}
+    papers = [dict(p, items=list(p.get("items") or [])) for p in response["papers"]]
+    found = len(papers)
+
+    def document() -> dict:
+        backed = sum(p.get("tier") == 1 for p in papers)
+        cut = found > len(papers) or any(p.get("abstract_truncated") for p in papers)
+        counts = {"returned_papers": len(papers), "evidence_backed_papers": backed, "metadata_only_papers": len(papers) - backed}
+        budgeted = {"requested_tokens": budget, "returned_papers": len(papers), "omitted_papers": found - len(papers), "truncated": cut}
+        state = {"papers": papers, "coverage": response.get("coverage", {}) | counts, "budget": budgeted, "result_status": "matches" if papers else "no_match"}
+        return settled({k: v for k, v in response.items() if k not in state} | state)
+
+    def drop(p: dict) -> None:
+        p.update(abstract=None, abstract_truncated=True)
+
+    steps = [
+        (lambda p: p.get("tier") == 1 and p.get("abstract"), drop),
+        (lambda p: len(p["items"]) > 1, lambda p: p["items"].pop()),
+        (lambda p: len(p.get("abstract") or "") > clip, lambda p: p.update(abstract=_clipped(p["abstract"], clip), abstract_truncated=True)),
+    ]
+    while (now := document())["estimated_tokens"] > budget:
+        for may, change in steps:
+            if p := next((p for p in reversed(papers) if may(p)), None):
+                change(p)
+                break
+        else:
+            if len(papers) > 1:
+                papers.pop()
+            elif p := next((p for p in papers if p.get("abstract")), None):
+                drop(p)
+            else:
+                now["budget"]["truncated"] = True
+                break
+    return now

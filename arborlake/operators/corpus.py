@@ -88,12 +88,19 @@ class VersionedTable:
         return self._jvm.org.apache.hadoop.fs.Path(p)
 
     def current(self) -> str | None:
-        """Name of the newest pointer."""
-        root = self._path(f"{self.path}/_pointers")
-        if not self._fs.exists(root):
+        """The version that the pointer with the largest number names."""
+        n = self._newest()
+        if not n:
             return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(root))
-        return names[-1].split("-", 1)[1] if names else None
+        stream = self._fs.open(self._path(f"{self.path}/_pointers/{n:09d}"))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _newest(self) -> int:
+        root = self._path(f"{self.path}/_pointers")
+        return max([int(s.getPath().getName()) for s in self._fs.listStatus(root)], default=0) if self._fs.exists(root) else 0
 
     def read(self) -> DataFrame:
         name = self.current()
@@ -115,13 +122,18 @@ class VersionedTable:
     def activate(self, version: str) -> None:
         if not self._fs.exists(self._path(f"{self.path}/v={version}")):
             raise FileNotFoundError(version)
-        root = f"{self.path}/_pointers"
-        self._fs.mkdirs(self._path(root))
-        n = 1 + max([int(s.getPath().getName().split("-")[0]) for s in self._fs.listStatus(self._path(root))], default=0)
-        staged = self._path(f"{self.path}/_staged-{version}")
-        self._fs.create(staged, True).close()
-        if not self._fs.rename(staged, self._path(f"{root}/{n:09d}-{version}")):
-            raise RuntimeError("another writer activated a version")
+        # A pointer's name is its number alone: of two writers that saw the same newest one, the second finds it taken.
+        self._fs.mkdirs(self._path(f"{self.path}/_pointers"))
+        n = 1 + self._newest()
+        target = self._path(f"{self.path}/_pointers/{n:09d}")
+        try:
+            stream = self._fs.create(target, False)
+        except Exception as error:
+            raise RuntimeError("another writer activated a version") from error
+        try:
+            stream.write(bytearray(version.encode()))
+        finally:
+            stream.close()
 
 
 def replace_corpus(table: VersionedTable, df: DataFrame, policy: RetentionPolicy, categories: str, date: str, key: str, version: str) -> dict:

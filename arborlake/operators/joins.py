@@ -50,3 +50,24 @@ def newest_per(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The row of each key that is greatest by the order columns, as max_by: no sort, combined before the shuffle."""
     value = F.struct(*[c for c in df.columns if c != key])
     return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias("v")).select(key, "v.*")
+
+
+def attach_quotes(items: DataFrame, key: str, ids: str, quotes: DataFrame, quote_id: str, fields: list[str]) -> DataFrame:
+    """items with `quotes`: for each id of the array, in its order, struct(id, fields), ids that resolve to nothing left out. Repeated ids repeat."""
+    refs = items.select(key, F.posexplode(ids).alias("n_", quote_id))
+    found = refs.join(quotes.select(quote_id, *fields), quote_id)
+    each = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n_", quote_id, *fields))).alias("q_"))
+    out = items.join(each, key, "left")
+    empty = F.array().cast(f"array<struct<{quote_id}:{dict(quotes.dtypes)[quote_id]},{','.join(f'{f}:{dict(quotes.dtypes)[f]}' for f in fields)}>>")
+    return out.withColumn("quotes", F.coalesce(F.transform("q_", lambda x: F.struct(x[quote_id].alias(quote_id), *[x[f].alias(f) for f in fields])), empty)).drop("q_")
+
+
+def with_context(papers: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
+    """Papers and their newest context: a paper without one has null, a context without a paper a stub (known is false)."""
+    c = contexts.select(key, F.struct(*[x for x in contexts.columns if x != key]).alias("context"))
+    return papers.withColumn("known", F.lit(True)).join(c, key, "full_outer").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def current_of(analyses: DataFrame, ids: DataFrame, key: str, limit: int, *order: Column) -> DataFrame:
+    """The current rows of the listed keys, newest first, at most limit."""
+    return analyses.where("is_current").join(ids.select(key).distinct(), key, "left_semi").orderBy(*order).limit(limit)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import token_rows
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, tf): 1 + ln(count) of each lexical token."""
-    return df.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg((1 + F.ln(F.count("*"))).alias("tf"))
+    return token_rows(df, text, key).groupBy(key, "token").agg((1 + F.ln(F.count("*"))).alias("tf"))
 
 
 def idf(term_table: DataFrame, n_docs: DataFrame) -> DataFrame:

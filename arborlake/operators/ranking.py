@@ -86,3 +86,28 @@ def month_gaps(df: DataFrame, ts: str) -> DataFrame:
 def top_else_other(df: DataFrame, column: str, n: int) -> DataFrame:
     top = df.groupBy(column).count().orderBy(F.desc("count"), column).limit(n).select(column, F.lit(True).alias("in_top"))
     return df.join(F.broadcast(top), column, "left").withColumn("bucket", F.when(F.col("in_top"), F.col(column)).otherwise("Other")).drop("in_top")
+
+
+def above_relevance(hits: DataFrame, tie: str, limit: int, least: float = 0.05, relevance: str = "relevance") -> DataFrame:
+    """The best `limit` hits of at least that relevance; ties go to the smaller key."""
+    return hits.where(F.col(relevance) >= least).orderBy(F.desc(relevance), tie).limit(limit)
+
+
+def metadata_matches(categories: list[str] | None = None, start_year: int | None = None, end_year: int | None = None) -> Column:
+    """Whether a paper's merged metadata (categories, update_year) meets the filters; without a year it fails any bound."""
+    ok = F.lit(True)
+    if categories:
+        ok = ok & F.coalesce(F.arrays_overlap("categories", F.array(*[F.lit(c) for c in categories])), F.lit(False))
+    if start_year is not None:
+        ok = ok & F.coalesce(F.col("update_year") >= start_year, F.lit(False))
+    if end_year is not None:
+        ok = ok & F.coalesce(F.col("update_year") <= end_year, F.lit(False))
+    return ok
+
+
+def distribution(df: DataFrame, column: str, width: int = 40) -> DataFrame:
+    """(column, n, percent, bar): counts, their share of all, and a bar as long as the count relative to the largest."""
+    c = df.groupBy(column).agg(F.count("*").alias("n"))
+    total = c.agg(F.sum("n").alias("all_"), F.max("n").alias("max_"))
+    j = c.join(F.broadcast(total))
+    return j.select(column, "n", F.round(100 * F.col("n") / F.col("all_"), 6).alias("percent"), F.expr(f"repeat('█', cast(floor(n * {width} / max_) as int))").alias("bar"))

@@ -44,7 +44,11 @@ def upsert(current: DataFrame, archive: DataFrame, incoming: DataFrame, key: lis
     new_current = j.select(*key, *[pick(c) for c in others])
     replaced = j.where("disposition = 'update'").select(*key, *[F.col(f"a_{c}").alias(c) for c in others])
     older = j.where("disposition = 'archive_incoming'").select(*key, *[F.col(f"b_{c}").alias(c) for c in others])
-    new_archive = archive.unionByName(replaced).unionByName(older).unionByName(rest.select(*archive.columns)).dropDuplicates([*key, version])
+    # Of the new rows of one key and version the first by the ties stays; what the archive has already is not added again.
+    fresh, _ = split_latest(replaced.unionByName(older).unionByName(rest.select(*archive.columns)).select(*archive.columns), [*key, version], *[F.col(t).desc_nulls_last() for t in ties])
+    known = archive.select(*[F.col(c).alias(f"k_{c}") for c in (*key, version)])
+    same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in (*key, version)]
+    new_archive = archive.unionByName(fresh.join(known, same, "left_anti"))
     return new_current, new_archive
 
 

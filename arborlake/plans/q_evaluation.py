@@ -116,6 +116,7 @@ def _feedback(t):
     k = F.col("event_id")
     names = F.array(*[F.lit(r) for r in _REASONS])
     return t("events").select(
+        "event_id",
         F.concat(F.lit("f"), (k % 5000).cast("string")).alias("feedback_id"),
         F.when(k % 97 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("soon").alias("occurred_at"),
         F.lit("human").alias("source"),
@@ -125,30 +126,54 @@ def _feedback(t):
         F.get(names, (k % 6).cast("int")).alias("reason"),
         F.when(k % 6 == 3, "topic").when(k % 6 == 1, "idea").when(k % 6 == 2, "idea").otherwise("paper").alias("kind"),
         F.concat(F.lit("p"), (k % 50).cast("string")).alias("paper_id"),
+        F.when(k % 6 == 1, F.concat(F.lit("pt"), (k % 4).cast("string"))).alias("point_id"),
+        F.lit("an idea").alias("idea_ref"),
+        F.lit("a topic").alias("topic"),
+        F.when(k % 12 != 3, F.array(F.lit("a query"))).alias("queries"),
         F.lit(None).cast("string").alias("verdict"),
         F.lit(None).cast("string").alias("note"),
         F.lit(None).cast("string").alias("follow_up_of"),
-        F.when(k % 3 == 0, F.concat(F.lit("r"), (k % 20).cast("string"))).alias("request_id"),
+        F.when(k % 7 == 0, F.concat(F.lit("r"), (k % 20).cast("string"))).alias("request_id"),
     )
 
 
-_ACK = """SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'rejected' WHEN event_id % 3 = 0 AND NOT (event_id % 20 < 15 AND event_id % 50 < 40) THEN 'rejected' WHEN event_id % 5000 < 100 THEN 'duplicate' ELSE 'accepted' END AS status FROM events"""
+# In the order of the batch: bad dates and gaps without queries are rejected, stored ids are duplicates, and of the rest the first delivered record of an id is accepted.
+_ACK = """v AS (SELECT event_id, event_id % 5000 AS f, event_id % 97 <> 0 AND event_id % 12 <> 3 AS valid,
+  event_id % 7 <> 0 OR (event_id % 20 < 15 AND event_id % 50 < 40 AND (event_id % 6 <> 1 OR event_id % 4 < 2)) AS delivered FROM events),
+w AS (SELECT *, min(event_id) FILTER (valid AND delivered) OVER (PARTITION BY f) AS first FROM v),
+a AS (SELECT event_id, CASE WHEN NOT valid THEN 'rejected' WHEN f < 100 THEN 'duplicate' WHEN event_id = first THEN 'accepted' WHEN event_id > first THEN 'duplicate' ELSE 'rejected' END AS status FROM w)"""
 
 
-@query("feedback_ack", f"SELECT status, count(*) AS n FROM ({_ACK}) GROUP BY 1")
-def feedback_ack(t):
+def _acknowledged(t):
     from ..operators.feedback import acknowledge
 
-    e = t("events").select("event_id")
-    stored = e.where("event_id < 100").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("feedback_id"))
-    r, p = e.where("event_id < 15").select(F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("request_id")), e.where("event_id < 40").select(F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("paper_id"))
-    outputs = r.join(F.broadcast(p), F.lit(True))
-    return acknowledge(_feedback(t), stored, outputs).groupBy("status").agg(F.count("*").alias("n"))
+    spark = t("region").sparkSession
+    stored = t("events").where("event_id < 100").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("feedback_id"))
+    # 15 archived responses of 40 papers with two points each.
+    outputs = spark.range(15 * 40).select(F.concat(F.lit("r"), (F.col("id") % 15).cast("string")).alias("request_id"), F.concat(F.lit("p"), F.floor(F.col("id") / 15).cast("string")).alias("paper_id"), F.array(F.lit("pt0"), F.lit("pt1")).alias("point_ids"))
+    return acknowledge(_feedback(t), stored, outputs, "event_id")
+
+
+@query("feedback_ack", f"WITH {_ACK} SELECT status, count(*) AS n FROM a GROUP BY 1")
+def feedback_ack(t):
+    return _acknowledged(t).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "feedback_summary",
+    f"WITH {_ACK} SELECT count(*) AS received, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'duplicate') AS duplicates, count(*) FILTER (status = 'rejected') AS errors, list_sort(list(DISTINCT CASE WHEN event_id % 6 = 5 THEN 'strange_reason' END) FILTER (status <> 'rejected' AND event_id % 6 = 5)) AS unknown_reasons, list_sort(list(DISTINCT 'p' || event_id % 50) FILTER (status <> 'rejected' AND event_id % 50 >= 45)) AS unresolved_papers FROM a",
+)
+def feedback_summary(t):
+    from ..operators.feedback import acknowledgement
+
+    a = _acknowledged(t)
+    papers = t("region").sparkSession.range(45).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("paper_id"))
+    return acknowledgement(a, papers)
 
 
 @query(
     "reason_rollup",
-    "SELECT ['off_topic', 'adopted', 'transfer_risk', 'coverage_gap', 'already_covered', 'strange_reason'][event_id % 6 + 1] AS reason, ['retrieval_defect', 'positive', 'project_relative', 'corpus_demand', 'redundancy', 'unknown'][event_id % 6 + 1] AS reason_group, ['global', 'global', 'project', 'global', 'project', 'global'][event_id % 6 + 1] AS signal_scope, count(*) AS n FROM events GROUP BY 1, 2, 3",
+    "SELECT ['off_topic', 'adopted', 'transfer_risk', 'coverage_gap', 'already_covered', 'strange_reason'][event_id % 6 + 1] AS reason, ['retrieval_defect', 'positive', 'project_relative', 'corpus_demand', 'redundancy', 'unknown'][event_id % 6 + 1] AS reason_group, ['corpus_review', 'corpus_review', 'project_only', 'corpus_review', 'project_only', 'corpus_review'][event_id % 6 + 1] AS signal_scope, count(*) AS n FROM events GROUP BY 1, 2, 3",
 )
 def reason_rollup(t):
     from ..operators.feedback import rollup

@@ -7,22 +7,21 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from .registry import query
 
-LIMIT = "l_orderkey <= 4000"
-_M = f"m AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS o FROM lineitem WHERE {LIMIT})"
-_P = f"{_M}, p AS (SELECT DISTINCT a.s AS u, b.s AS v FROM m a JOIN m b ON a.o = b.o AND a.s < b.s WHERE (a.s + b.s) % 7 = 0)"
+_M = "m AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS o FROM lineitem)"
+_P = f"{_M}, p AS (SELECT DISTINCT a.s AS u, b.s AS v FROM m a JOIN m b ON a.o = b.o AND a.s < b.s)"
 _N = "n AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p)"
 
 
 def members(t):
-    return t("lineitem").where(LIMIT).select("l_suppkey", "l_orderkey").distinct()
+    return t("lineitem").select("l_suppkey", "l_orderkey").distinct()
 
 
 def pairs(t):
     co = graph.co_members(members(t), "l_suppkey", "l_orderkey")
-    return graph.undirected(co.where("(a + b) % 7 = 0"), "a", "b")
+    return graph.undirected(co, "a", "b")
 
 
-@query("graph_edges", f"SELECT l_suppkey, l_orderkey FROM lineitem WHERE {LIMIT} GROUP BY 1, 2")
+@query("graph_edges", "SELECT l_suppkey, l_orderkey FROM lineitem GROUP BY 1, 2")
 def graph_edges(t):
     return members(t)
 
@@ -75,27 +74,23 @@ def clustering_coeff(t):
     return graph.clustering(pairs(t)).withColumn("coefficient", F.round("coefficient", 6))
 
 
-_SPARSE = "p AS (SELECT DISTINCT o_custkey % 400 AS u, 400 + o_orderkey % 350 AS v FROM orders WHERE o_orderkey % 40 = 1)"
-
-
-def sparse_pairs(t):
-    return t("orders").where("o_orderkey % 40 = 1").select((F.col("o_custkey") % 400).alias("u"), (400 + F.col("o_orderkey") % 350).alias("v")).distinct()
+_WHOLE = "p AS (SELECT DISTINCT o_custkey AS u, -o_orderkey AS v FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL)"
 
 
 @query(
     "components",
-    f"WITH RECURSIVE {_SPARSE}, {_N}, r(node, reach) AS (SELECT DISTINCT u, u FROM n UNION SELECT r.node, n.v FROM r JOIN n ON r.reach = n.u) SELECT node, min(reach) AS component FROM r GROUP BY 1",
+    f"WITH RECURSIVE {_WHOLE}, {_N}, r(node, reach) AS (SELECT DISTINCT u, u FROM n UNION SELECT r.node, n.v FROM r JOIN n ON r.reach = n.u) SELECT node, min(reach) AS component FROM r GROUP BY 1",
 )
 def components(t):
-    return graph.components(sparse_pairs(t))
+    return graph.components(whole_pairs(t))
 
 
 @query(
     "shortest_path",
-    f"WITH RECURSIVE {_SPARSE}, {_N}, src AS (SELECT min(u) AS s FROM p), r(node, hops) AS (SELECT s, 0 FROM src UNION SELECT n.v, r.hops + 1 FROM r JOIN n ON r.node = n.u WHERE r.hops < 4) SELECT node, min(hops) AS hops FROM r GROUP BY 1",
+    f"WITH RECURSIVE {_WHOLE}, {_N}, src AS (SELECT min(u) AS s FROM p), r(node, hops) AS (SELECT s, 0 FROM src UNION SELECT n.v, r.hops + 1 FROM r JOIN n ON r.node = n.u WHERE r.hops < 4) SELECT node, min(hops) AS hops FROM r GROUP BY 1",
 )
 def shortest_path(t):
-    p = sparse_pairs(t)
+    p = whole_pairs(t)
     return graph.shortest_paths(p, p.agg(F.min("u")).first()[0], 4)
 
 
@@ -121,7 +116,12 @@ def whole_pairs(t):
     return t("orders").select(F.col("o_custkey").cast("long").alias("u"), (-F.col("o_orderkey")).cast("long").alias("v")).where("u is not null and v is not null").distinct()
 
 
-@query("label_propagation")
+_ROUNDS = ", ".join(
+    f"v{i} AS (SELECT n.u, l.c, count(*) AS k FROM n JOIN l{i} l ON n.v = l.node GROUP BY 1, 2), l{i + 1} AS (SELECT u AS node, c FROM v{i} QUALIFY row_number() OVER (PARTITION BY u ORDER BY k DESC, c) = 1)" for i in range(5)
+)
+
+
+@query("label_propagation", f"WITH {_WHOLE}, {_N}, l0 AS (SELECT DISTINCT u AS node, u AS c FROM n), {_ROUNDS} SELECT node, c AS community FROM l5")
 def label_propagation(t):
     return graph.label_propagation(whole_pairs(t))
 

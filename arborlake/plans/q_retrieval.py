@@ -142,13 +142,13 @@ def recency_blend(t):
 
 @query(
     "curated_items",
-    """WITH i AS (SELECT l_orderkey, l_linenumber, l_returnflag AS kind, CAST(l_suppkey % 3 AS VARCHAR) || ',' || CAST(9 AS VARCHAR) AS ev, l_extendedprice AS rel FROM lineitem WHERE l_orderkey <= 3000),
+    """WITH i AS (SELECT l_orderkey, l_linenumber, l_returnflag AS kind, CAST(l_suppkey % 3 AS VARCHAR) || ',' || CAST(9 AS VARCHAR) AS ev, l_extendedprice AS rel FROM lineitem),
 d AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY l_orderkey, ev ORDER BY rel DESC, l_linenumber) = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, kind ORDER BY rel DESC, l_linenumber) AS kn FROM d)
 SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN kn = 1 THEN 0 ELSE 1 END, rel DESC, l_linenumber) AS item_rank FROM k QUALIFY item_rank <= 3""",
 )
 def curated_items(t):
-    i = t("lineitem").where("l_orderkey <= 3000").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("kind"), F.array((F.col("l_suppkey") % 3).cast("string"), F.lit("9")).alias("ev"), F.col("l_extendedprice").alias("rel"))
+    i = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("kind"), F.array((F.col("l_suppkey") % 3).cast("string"), F.lit("9")).alias("ev"), F.col("l_extendedprice").alias("rel"))
     out = ranking.curate(i, "l_orderkey", "kind", F.col("ev"), "rel", "l_linenumber", 3)
     return out.select("l_orderkey", "l_linenumber", F.col("item_rank").cast("long").alias("item_rank"))
 

@@ -13,7 +13,7 @@ SQL_TOKENS = f"list_filter(regexp_extract_all(lower(text), '{text.TOKEN}'), lamb
 
 @query("tokens_top", f"SELECT token, count(*) AS n FROM (SELECT unnest({SQL_TOKENS}) AS token FROM documents) GROUP BY 1 ORDER BY n DESC, token LIMIT 100")
 def tokens_top(t):
-    return t("documents").select(F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(100)
+    return text.token_rows(t("documents"), "text").groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(100)
 
 
 @query("sparse_tf", f"SELECT item_id, token, round(1 + ln(count(*)), 6) AS tf FROM (SELECT item_id, unnest({SQL_TOKENS}) AS token FROM benchmark) GROUP BY 1, 2")
@@ -144,3 +144,100 @@ def date_validity(t):
     k = F.col("event_id") % 4
     raw = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format("ts", "yyyy-MM-dd")).when(k == 2, "yesterday").otherwise("")
     return t("events").select("event_id", valid_publication_date(raw, F.current_timestamp()).alias("valid"))
+
+
+_PAGE = r"""CASE WHEN (conv_id + turn) % 5 = 1 THEN text || chr(10) || ' References ' || chr(10) || 'a b' WHEN (conv_id + turn) % 7 = 3 THEN 'Appendix one' || chr(10) || text ELSE text END"""
+
+
+@query(
+    "strip_references",
+    rf"""WITH p AS (SELECT conv_id, turn, text, {_PAGE} AS page, (conv_id + turn) % 5 = 1 AS h, (conv_id + turn) % 5 <> 1 AND (conv_id + turn) % 7 = 3 AS a FROM conversations),
+s AS (SELECT *, CASE WHEN h THEN 1 WHEN a THEN 0 END AS d FROM p),
+i AS (SELECT *, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS inside FROM s)
+SELECT conv_id, turn, CASE WHEN inside AND a THEN page WHEN inside THEN '' WHEN h THEN trim(text, chr(10) || ' ') ELSE page END AS page FROM i""",
+)
+def strip_references(t):
+    k = F.col("conv_id") + F.col("turn")
+    page = F.when(k % 5 == 1, F.concat("text", F.lit("\n References \na b"))).when(k % 7 == 3, F.concat(F.lit("Appendix one\n"), "text")).otherwise(F.col("text"))
+    return text.strip_references(t("conversations").select("conv_id", "turn", page.alias("page")), "conv_id", "turn", "page").withColumn("page", F.when(k % 5 == 1, F.trim(F.regexp_replace("page", r"^[ \n]+|[ \n]+$", ""))).otherwise(F.col("page")))
+
+
+@query(
+    "char_windows",
+    "SELECT doc_id, CAST(i AS INTEGER) AS n, CAST(i * 800 AS INTEGER) AS start, substr(text, i * 800 + 1, 1000) AS piece FROM (SELECT doc_id, text, unnest(range(CAST(greatest(1, ceil((length(text) - 200) / 800)) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)",
+)
+def char_windows(t):
+    return text.char_windows(t("documents"), "doc_id", "text")
+
+
+@query("first_identities", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE '2101.' || lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') END AS base_id, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE 'https://arxiv.org/abs/2101.' || lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') || CASE WHEN o_orderkey % 3 = 0 THEN 'v2' ELSE '' END END AS abs_url FROM orders")
+def first_identities(t):
+    k = F.col("o_orderkey")
+    five = F.concat(F.lit("2101."), F.lpad((k % 100000).cast("string"), 5, "0"))
+    arxiv_id = F.when(k % 3 == 0, F.concat(five, F.lit("v2"))).when(k % 3 == 1, F.lit("  "))
+    fallback = F.when(k % 3 == 1, F.concat(F.lit("https://arxiv.org/pdf/"), five, F.lit(".pdf"))).otherwise("not an id")
+    i = identity.first_identity(arxiv_id, F.lit(""), fallback)
+    return t("orders").select("o_orderkey", i.alias("i")).select("o_orderkey", "i.base_id", identity.canonical_urls(F.col("i"))["abs_url"].alias("abs_url"))
+
+
+@query("alias_lookup", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0")
+def alias_lookup(t):
+    """Papers found by whatever form of their id they are asked for: a join on the normal form."""
+    o = t("orders").where("o_orderkey % 2 = 0")
+    five = F.concat(F.lit("21"), F.lpad(F.floor(F.col("o_orderkey") / 100000 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad((F.col("o_orderkey") % 100000).cast("string"), 5, "0"))
+    papers = o.select("o_orderkey", "o_custkey", identity.paper_identity(five)["base_id"].alias("base_id"))
+    asked = o.select(F.concat(F.when(F.col("o_orderkey") % 4 == 0, "https://arxiv.org/abs/").otherwise("http://export.arxiv.org/pdf/"), five, F.when(F.col("o_orderkey") % 4 == 0, "v3").otherwise(".pdf")).alias("raw"))
+    return asked.select(identity.paper_identity(F.col("raw"))["base_id"].alias("base_id")).join(papers, "base_id").select("o_orderkey", "o_custkey")
+
+
+@query("safe_paths", r"SELECT DISTINCT p_type, regexp_replace(regexp_replace(p_brand, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS folder FROM part")
+def safe_paths(t):
+    return t("part").select("p_type", identity.safe_path(F.col("p_brand")).alias("folder")).distinct()
+
+
+@query("author_lists", "SELECT p_partkey, string_split(p_name, ' ') AS authors FROM part")
+def author_lists(t):
+    from ..functions.arrays import authors
+
+    return t("part").select("p_partkey", authors(F.regexp_replace("p_name", " ", " and ")).alias("authors"))
+
+
+@query("latest_times", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 2 DAY ELSE o_orderdate END AS latest FROM orders")
+def latest_times(t):
+    from ..functions.arrays import latest
+
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    later = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(F.col("o_orderdate") + F.expr("interval 2 day"), "yyyy-MM-dd'T'HH:mm:ss")).otherwise("never")
+    return t("orders").select("o_orderkey", latest(iso, later, F.lit(None).cast("string")).cast("timestamp_ntz").alias("latest"))
+
+
+@query("unique_strings", "SELECT p_partkey, list_filter([p_type, p_brand], lambda x: x <> '') AS names FROM part")
+def unique_strings(t):
+    return t("part").select("p_partkey", text.unique_clean(F.array(F.concat(F.lit(" "), "p_type"), F.lit(" "), "p_brand", "p_type")).alias("names"))
+
+
+@query("concept_lists", "SELECT p_partkey, list_filter([p_type, p_brand], lambda x: length(x) > 2) AS concepts FROM part")
+def concept_lists(t):
+    return t("part").select("p_partkey", text.clean_concepts(F.array("p_type", F.lit("{json"), F.lit("ab"), F.concat(F.lit(" "), "p_brand"), F.lit("see page_num 3"))).alias("concepts"))
+
+
+@query("topic_texts", r"SELECT page_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(url, '[^/]*$', '')), '(https?://|www\.)[^ \n\t]+', ' ', 'g') || ' topic - one, two.', '\s+', ' ', 'g')) AS cleaned FROM pages")
+def topic_texts(t):
+    return t("pages").select("page_id", text.clean_topic_text(F.concat(F.regexp_replace("url", "[^/]*$", ""), F.lit(" Topic - one, two. (a@b.org)"))).alias("cleaned"))
+
+
+@query("meta_contents", "SELECT page_id, CAST(len(regexp_extract_all(html, '<meta[^>]*name=\"description[a-z_]*\"[^>]*content=\"([^\"]*)\"')) AS BIGINT) AS n FROM pages")
+def meta_contents(t):
+    return t("pages").select("page_id", F.size(text.meta_tags(F.col("html"), "description")).cast("long").alias("n"))
+
+
+@query("paper_schema_errors", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'missing title; unreadable published' WHEN o_orderkey % 6 = 1 THEN 'no authors' ELSE '' END AS errors FROM orders")
+def paper_schema_errors(t):
+    from ..functions.validate import paper_errors
+
+    k = F.col("o_orderkey")
+    paper = t("orders").select(
+        "o_orderkey", k.cast("string").alias("id"), F.when(k % 4 != 0, "title").otherwise(" ").alias("title"), F.lit("s").alias("summary"), F.when(k % 4 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("soon").alias("published"),
+        F.when(k % 6 == 1, F.when(k % 4 != 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a")))).otherwise(F.array(F.lit("a"))).alias("authors"), F.array("o_orderstatus").alias("categories"),
+    )
+    return paper.select("o_orderkey", F.array_join(paper_errors(), "; ").alias("errors"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,19 @@ def read_suite(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows chosen at random, the same for the same seed: those with the smallest digests of seed and key."""
+    return df.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+
+
+def names_from(setting: str | None) -> list[str]:
+    """Distinct names of a setting, split at commas and white space; at least one."""
+    names = list(dict.fromkeys(x for x in re.split(r"[\s,]+", setting or "") if x))
+    if not names:
+        raise ValueError("at least one name is required")
+    return names
+
+
 def _elements(xml: DataFrame, column: str, tag: str) -> DataFrame:
     """One row per element of that local name, as its own XML text (XPath expressions must be constant)."""
     return xml.select(F.explode(F.regexp_extract_all(column, F.lit(rf"(?s)<(?:\w+:)?{tag}\b.*?</(?:\w+:)?{tag}>"), F.lit(0))).alias("x"))

@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def time_boxed(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, seconds: float, clock: Callable[[], float] = time.monotonic):
+    """Run a stream until it has nothing more or the time is up; it ends after a whole batch, and goes on from there the next time. At least one batch is run."""
+    begun, late = clock(), threading.Event()
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        sink(batch, batch_id)
+        if clock() - begun >= seconds:
+            late.set()
+
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    while not query.awaitTermination(1):
+        if late.is_set():
+            # stop() waits for the running batch; one that it interrupts is run again from its offsets.
+            query.stop()
+            break
+    return query
+
+
 def increases(df: DataFrame, series: list[str], ts: str, value: str) -> DataFrame:
     """df with `increase`: growth since the series' last sample; after a reset, the value itself."""
     last = F.lag(value).over(Window.partitionBy(*series).orderBy(ts, value))
@@ -69,14 +91,22 @@ def resumable(spark, source: str, schema, sink: str, checkpoint: str, transform,
     return query
 
 
-def merge_versions(spark, source: str, schema, table, key: list[str], version: str, ties: list[str], checkpoint: str):
-    """Late and out-of-order versions: each micro-batch is upserted into a versioned table (see operators.versions)."""
-    from ..operators.versions import split_latest
+def merge_versions(spark, source: str, schema, table, archive, key: list[str], version: str, ties: list[str], checkpoint: str):
+    """Late and out-of-order versions: each micro-batch is upserted into a versioned table, superseded rows go to the archive table.
+
+    Equal versions fill gaps of the stored row (see operators.versions). The
+    archive is written first, so a batch that is run again after a failure
+    finds its rows there and adds none twice.
+    """
+    from ..operators.versions import upsert
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        both = batch if table.current() is None else table.read().unionByName(batch)
-        current, _ = split_latest(both, key, F.coalesce(F.col(version), F.lit(-1)).desc(), *[F.col(t).desc_nulls_last() for t in ties])
-        table.write(current, f"batch{batch_id:09d}")
+        none = spark.createDataFrame([], batch.schema)
+        current = none if table.current() is None else table.read()
+        old = none if archive.current() is None else archive.read()
+        new_current, new_archive = upsert(current, old, batch, key, version, ties)
+        archive.write(new_archive, f"batch{batch_id:09d}")
+        table.write(new_current, f"batch{batch_id:09d}")
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

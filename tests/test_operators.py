@@ -135,7 +135,22 @@ def test_context_package_budget_and_closure():
 def test_fit_response_keeps_one_paper():
     r = {"papers": [{"id": i, "abstract": "a" * 2000, "items": [1, 2, 3]} for i in range(4)]}
     out = context.fit_response(r, 15)
-    assert out["paper_count"] == 1 and context.estimate({"papers": out["papers"]}) <= 15
+    assert len(out["papers"]) == 1 and out["budget"]["truncated"] and out["budget"]["omitted_papers"] == 3 and out["estimated_tokens"] == context.estimate(out)
+
+
+def test_fit_response_order_of_cuts():
+    long = "word " * 400
+    papers = [{"id": 0, "tier": 1, "abstract": long, "items": ["a" * 60, "b" * 60, "c" * 60]}, {"id": 1, "tier": 0, "abstract": long, "items": []}]
+    at = lambda tokens: context.fit_response({"papers": papers}, tokens)
+    whole = at(10**6)
+    assert [p["abstract"] for p in whole["papers"]] == [long, long] and not whole["budget"]["truncated"] and whole["coverage"]["evidence_backed_papers"] == 1
+    # Just below each document's size, the next cut is made.
+    steps = [at(whole["estimated_tokens"] - 40)]
+    while len(steps[-1]["papers"]) == 2 and len(steps) < 9:
+        steps.append(at(steps[-1]["estimated_tokens"] - 1))
+    seen = [(p[0]["abstract"] is None, len(p[0]["items"]), len(p[1]["abstract"] or "") <= 800) for s in steps if len(p := s["papers"]) == 2]
+    assert list(dict.fromkeys(seen)) == [(True, 3, False), (True, 2, False), (True, 1, False), (True, 1, True)]
+    assert steps[-1]["budget"]["omitted_papers"] == 1
 
 
 def test_text_scores():
@@ -146,10 +161,11 @@ def test_text_scores():
 
 
 def test_record_validation(spark):
-    base = {"feedback_id": "f", "occurred_at": "2024-01-01 00:00:00", "source": "human", "workflow": None, "run_id": None, "stage": "s", "reason": "adopted", "kind": "idea", "paper_id": "p", "verdict": None, "note": None, "follow_up_of": None}
-    cases = [({}, None), ({"feedback_id": " "}, "feedback_id"), ({"occurred_at": "soon"}, "occurred_at"), ({"source": "agent"}, "agent origin"), ({"kind": "paper"}, "reason and subject"), ({"reason": "Bad-One"}, "reason"), ({"reason": "trial_failed"}, "outcome needs follow_up_of"), ({"verdict": "MAYBE"}, "verdict"), ({"reason": "new_reason", "kind": "topic"}, None)]
+    base = {"feedback_id": "f", "occurred_at": "2024-01-01 00:00:00", "source": "human", "workflow": None, "run_id": None, "stage": "s", "reason": "adopted", "kind": "idea", "paper_id": "p", "verdict": None, "note": None, "follow_up_of": None, "request_id": None, "idea_ref": "i", "topic": "t"}
+    cases = [({}, None), ({"feedback_id": " "}, "feedback_id"), ({"occurred_at": "soon"}, "occurred_at"), ({"source": "agent"}, "agent origin"), ({"kind": "paper"}, "reason and subject"), ({"reason": "Bad-One"}, "reason"), ({"reason": "trial_failed"}, "outcome needs follow_up_of"), ({"verdict": "MAYBE"}, "verdict"), ({"reason": "new_reason", "kind": "topic"}, None), ({"idea_ref": " "}, "subject idea"), ({"reason": "coverage_gap", "kind": "topic"}, "coverage_gap needs queries")]
     schema = ", ".join(f"{k} string" for k in base)
     df = spark.createDataFrame([tuple((base | c).values()) for c, _ in cases], schema)
+    df = df.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in validate.OPTIONAL.items() if name not in base])
     assert [r.e for r in df.select(validate.first_record_error().alias("e")).collect()] == [e for _, e in cases]
 
 
@@ -171,12 +187,13 @@ def test_streaming_dedupe_and_resume(spark, tmp_path):
 def test_late_versions(spark, tmp_path):
     from arborlake.streaming import series
 
-    table = corpus.VersionedTable(spark, f"file://{tmp_path}/t")
+    table, archive = corpus.VersionedTable(spark, f"file://{tmp_path}/t"), corpus.VersionedTable(spark, f"file://{tmp_path}/a")
     schema = "k int, v int, t string"
     for i, rows in enumerate([[(1, 2, "b")], [(1, 1, "a"), (2, None, "x")], [(2, 1, "y")]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        series.merge_versions(spark, f"{tmp_path}/in", schema, table, ["k"], "v", ["t"], f"{tmp_path}/ck")
+        series.merge_versions(spark, f"{tmp_path}/in", schema, table, archive, ["k"], "v", ["t"], f"{tmp_path}/ck")
     assert {(r.k, r.v) for r in table.read().collect()} == {(1, 2), (2, 1)}
+    assert {(r.k, r.v) for r in archive.read().collect()} == {(1, 1), (2, None)}
 
 
 def test_feed_and_articles(spark):
