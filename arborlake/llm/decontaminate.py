@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 WINDOW, MIN_LITERALS, MIN_SHARE = 8, 5, 0.25
 #: So many matching windows of one alignment count whatever the item's length: a passage of 20 tokens.
 MIN_RUN = 13
-#: Benchmark windows up to which their side is broadcast (some 30 MB); above, both sides are shuffled by hash.
+#: Benchmark windows up to which their side is broadcast (some 30 MB); above, what documents have near a marked word is shuffled to them.
 BROADCAST_WINDOWS = 500_000
+#: Bits of the marks (16 MB, broadcast) that tell which words of documents may be anchors, and bits in a page of them.
+MARK_BITS, PAGE = 27, 32768
 NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"
 #: Stand for '.' and ',' between digits, so that a decimal or grouped number is one token.
 POINT, COMMA = "\ue000", "\ue001"
@@ -78,6 +80,38 @@ def conflicts(pairs: Column) -> Column:
     return F.when(F.size(values) == F.size(kinds), none).otherwise(F.transform(other, lambda p: p["at"]))
 
 
+def anchor_marks(anchors: DataFrame) -> DataFrame:
+    """(page, marks): a bit for each anchor's hash; at most 2^MARK_BITS bits, whatever the benchmark's size."""
+    spot = F.shiftrightunsigned(F.xxhash64("anchor"), 64 - MARK_BITS)
+    return anchors.select(F.floor(spot / PAGE).cast("long").alias("page"), (spot % PAGE).alias("bit")).groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("marks"))
+
+
+def near_anchors(every: DataFrame, spots: DataFrame, few: bool, size: Column) -> DataFrame:
+    """(doc, dpos, part, offset's other columns): the `size` tokens around each place where a document has an anchor at its offset.
+
+    every: doc, tok, pos, anchor, one row a token. spots: anchor, offset, and
+    what size needs. Few spots are broadcast and the token array never leaves
+    its task. Otherwise tokens whose word is marked travel with what may lie
+    around them, and meet the spots by a shuffle; AQE splits a frequent word.
+    """
+    others = [c for c in spots.columns if c not in ("anchor", "offset")]
+    if few:
+        near = every.join(F.broadcast(spots), "anchor").withColumn("dpos", F.col("pos") - F.col("offset"))
+        near = near.where((F.col("dpos") >= 0) & (F.col("dpos") + size <= F.size("tok")))
+        # The planner may cut before it filters, so a cut never starts before the text.
+        return near.select("doc", "dpos", F.slice("tok", F.greatest(F.col("dpos"), F.lit(0)) + 1, size).alias("part"), *others)
+    reach = spots.agg(F.max("offset").alias("before_"), F.max(size - F.col("offset")).alias("after_"))
+    spot = F.shiftrightunsigned(F.xxhash64("anchor"), 64 - MARK_BITS)
+    byte = F.conv(F.hex(F.expr(f"substring(marks, cast((spot_ % {PAGE}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    some = every.where("anchor is not null").withColumn("spot_", spot).withColumn("page", F.floor(F.col("spot_") / PAGE).cast("long")).join(F.broadcast(anchor_marks(spots.select("anchor").distinct())), "page")
+    some = some.withColumn("b_", byte).where("(shiftright(b_, cast(spot_ % 8 as int)) & 1) = 1").join(F.broadcast(reach))
+    left = F.least("pos", "before_")
+    around = some.select("doc", "anchor", "pos", left.alias("left_"), F.slice("tok", F.col("pos") - left + 1, left + F.col("after_")).alias("ctx_"))
+    near = around.join(spots, "anchor").withColumn("from_", F.col("left_") - F.col("offset"))
+    near = near.where((F.col("from_") >= 0) & (F.col("from_") + size <= F.size("ctx_")))
+    return near.select("doc", (F.col("pos") - F.col("offset")).alias("dpos"), F.slice("ctx_", F.greatest(F.col("from_"), F.lit(0)) + 1, size).alias("part"), *others)
+
+
 def plain_tokens(text: Column) -> Column:
     """array<string> of lower-cased words, slots and all (an empty one may stand at either end)."""
     return F.split(F.lower(F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME, "   ")), SEPARATORS)
@@ -95,11 +129,10 @@ def _whole_matches(tok: DataFrame, whole: DataFrame, n_items: int) -> DataFrame:
     """Documents that have all words of an item in a row, compared word by word."""
     spots = whole.select("anchor", "offset", "size").distinct()
     keys = whole.select(F.xxhash64("words").alias("w"), "words", "item").distinct()
-    if n_items <= BROADCAST_WINDOWS:
-        spots, keys = F.broadcast(spots), F.broadcast(keys)
+    few = n_items <= BROADCAST_WINDOWS
     every = tok.select("doc", "tok", F.posexplode("tok").alias("pos", "anchor"))
-    near = every.join(spots, "anchor").withColumn("from_", F.col("pos") - F.col("offset"))
-    near = near.where((F.col("from_") >= 0) & (F.col("from_") + F.col("size") <= F.size("tok"))).select("doc", F.slice("tok", F.col("from_") + 1, F.col("size")).alias("part")).distinct()
+    near = near_anchors(every, spots, few, F.col("size")).select("doc", "part").distinct()
+    keys = F.broadcast(keys) if few else keys
     hit = near.withColumn("w", F.xxhash64("part")).join(keys, "w").where("part = words").select("doc", "item").distinct()
     one = F.lit(1).cast("long")
     return hit.select("doc", "item", one.alias("total"), one.alias("n_matched"), F.lit(True).alias("verbatim"))
@@ -108,7 +141,8 @@ def _whole_matches(tok: DataFrame, whole: DataFrame, n_items: int) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, n_windows, n_matched, share, verbatim): documents that hold a quarter or more of an item's windows, or MIN_RUN in one alignment.
 
-    A document id at most once an item. Items of under 8 tokens or without a
+    A document id at most once an item; of rows that share an id, each may bring windows. Other columns are ignored, whatever
+    their names; a text of any length is read whole. Items of under 8 tokens or without a
     window of 5 literal words are found where a document has all their words in
     a row, as one window. Null, empty and wordless texts match nothing; repeated
     documents and items give the same rows once. Either table empty: no rows.
@@ -116,15 +150,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = benchmark
     bench = benchmark_windows(benchmark, item_col, item_text).persist()
     spots = bench.select("anchor", "offset").distinct()
-    if bench.count() <= BROADCAST_WINDOWS:
-        bench, spots = F.broadcast(bench), F.broadcast(spots)
+    few = bench.count() <= BROADCAST_WINDOWS
+    bench = F.broadcast(bench) if few else bench
     tok = docs.select(F.col(id_col).alias("doc"), marked_tokens(F.col(text_col)).alias("tok"))
     # Generate, join and slice are one generated stage, in which the token array is carried by reference; what
     # needs interpretation (hashes, slots) comes after it, over the window's own tokens. The hash is the key of a
     # second join, not a filter, which would be pushed into the first. Empty ends of a text equal no anchor.
     every = tok.select("doc", "tok", F.posexplode_outer("tok").alias("pos", "anchor"))
-    near = every.join(spots, "anchor").withColumn("dpos", F.col("pos") - F.col("offset"))
-    near = near.where((F.col("dpos") >= 0) & (F.col("dpos") + WINDOW <= F.size("tok"))).select("doc", "dpos", F.slice("tok", F.col("dpos") + 1, WINDOW).alias("part"))
+    near = near_anchors(every, spots, few, F.lit(WINDOW))
     keyed = near.select("doc", "dpos", "part", F.xxhash64(templates(F.col("part"))).alias("w"))
     hit = keyed.join(bench, "w").select("doc", "item", "total", "ipos", (F.col("dpos") - F.col("ipos")).alias("line"), "slots", "part")
     is_slot = lambda x: x < F.lit("\x04")
