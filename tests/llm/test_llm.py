@@ -534,7 +534,7 @@ def test_language_id(spark, empty):
 
 def test_kneser_ney_against_a_plain_version(spark):
     r = random.Random(2)
-    rows = [(i, " ".join(r.choice(VOCAB[:30] if i % 2 else VOCAB[15:60]) for _ in range(25)), i % 2) for i in range(80)]
+    rows = [(i, " ".join(r.choice(VOCAB[:30] if i % 2 else VOCAB[15:60]).replace("w2", "stem2" if i % 2 else "w2") for _ in range(25)), i % 2) for i in range(80)]
     model = toxicity.train(spark.createDataFrame(rows, "id_ long, text string, toxic int"))
     fold = {x.id: x.f for x in spark.range(80).select("id", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(4)).alias("f")).collect()}
     pair = [{}, {}]
@@ -544,25 +544,30 @@ def test_kneser_ney_against_a_plain_version(spark):
                 pair[y][a, b] = pair[y].get((a, b), 0) + 1
     d, every = toxicity.DISCOUNT, set(pair[0]) | set(pair[1])
     types = {w for _, w in every}
+    stem = lambda w: w.encode()[: toxicity.STEM]
+    stems = {stem(w) for w in types}
+    base = d * len(stems) / len(every) / (len(stems) + 1)
 
-    def shared(w):
-        base = d * len(types) / len(every) / (len(types) + 1)
-        return max(sum(b == w for _, b in every) - d, 0) / len(every) + base if w in types else base
+    def stem_p(c, x):
+        shared = max(sum(stem(b) == x for _, b in every) - d, 0) / len(every) + base
+        return max(sum(stem(b) == x for _, b in pair[c]) - d, 0) / len(pair[c]) + d * len({stem(b) for _, b in pair[c]}) / len(pair[c]) * shared
 
     def unigram(c, w):
-        if w not in types:
-            return shared(w)
+        x = stem(w)
+        if x not in stems:
+            return base
+        own, forms = sum(stem(b) == x for _, b in every), len({b for b in types if stem(b) == x})
+        share = max(sum(b == w for _, b in every) - d, 0) / own + d * forms / own / (forms + 1)
         k = sum(b == w for _, b in pair[c])
-        return max(k - d, 0) / len(pair[c]) + d * len({b for _, b in pair[c]}) / len(pair[c]) * shared(w)
+        return max(k - d, 0) / len(pair[c]) + d * len({b for _, b in pair[c]}) / len(pair[c]) * stem_p(c, x) * share
 
     def bigram(c, h, w):
         after = {b: n for (a, b), n in pair[c].items() if a == h}
         total = sum(after.values())
         return unigram(c, w) if not total else max(after.get(w, 0) - d, 0) / total + d * len(after) / total * unigram(c, w)
 
-    text = "w3 w3 w17 w20 w59 unseen w1 w40 w16"
-    h, _, _, t = _bytes.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), True, _bytes.NOT_ALNUM)
-    got = model.probabilities(h, t)
+    text = "w3 w3 stemless w17 stem20 w59 unseen w1 w40 stem99 w16"
+    got = model.probabilities(*toxicity.stemmed_words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])))
     for c in (0, 1):
         want = [bigram(c, a, b) for a, b in zip(["", *text.split()], text.split(), strict=False)]
         assert np.abs(got[c] - want).max() < 1e-9
@@ -596,10 +601,11 @@ def test_rare_toxic_words_count(spark):
     model = toxicity.train(spark.createDataFrame(rows, "id_ long, text string, toxic int"))
 
     def evidence(text):
-        h, _, _, t = _bytes.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), True, _bytes.NOT_ALNUM)
-        return model.ratio(h, t)[-1]
+        return model.ratio(*toxicity.stemmed_words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])))[-1]
 
     assert evidence("unseen scumword") > 0.1 and evidence("unseen alsounseen") == 0
+    # A form that no text has is judged by its stem.
+    assert evidence("unseen scumwords") > 0.1
 
 
 def test_decontamination(spark, empty):
