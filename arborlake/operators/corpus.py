@@ -72,6 +72,17 @@ def guard(df: DataFrame, keep: Column, minimum: float, maximum: float) -> DataFr
     return counts.withColumn("errors", errors)
 
 
+def snapshot_identity(df: DataFrame, key: str, width: int = 1_000_000) -> DataFrame:
+    """(snapshot, n): a digest of the distinct integer keys, made of the digests of their ranges of `width` keys.
+
+    No task holds more than one range; the ranges' digests, a width-th of the keys at most, are hashed in order.
+    """
+    ids = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k")).distinct()
+    ranges = ids.groupBy(F.floor(F.col("k") / width).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string")), "\n"), 256).alias("d"), F.count("*").alias("n"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])
+    return ranges.agg(F.sha2(F.array_join(in_order, "\n"), 256).alias("snapshot"), F.sum("n").alias("n"))
+
+
 class VersionedTable:
     """A table as one folder per version and a pointer file, all through the cluster's file system.
 

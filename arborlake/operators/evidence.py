@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 # Abbreviations whose full stop ends no sentence, and closing marks.
-ABBREVIATIONS = set("al approx dr e.g eq eqs etc fig figs i.e mr mrs ms no prof ref refs sec secs vs".split())
+ABBREVIATIONS = {"al", "approx", "dr", "e.g", "eq", "eqs", "etc", "fig", "figs", "i.e", "mr", "mrs", "ms", "no", "prof", "ref", "refs", "sec", "secs", "vs"}
 CLOSING = "\"'”’)]}"
 _STOP = re.compile(rf"[.!?](?=$|\s|[{re.escape(CLOSING)}])")
 _LAST_WORD = re.compile(r"[A-Za-z][A-Za-z.]*$")
@@ -82,47 +84,42 @@ def verification_span(quote: str | None, page: str | None, around: int = 1, limi
     return wide, not (source.casefold() in wide.casefold() and terminal(wide))
 
 
+def _shared_tokens(want: list[str], have: list[str]) -> np.ndarray:
+    """For each window of len(want) tokens of have, how many it has in common with want, as multisets."""
+    n = len(want)
+    total = np.zeros(max(0, len(have) - n + 1), np.int64)
+    for token, times in Counter(want).items():
+        seen = np.concatenate([[0], np.cumsum([t == token for t in have])])
+        total += np.minimum(seen[n:] - seen[:-n], times)
+    return total
+
+
 def find_quote(quote: str | None, page: str | None) -> str | None:
-    """The page's own text for an exact or near-verbatim quote: the best token window, if alike enough."""
+    """The page's own text for a quote: the quote itself, or the window of as many tokens that is most like it.
+
+    Quotes of under 8 readable characters are not sought, those of under 6
+    tokens only verbatim. A window is alike from a matching ratio of 0.9 on, for
+    20 tokens or more from 0.86; of equally good ones the first counts. The
+    ratio cannot exceed the share of common tokens, so windows are aligned in
+    the order of that share, until it falls below the best ratio.
+    """
     wanted, page = (quote or "").strip(), page or ""
-    if len(readable(wanted)) < 8:
-        return None
-    if wanted in page:
-        return wanted
+    if len(readable(wanted)) < 8 or wanted in page:
+        return wanted if len(readable(wanted)) >= 8 else None
     want = [m.group().casefold() for m in _WORD.finditer(wanted)]
-    marks = list(_WORD.finditer(page))
+    marks = [(m.start(), m.end(), m.group().casefold()) for m in _WORD.finditer(page)]
     n = len(want)
-    if n < 6 or len(marks) < n:
-        return None
-    have = [m.group().casefold() for m in marks]
-    least = 0.9 if n < 20 else 0.86
-    # A window's ratio is at most its share of common tokens, so windows poor in them are never aligned.
-    bag = {w: want.count(w) for w in want}
-    left = dict(bag)
-    common = 0
-
-    def step(token: str, sign: int) -> None:
-        nonlocal common
-        if token in left:
-            if sign > 0:
-                common += left[token] > 0
-                left[token] -= 1
-            else:
-                left[token] += 1
-                common -= left[token] > 0
-
-    best, where = 0.0, -1
-    for i, token in enumerate(have):
-        step(token, 1)
-        if i >= n:
-            step(have[i - n], -1)
-        if i >= n - 1 and common / n >= max(least, best):
-            ratio = SequenceMatcher(None, want, have[i - n + 1 : i + 1]).ratio()
-            if ratio > best:
-                best, where = ratio, i - n + 1
-    if best < least:
+    if not 6 <= n <= len(marks):
         return None
-    return page[marks[where].start() : marks[where + n - 1].end()].strip()
+    have = [w for _, _, w in marks]
+    share = _shared_tokens(want, have) / n
+    best = (0.9 if n < 20 else 0.86, 1)
+    for i in np.argsort(-share, kind="stable").tolist():
+        if share[i] < best[0]:
+            break
+        ratio = SequenceMatcher(None, want, have[i : i + n]).ratio()
+        best = max(best, (ratio, -i))
+    return None if best[1] > 0 else page[marks[-best[1]][0] : marks[n - 1 - best[1]][1]].strip()
 
 
 def verify(claims: DataFrame, key: list[str], quote: str, page: str) -> DataFrame:

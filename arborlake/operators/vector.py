@@ -15,13 +15,20 @@ from ..functions.arrays import cosine
 BLOCK_VECTORS = 4096
 
 
+def _few(vectors: DataFrame) -> DataFrame:
+    """vectors, broadcast once it is known that there are no more than a block."""
+    if vectors.limit(BLOCK_VECTORS + 1).count() > BLOCK_VECTORS:
+        raise ValueError(f"more than {BLOCK_VECTORS} vectors on the broadcast side; use knn_blocks")
+    return F.broadcast(vectors)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, query_key: str, key: str, vector: str, k: int) -> DataFrame:
     """Top k by cosine for one or few queries (rounded before ranking, so ties go to the smaller key).
 
     Scores are made where the vectors are; per query only the k best survive the
     first, map-side stage of the rank limit.
     """
-    q = F.broadcast(queries.select(query_key, F.col(vector).alias("q_vec")))
+    q = _few(queries.select(query_key, F.col(vector).alias("q_vec")))
     scored = vectors.join(q).select(query_key, key, F.round(cosine(F.col("q_vec"), F.col(vector)), 6).alias("score"))
     w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -65,14 +72,14 @@ def centroids(df: DataFrame, label: str, vector: str, dims: int) -> DataFrame:
 
 def assign(df: DataFrame, cents: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(key, label, similarity) of the nearest centroid; cents has one row per class (few by nature)."""
-    scored = df.join(F.broadcast(cents.select(F.col(label).alias("to_"), "centroid"))).select(key, "to_", F.round(cosine(F.col(vector), F.col("centroid")), 6).alias("s_"))
+    scored = df.join(_few(cents.select(F.col(label).alias("to_"), "centroid"))).select(key, "to_", F.round(cosine(F.col(vector), F.col("centroid")), 6).alias("s_"))
     return scored.groupBy(key).agg(F.max_by("to_", F.struct("s_", -F.col("to_"))).alias("assigned"), F.max("s_").alias("similarity"))
 
 
 def topic_matrix(df: DataFrame, cents: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(key, label, share): similarities floored at 0 and normalised to sum 1 per row."""
     s = F.greatest(F.lit(0.0), cosine(F.col(vector), F.col("centroid")))
-    scored = df.select(key, vector).join(F.broadcast(cents.select(label, "centroid"))).select(key, label, s.alias("s_"))
+    scored = df.select(key, vector).join(_few(cents.select(label, "centroid"))).select(key, label, s.alias("s_"))
     total = F.sum("s_").over(Window.partitionBy(key))
     return scored.select(key, label, F.round(F.try_divide(F.col("s_"), total), 6).alias("share"))
 
