@@ -86,11 +86,16 @@ def sentence_split(t):
 def verified_quotes(t):
     from ..operators.evidence import verify
 
-    d = t("documents").select("doc_id", F.col("text").alias("page"), F.substring("text", 20, 90).alias("quote")).where(F.length("page") > 200)
+    d = t("documents").select("doc_id", F.col("text").alias("page"), F.when(F.length("text") > 200, F.substring("text", 20, 90)).alias("quote"))
     return verify(d, ["doc_id"], "quote", "page")
 
 
-@query("chunked_pages")
+_CHUNKS = """WITH RECURSIVE p AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+c(conv_id, i, turn, chunk, size, n) AS (SELECT conv_id, i, turn, 0, n, n FROM p WHERE i = 1 UNION ALL SELECT p.conv_id, p.i, p.turn, CASE WHEN c.size + p.n > 800 THEN c.chunk + 1 ELSE c.chunk END, CASE WHEN c.size + p.n > 800 THEN p.n ELSE c.size + p.n END, p.n FROM c JOIN p ON p.conv_id = c.conv_id AND p.i = c.i + 1)
+SELECT conv_id, chunk, min(turn) AS first_page, max(turn) AS last_page, CAST(sum(n) AS BIGINT) AS chars FROM c GROUP BY 1, 2"""
+
+
+@query("chunked_pages", _CHUNKS)
 def chunked_pages(t):
     from ..operators.evidence import chunk_pages
 

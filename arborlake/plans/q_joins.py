@@ -16,12 +16,12 @@ def eligible_semi(t):
 
 @query(
     "hydrate_outer",
-    """WITH a AS (SELECT doc_id AS k, lang AS kind, source FROM documents WHERE doc_id < 700), b AS (SELECT vec_id AS k, CAST(label AS VARCHAR) AS kind, '' AS source FROM embeddings WHERE vec_id >= 300)
+    """WITH a AS (SELECT doc_id AS k, lang AS kind, source FROM documents), b AS (SELECT vec_id * 3 AS k, CAST(label AS VARCHAR) AS kind, '' AS source FROM embeddings)
 SELECT coalesce(a.k, b.k) AS k, coalesce(a.kind, b.kind) AS kind, coalesce(nullif(trim(b.source), ''), a.source) AS source, array_to_string(list_concat(CASE WHEN a.k IS NULL THEN [] ELSE ['corpus'] END, CASE WHEN b.k IS NULL THEN [] ELSE ['vectors'] END), '+') AS sources FROM a FULL OUTER JOIN b ON a.k = b.k""",
 )
 def hydrate_outer(t):
-    a = t("documents").where("doc_id < 700").select(F.col("doc_id").alias("k"), F.col("lang").alias("kind"), "source")
-    b = t("embeddings").where("vec_id >= 300").select(F.col("vec_id").alias("k"), F.col("label").cast("string").alias("kind"), F.lit("").alias("source"))
+    a = t("documents").select(F.col("doc_id").alias("k"), F.col("lang").alias("kind"), "source")
+    b = t("embeddings").select((F.col("vec_id") * 3).alias("k"), F.col("label").cast("string").alias("kind"), F.lit("").alias("source"))
     out = joins.hydrate_outer(a, b, "k", {"kind": True, "source": False}, ("corpus", "vectors"))
     return out.withColumn("sources", F.array_join("sources", "+"))
 

@@ -198,6 +198,12 @@ def topic_word_matrix(t):
     return w.groupBy("source").pivot("w", ["the", "der", "que"]).count().na.fill(0)
 
 
+@query("topic_word_counts", "SELECT source, w, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY 1, 2")
+def topic_word_counts(t):
+    w = t("documents").select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    return w.groupBy("source", "w").agg(F.count("*").alias("n"))
+
+
 @query("kmeans_clusters")
 def kmeans_clusters(t):
     return vector.kmeans(t("embeddings"), "vec_id", "embedding", 8)
@@ -213,6 +219,6 @@ def density_clusters(t):
     return vector.density_clusters(t("embeddings"), "vec_id", "embedding")
 
 
-@query("bounded_picks")
+@query("bounded_picks", "SELECT doc_id, lang, n_chars, lang AS picked_for FROM documents WHERE lang IN ('en', 'de', 'fr') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) <= 20")
 def bounded_picks(t):
     return ranking.bounded_picks(t("documents").select("doc_id", "lang", "n_chars"), ["en", "de", "fr"], F.col("lang"), "doc_id", [F.desc("n_chars"), F.col("doc_id")], 20)
