@@ -24,7 +24,7 @@ THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
 ALLOW = [
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
     re.compile(r"[0-9+/_=-]+"),
-    re.compile(r"[A-Za-z]+"),
+    re.compile(r"[A-Z]+|(?:[A-Z]?[a-z]{2,})+"),
     re.compile(r"(?:[A-Za-z]+[0-9]{0,4}[-_/+=]+)+[A-Za-z]*[0-9]{0,4}"),
 ]
 _CLOGC = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
