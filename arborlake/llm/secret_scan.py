@@ -24,10 +24,16 @@ THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
 ALLOW = [
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
     re.compile(r"[0-9+/_=-]+"),
-    re.compile(r"[A-Z]+|(?:[A-Z]?[a-z]{2,})+"),
+    re.compile(r"[A-Z]+|(?:[A-Z]?[a-z]{2,}+)++"),
     re.compile(r"(?:[A-Za-z]+[0-9]{0,4}[-_/+=]+)+[A-Za-z]*[0-9]{0,4}"),
 ]
-_CLOGC = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+
+def _weights(window: int) -> list[float]:
+    """c * log2(c) of the counts in a window, and of one more: a character enters before one leaves."""
+    return [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
+
+
+_CLOGC = _weights(WINDOW)
 
 
 def char_class(s: str) -> str:
@@ -39,15 +45,16 @@ def char_class(s: str) -> str:
 def entropy_spans(s: str, threshold: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Maximal unions of windows whose entropy reaches the threshold; counts change by two characters a step."""
     counts: dict[str, int] = {}
+    weight = _CLOGC if window == WINDOW else _weights(window)
     weighted, spans = 0.0, []
     for i, ch in enumerate(s):
         c = counts.get(ch, 0)
-        weighted += _CLOGC[c + 1] - _CLOGC[c]
+        weighted += weight[c + 1] - weight[c]
         counts[ch] = c + 1
         if i >= window:
             old = s[i - window]
             c = counts[old]
-            weighted += _CLOGC[c - 1] - _CLOGC[c]
+            weighted += weight[c - 1] - weight[c]
             counts[old] = c - 1
         if i >= window - 1 and math.log2(window) - weighted / window >= threshold:
             begin = i - window + 1
