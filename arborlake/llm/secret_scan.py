@@ -28,6 +28,7 @@ ALLOW = [
     re.compile(r"(?:[A-Za-z]+[0-9]{0,4}[-_/+=]+)+[A-Za-z]*[0-9]{0,4}"),
 ]
 
+
 def _weights(window: int) -> list[float]:
     """c * log2(c) of the counts in a window, and of one more: a character enters before one leaves."""
     return [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
