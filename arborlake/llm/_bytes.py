@@ -7,7 +7,9 @@ so all words of a chunk are hashed by a handful of array operations.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,21 @@ NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _powers: dict[int, np.ndarray] = {}
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the worker gives memory back to the system: workers are kept for later tasks, and idle ones should hold little."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) mod 2^64; kept between calls up to a few chunks."""
     have = _powers.get(base)

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import U64, mix, ngrams, utf8_chunks, words
+from ._bytes import U64, mix, ngrams, tidy, utf8_chunks, words
 from ._owners import BLOCK, owner_groups, send, to_batch, to_owners, wire_schema
 from ._scratch import Scratch
 from ._spread import split_join
@@ -212,7 +212,7 @@ def _sketched(docs: DataFrame, owners: int, spread: float, seed: int) -> DataFra
                 yield from out.add(key[order], owner[order], side[order], len(size))
         yield from out.flush()
 
-    return docs.mapInArrow(run, _WIRE)
+    return docs.mapInArrow(tidy(run), _WIRE)
 
 
 def _row_keys(rows: DataFrame, owners: int) -> DataFrame:
@@ -233,7 +233,7 @@ def _row_keys(rows: DataFrame, owners: int) -> DataFrame:
                 yield from out.add(key, owner, side[part][owner], len(lists))
         yield from out.flush()
 
-    return rows.select("node", "n", "side", "need", "keys").mapInArrow(run, _WIRE)
+    return rows.select("node", "n", "side", "need", "keys").mapInArrow(tidy(run), _WIRE)
 
 
 def _homeward(wire: DataFrame, owners: int, homes: int, tasks: int, unique: bool) -> DataFrame:
@@ -294,7 +294,7 @@ def _homeward(wire: DataFrame, owners: int, homes: int, tasks: int, unique: bool
             if len(table):
                 yield pack(8, np.ascontiguousarray(table[:, 0]), [table])
 
-    return to_owners(wire, tasks).mapInArrow(own, "home int, kind int, key binary, rid binary, side binary")
+    return to_owners(wire, tasks).mapInArrow(tidy(own), "home int, kind int, key binary, rid binary, side binary")
 
 
 def _by_home(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, list[bytes]]]]:
@@ -359,7 +359,7 @@ def _candidates(packed: DataFrame, tasks: int) -> DataFrame:
             ids = pa.nulls(len(has), pa.int64())
             yield batch_of(ids, known[has // 2], node[has // 2], has % 2, n[has // 2], need.T.ravel()[has], key, k[has])
 
-    return _to_homes(packed, tasks).mapInArrow(run, "id long, rid long, node long, side byte, n long, extra long, keys array<long>")
+    return _to_homes(packed, tasks).mapInArrow(tidy(run), "id long, rid long, node long, side byte, n long, extra long, keys array<long>")
 
 
 def _counts(packed: DataFrame, tasks: int) -> DataFrame:
@@ -375,7 +375,7 @@ def _counts(packed: DataFrame, tasks: int) -> DataFrame:
                 s = np.bincount(np.searchsorted(table[:, 0], np.concatenate(sent)), minlength=len(table))
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, 1])), pa.array(s.astype(np.int64))], ["node", "s"])
 
-    return _to_homes(packed, tasks).mapInArrow(run, "node long, s long")
+    return _to_homes(packed, tasks).mapInArrow(tidy(run), "node long, s long")
 
 
 def _sets(docs: DataFrame, seed: int) -> DataFrame:
@@ -399,7 +399,7 @@ def _sets(docs: DataFrame, seed: int) -> DataFrame:
                     ["node", "n", "bits", "hashes"],
                 )
 
-    return docs.mapInArrow(run, "node long, n long, bits binary, hashes array<long>")
+    return docs.mapInArrow(tidy(run), "node long, n long, bits binary, hashes array<long>")
 
 
 def _linked(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -539,7 +539,7 @@ def _pairs_across(rows: DataFrame) -> DataFrame:
         for ab in found:
             yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], ["a", "b"])
 
-    return rows.select("key", "cell", "blk", "node", "comp", "side", "n", "w", "bits").mapInArrow(run, "a long, b long")
+    return rows.select("key", "cell", "blk", "node", "comp", "side", "n", "w", "bits").mapInArrow(tidy(run), "a long, b long")
 
 
 def _open_pairs(scratch: Scratch, table: DataFrame, nodes: DataFrame, sets: DataFrame, tasks: int, cell_rows: int) -> DataFrame:

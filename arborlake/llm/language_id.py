@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import U64, mix, utf8_chunks
+from ._bytes import U64, mix, tidy, utf8_chunks
 from ._scratch import bound_batches
 
 BUCKETS = 1 << 15
@@ -100,7 +100,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         k, g = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(g, pa.int32()), pa.array(total[k, g])], ["k", "g", "n"])
 
-    counts = picked.select(text_col, lang_col).mapInArrow(count, "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toPandas()
+    counts = picked.select(text_col, lang_col).mapInArrow(tidy(count), "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toPandas()
     total = np.ones((buckets, len(langs)))
     total[counts["g"], counts["k"]] += counts["n"]
     logp = np.log(total / total.sum(axis=0))
@@ -144,7 +144,7 @@ def predict(spark: SparkSession, docs: DataFrame, langs: list[str], matrix: np.n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(sc)], [*batch.schema.names, pred_col, score_col])
 
     schema = docs.select("*", F.lit("").alias(pred_col), F.lit(0.0).alias(score_col)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import NOT_ALNUM, U64, lowered, span_hashes, utf8_chunks, word_spans
+from ._bytes import NOT_ALNUM, U64, lowered, span_hashes, tidy, utf8_chunks, word_spans
 from ._scratch import Scratch
 from ._spread import gapless_rank
 
@@ -161,7 +161,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, id_col: str =
             yield pa.RecordBatch.from_arrays([ids_out, *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], [id_col, "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(cut), f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def combinations(hist: np.ndarray, window: int) -> list[tuple[int, ...]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import U64, mix, ngrams, powers, utf8_chunks, words
+from ._bytes import U64, mix, ngrams, powers, tidy, utf8_chunks, words
 from ._owners import BLOCK, repeated, send, to_batch, wire_schema
 from ._scratch import Scratch
 from ._spread import keyed, split_join
@@ -99,7 +99,7 @@ def _find_runs(docs: DataFrame, owners: int, window: int) -> DataFrame:
         if n_rows:
             yield flush()
 
-    return docs.mapInArrow(run, wire_schema(["doc", "first", "n", "side"]))
+    return docs.mapInArrow(tidy(run), wire_schema(["doc", "first", "n", "side"]))
 
 
 def _segments(wanted: DataFrame, shards: int, window: int) -> DataFrame:
@@ -129,7 +129,7 @@ def _segments(wanted: DataFrame, shards: int, window: int) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, [pa.int32()] + [pa.binary()] * 5, strict=True)], ["shard", "doc", "first", "n", "search", "hashes"])
 
-    return wanted.mapInArrow(run, "shard int, doc binary, first binary, n binary, search binary, hashes binary")
+    return wanted.mapInArrow(tidy(run), "shard int, doc binary, first binary, n binary, search binary, hashes binary")
 
 
 def _search(segments: DataFrame, tasks: int, window: int) -> DataFrame:
@@ -167,7 +167,7 @@ def _search(segments: DataFrame, tasks: int, window: int) -> DataFrame:
             hit = mask > 0
             yield pa.RecordBatch.from_arrays([pa.array(doc[own][hit]), pa.array(first[own][hit]), pa.array(search[own][hit]), pa.array(mask[hit].view(np.int64))], ["doc", "first", "search", "mask"])
 
-    return segments.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(run, "doc long, first int, search byte, mask long")
+    return segments.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(tidy(run), "doc long, first int, search byte, mask long")
 
 
 def _apply(joined: DataFrame, window: int, id_col: str, kind: str) -> DataFrame:
@@ -197,7 +197,7 @@ def _apply(joined: DataFrame, window: int, id_col: str, kind: str) -> DataFrame:
                 digest.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())], [id_col, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return joined.mapInArrow(run, f"{id_col} {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return joined.mapInArrow(tidy(run), f"{id_col} {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
