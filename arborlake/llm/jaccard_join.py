@@ -448,9 +448,9 @@ def _led(scratch: Scratch, sample: DataFrame, nodes: DataFrame, rows: int, turn:
     """(a, b): each node with the leader in another component that most of its sampled sketches name; a sketch's leader has few shingles of its own."""
     table = sample.join(nodes.select("node", "comp", "n", "w"), "node")
     order = F.struct(F.floor(8 * F.col("w") / F.col("n")), F.xxhash64("node", F.lit(turn)))
-    lead = F.min_by(F.struct("node", "n", "comp"), order).alias("lead")
+    lead = F.min_by(F.struct("node", "n", "comp", "w"), order).alias("lead")
     groups = table.groupBy("key").agg(lead, F.min("comp").alias("lo_"), F.max("comp").alias("hi_"), F.count("*").alias("c")).where("lo_ < hi_").drop("lo_", "hi_")
-    led = split_join(table, groups, ["key"], "c", rows).where("lead.comp <> comp and 4 * n >= 3 * lead.n and 4 * lead.n >= 3 * n")
+    led = split_join(table, groups, ["key"], "c", rows).where("lead.comp <> comp and w + lead.w <= 0 and 4 * n >= 3 * lead.n and 4 * lead.n >= 3 * n")
     votes = led.groupBy("node", F.col("lead.node").alias("a")).agg(F.count("*").alias("v"))
     return scratch.table(votes.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("v", "a")).alias("best")).select("best.a", "b"))
 
