@@ -18,9 +18,6 @@ def distribution_report(t):
     return distribution(t("orders").select(F.date_format("o_orderdate", "yyyy").alias("period")), "period").withColumn("bar", F.length("bar"))
 
 
-_T = "a AS (SELECT vec_id, label AS topic, round(abs(embedding[1]), 6) AS p FROM embeddings)"
-
-
 def _assigned(t):
     return t("embeddings").select("vec_id", F.col("label").alias("topic"), F.round(F.abs(F.get("embedding", F.lit(0)).cast("double")), 6).alias("probability"))
 
@@ -46,7 +43,7 @@ def class_weights(t):
 
 @query(
     "primary_topics",
-    "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS topic, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE 0.5 END AS probability, CASE vec_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 0.4 END AS mean FROM embeddings",
+    "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS topic, CAST(CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE 0.5 END AS DOUBLE) AS probability, CAST(CASE vec_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 0.4 END AS DOUBLE) AS mean FROM embeddings",
 )
 def primary_topics(t):
     k = F.col("vec_id") % 3
@@ -119,7 +116,7 @@ j AS (SELECT c_custkey % 3 <> 0 AS judged, x.c IS NOT NULL AS hit, coalesce(dist
 
 @query(
     "curated_metrics",
-    f"{_CASES} SELECT count(*) AS cases, round(avg(CASE WHEN judged THEN CASE WHEN pos IS NULL THEN 0 ELSE 1 END END), 6) AS mean_recall, round(avg(CASE WHEN judged THEN coalesce(1 / pos, 0) END), 6) AS mrr, round(avg(CASE WHEN NOT judged THEN CASE WHEN hit THEN 0 ELSE 1 END END), 6) AS negative_pass_rate, round(avg(CASE WHEN dist THEN 1 ELSE 0 END), 6) AS duplicate_free_rate, 1.0 AS tier_rate, 1.0 AS budget_rate FROM j",
+    f"{_CASES} SELECT count(*) AS cases, round(avg(CASE WHEN judged THEN CASE WHEN pos IS NULL THEN 0 ELSE 1 END END), 6) AS mean_recall, round(avg(CASE WHEN judged THEN coalesce(1 / pos, 0) END), 6) AS mrr, round(avg(CASE WHEN NOT judged THEN CASE WHEN hit THEN 0 ELSE 1 END END), 6) AS negative_pass_rate, round(avg(CASE WHEN dist THEN 1 ELSE 0 END), 6) AS duplicate_free_rate, 1.0::DOUBLE AS tier_rate, 1.0::DOUBLE AS budget_rate FROM j",
 )
 def curated_metrics(t):
     k = F.col("c_custkey")
