@@ -21,16 +21,23 @@ from ._spread import keyed
 MIN_POSTERIOR = 0.5
 
 
-def _rows(spark: SparkSession, docs: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-    """((row, id_, k_) of each row, (k_, text_) for an operator)."""
-    rows = keyed(Scratch(spark, tag), docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id_")), "id_", "k_")
-    return rows, rows.select("k_", F.col("row.text").alias("text_"))
+def _rows(spark: SparkSession, docs: DataFrame, tag: str) -> tuple[Scratch, DataFrame, DataFrame]:
+    """(scratch, (row, id_, k_) of each row, (k_, text_) for an operator)."""
+    scratch = Scratch(spark, tag)
+    rows = keyed(scratch, docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id_")), "id_", "k_")
+    return scratch, rows, rows.select("k_", F.col("row.text").alias("text_"))
 
 
-def _first_of_each(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows with the smallest id of each group in found (k_, group)."""
+def _without(scratch: Scratch, rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows without the keys that go. These are written first: the planner then knows how few they are, and texts stay where they are if it can broadcast them."""
+    return rows.join(scratch.table(gone), "k_", "left_anti").select("row.*")
+
+
+def _first_of_each(scratch: Scratch, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows with the smallest id of each group in found (k_, group), which has all rows."""
+    found = scratch.table(found)
     first = found.join(rows.select("k_", "id_"), "k_").groupBy("group").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", "k_")).alias("m")).select("m.k_")
-    return rows.join(first, "k_", "left_semi").select("row.*")
+    return _without(scratch, rows, found.select("k_").join(first, "k_", "left_anti"))
 
 
 def _fresh(name: str, taken: list[str]) -> str:
@@ -57,23 +64,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row with the smallest id. Null and empty texts are one group."""
-    rows, texts = _rows(spark, docs, "first")
+    scratch, rows, texts = _rows(spark, docs, "first")
     found = exact_dedup.exact_dedup(spark, texts, "k_", "text_").select("k_", F.col("text_sha256").alias("group"))
-    return _first_of_each(rows, found)
+    return _first_of_each(scratch, rows, found)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates, one row with the smallest id. Null, empty and wordless texts all stay."""
-    rows, texts = _rows(spark, docs, "near")
+    scratch, rows, texts = _rows(spark, docs, "near")
     found = jaccard_join.jaccard_components(spark, texts, "k_", "text_").select("k_", F.col("component_id").alias("group"))
-    return _first_of_each(rows, found)
+    return _first_of_each(scratch, rows, found)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark questions. Null, empty and wordless texts stay, as does all where benchmark is empty."""
-    rows, texts = _rows(spark, docs, "leaks")
+    scratch, rows, texts = _rows(spark, docs, "leaks")
     leaked = decontaminate.leaks(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "k_", "text_").select("k_").distinct()
-    return rows.join(leaked, "k_", "left_anti").select("row.*")
+    return _without(scratch, rows, leaked)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
