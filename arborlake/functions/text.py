@@ -82,9 +82,9 @@ def unique_clean(c: Column) -> Column:
 
 
 def clean_optional(c: Column) -> Column:
-    """Ordered distinct strings without null markers and trailing full stops."""
+    """Ordered distinct trimmed strings without null markers, whatever their case and full stops at their end."""
     # The null markers.
-    markers = ["", "n/a", "na", "none", "null", "not specified", "not applicable", "unknown"]
+    markers = ["", "n/a", "none", "not applicable", "not provided", "not specified", "not stated", "unknown"]
     stripped = F.transform(c, lambda x: F.trim(x))
     return F.array_distinct(F.filter(stripped, lambda x: ~F.regexp_replace(F.lower(x), r"\.+$", "").isin(markers)))
 

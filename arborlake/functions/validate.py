@@ -26,6 +26,7 @@ REASONS: dict[str, tuple[str, list[str]]] = {
     "adoption_reverted": ("outcome_follow_up", ["idea"]),
     "coverage_gap": ("corpus_demand", ["topic"]),
 }
+# The batch contract and its limit.
 CONTRACT, CONTRACT_VERSION, MAX_RECORDS = "research-feedback-batch", "1.0", 100
 PROJECT_ONLY = ["not_project_fit", "transfer_risk", "already_covered"]
 OUTCOMES = ["trial_succeeded", "trial_failed", "adoption_reverted"]

@@ -19,10 +19,10 @@ from ..functions.identity import uuid5
 from ..functions.text import clean_optional, present
 from .evidence import verification_span
 
-# The claim fields in their order, and the order in which a claim may stand in for a summary.
+# The claim fields in their order, the order in which a claim may stand in for a summary, and the namespace of point ids.
 CLAIM_FIELDS = ["problem", "contributions", "methods", "results", "limitations"]
 FALLBACK_FIELDS = ["contributions", "results", "methods", "problem"]
-NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+NAMESPACE = "d2e115ed80dd47e4a87520aad852ad20"
 
 
 def referenced() -> Column:
