@@ -316,7 +316,15 @@ def test_propagation_cuts_fewer_links(spark):
 
 
 def test_granted_moves_respect_room():
-    assert sharding.granted({(0, 1): 5, (1, 0): 3, (2, 1): 4}, [0, 3, 0]) == {(0, 1): 3, (1, 0): 3, (2, 1): 3}
+    # Three rows change places; shard 1 has room for three more, of which the largest wish gets its rest first.
+    assert sharding.granted({(0, 1): 5, (1, 0): 3, (2, 1): 4}, [0, 3, 0]) == {(0, 1): 5, (1, 0): 3, (2, 1): 1}
+    r = random.Random(1)
+    for _ in range(300):
+        wishes = {(i, j): r.randint(1, 9) for i in range(4) for j in range(4) if i != j and r.random() < 0.6}
+        room = [r.randint(-2, 6) for _ in range(4)]
+        got = sharding.granted(wishes, room)
+        assert all(n <= wishes[k] for k, n in got.items())
+        assert all(sum(n for (_, j), n in got.items() if j == s) - sum(n for (i, _), n in got.items() if i == s) <= max(0, room[s]) for s in range(4))
 
 
 def test_sharding_takes_every_row(spark):
