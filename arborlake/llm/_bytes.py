@@ -1,8 +1,11 @@
 """Words and hashes over the raw UTF-8 of an Arrow string column, in numpy.
 
 A text never becomes a Python string here. A word is a run of bytes other than
-space and 0x09-0x0D; its hash is a polynomial over 2^64, read off prefix sums,
-so all words of a chunk are hashed by a handful of array operations.
+space and 0x09-0x0D. Its hash is the sum of a finaliser over its 8-byte blocks,
+each under a key that belongs to the block's place: all words of a chunk are
+hashed by a handful of array operations, and repeated or alternating blocks do
+not cancel, as they do in a polynomial modulo 2^64. `distinct` tells words apart
+by their bytes.
 """
 
 from __future__ import annotations
@@ -16,9 +19,9 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 5
-_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
+_GOLDEN = U64(0x9E3779B97F4A7C15)
+#: The low n bytes of a block.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -103,12 +106,66 @@ def word_spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -
     return s, e, np.searchsorted(offs, s, "right") - 1
 
 
-def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    n = len(data)
-    prefix = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE[data] * powers(_BASE, n), out=prefix[1:])
-    h = (prefix[e] - prefix[s]) * powers(_INV, n + 1)[s]
-    return mix(h + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
+def _loads(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as a number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _blocks_after(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, bytes, number in its span) of all blocks but the first of spans of more than 8 bytes."""
+    more = (e - s - 1) >> 3
+    number = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
+    at = np.repeat(s, more) + 8 * number
+    return at, np.minimum(np.repeat(e, more) - at, 8), number
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of the spans; those of two lanes are independent."""
+    size, load = e - s, _loads(data)
+    keys = mix(np.array([lane], U64) * U64(0xD1B54A32D192ED03) + _GOLDEN)
+    h = mix((load[s] & _MASK[np.minimum(size, 8)]) ^ keys)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        at, n, number = _blocks_after(s[long], e[long])
+        more = (size[long] - 1) >> 3
+        h[long] += np.add.reduceat(mix((load[at] & _MASK[n]) ^ mix(keys + number.astype(U64) * _GOLDEN)), np.cumsum(more) - more)
+    return mix(h + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def same_spans(a: np.ndarray, sa: np.ndarray, ea: np.ndarray, b: np.ndarray, sb: np.ndarray, eb: np.ndarray) -> np.ndarray:
+    """Whether a[sa:ea] and b[sb:eb] are equal, byte by byte."""
+    same = (ea - sa) == (eb - sb)
+    la, lb = _loads(a), _loads(b)
+    same &= ((la[sa] ^ lb[sb]) & _MASK[np.minimum(ea - sa, 8)]) == 0
+    long = np.flatnonzero(same & (ea - sa > 8))
+    if len(long):
+        at, n, _ = _blocks_after(sa[long], ea[long])
+        bt, _, _ = _blocks_after(sb[long], eb[long])
+        more = (ea[long] - sa[long] - 1) >> 3
+        same[long] = np.logical_and.reduceat(((la[at] ^ lb[bt]) & _MASK[n]) == 0, np.cumsum(more) - more)
+    return same
+
+
+def distinct(data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(one span of each distinct word, which of them each span is, how many of the former have a hash of their own).
+
+    Hashes only group the spans; the bytes decide. Words whose hash another word
+    has too come last.
+    """
+    own, first, back = np.unique(span_hashes(data, s, e) if h is None else h, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~same_spans(data, s, e, data, s[first][back], e[first][back]))
+    if len(odd):
+        named: dict[bytes, int] = {}
+        more = []
+        for i in odd.tolist():
+            word = data[s[i] : e[i]].tobytes()
+            if word not in named:
+                named[word] = len(own) + len(more)
+                more.append(i)
+            back[i] = named[word]
+        first = np.concatenate([first, np.array(more)])
+    return first, back, len(own)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -116,12 +173,12 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte, text index) of each word, in order."""
     if lower:
         data = lowered(data)
-    s, e, t = word_spans(data, offs, space)
-    return span_hashes(data, s, e), s, e, t
+    s, e, t = word_spans(data, offs)
+    return span_hashes(data, s, e, lane), s, e, t
 
 
 def ngrams(h: np.ndarray, n: int, seed: int) -> np.ndarray:

@@ -23,9 +23,9 @@ and for the band below (side 1), and a pair of sketches needs a side 0.
    checked exactly. So no link between two components is missed, and a group of
    copies costs rows in proportion to its size.
 
-Equality of sets is decided by two independent 64-bit digests and the size,
-equality of shingles by a 64-bit hash: two different shingles agree with
-probability 2^-64.
+Equality of sets is decided by the size and two 64-bit digests over independent
+hashes of the words, which 2^-128 of unequal pairs pass. A link between different
+sets is decided on the words of both texts, byte by byte (`_verify`).
 """
 
 from __future__ import annotations
@@ -40,13 +40,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import U64, mix, ngrams, tidy, utf8_chunks, words
+from ._bytes import U64, lowered, mix, ngrams, span_hashes, tidy, utf8_chunks, word_spans
 from ._owners import BLOCK, owner_groups, send, to_batch, to_owners, wire_schema
 from ._scratch import Scratch
 from ._spread import split_join
+from ._verify import similar_pairs
 
 #: ROUNDS leader rounds over each node's SAMPLE smallest sketches; BITS of the parity sketch that pairs are checked by.
-SHINGLE, BITS, ROUNDS, SAMPLE = 5, 1024, 4, 12
+SHINGLE, PERCENT, BITS, ROUNDS, SAMPLE = 5, 75, 1024, 4, 12
 #: Rows of a key that one task compares with each other; larger groups are dealt into cells.
 CELL = 8192
 #: Sets that a task remembers having sketched already.
@@ -73,28 +74,28 @@ def tolerance(n: np.ndarray, scheme: np.ndarray) -> np.ndarray:
     return (n + np.minimum(4 * n // 3, high)) // 7
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of each distinct shingle, sorted by text and hash."""
-    h, _, _, t = words(data, offs, True)
-    s = ngrams(h, k, k)
-    own = t[: len(s)] == t[k - 1 :] if len(s) else np.zeros(0, bool)
-    out, owner = [s[own]], [t[: len(s)][own]]
+def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, second hash) of each distinct shingle, sorted by text and hash."""
+    low = lowered(data)
+    b, e, t = word_spans(low, offs)
     size = np.bincount(t, minlength=len(offs) - 1)
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    for short in range(1, k):
-        d = np.flatnonzero(size == short)
-        if len(d):
-            g = ngrams(h, short, 1000 + short)
-            out.append(g[first[d]])
-            owner.append(d)
-    s, t = np.concatenate(out), np.concatenate(owner)
+    short = [(z, np.flatnonzero(size == z)) for z in range(1, k)]
+    lanes = []
+    for lane in (2 * seed, 2 * seed + 1):
+        h = span_hashes(low, b, e, lane)
+        s = ngrams(h, k, k)
+        own = t[: len(s)] == t[k - 1 :] if len(s) else np.zeros(0, bool)
+        lanes.append(np.concatenate([s[own], *(ngrams(h, z, 1000 + z)[first[d]] for z, d in short if len(d))]))
+    t = np.concatenate([t[: len(s)][own], *(d for _, d in short if len(d))])
+    s, second = lanes
     order = np.argsort(s)
     key = t[order].astype(np.uint16) if len(offs) < 1 << 16 else t[order]
     order = order[np.argsort(key, kind="stable")]
     s, t = s[order], t[order]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
-    return s[keep], t[keep]
+    return s[keep], t[keep], second[order][keep]
 
 
 def part_sketches(s: np.ndarray, t: np.ndarray, n: np.ndarray, side: int, spread: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,15 +116,14 @@ def part_sketches(s: np.ndarray, t: np.ndarray, n: np.ndarray, side: int, spread
     return key, t0, np.bincount(t0, minlength=len(n))
 
 
-def fingerprints(s: np.ndarray, n: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, check) of each text's set: two digests that do not depend on the order."""
+def fingerprints(s: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, check) of each text's set: digests of its two hashes that do not depend on the order."""
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
     has = np.flatnonzero(n)
     node, check = np.zeros(len(n), U64), np.zeros(len(n), U64)
     if len(has):
-        both = np.bitwise_xor.reduceat(mix(s), start[has])
-        check[has] = np.add.reduceat(mix(s ^ U64(0x5851F42D4C957F2D)), start[has])
-        node[has] = mix(both ^ mix(check[has] + U64(seed)) + n[has].astype(U64))
+        check[has] = np.add.reduceat(mix(second), start[has])
+        node[has] = mix(np.add.reduceat(mix(s), start[has]) + n[has].astype(U64) * U64(0x5851F42D4C957F2D))
     return node, check
 
 
@@ -185,9 +185,9 @@ def _sketched(docs: DataFrame, owners: int, spread: float, seed: int) -> DataFra
             valid = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, data, offs in utf8_chunks(batch.column(1)):
-                s, t = shingles(data, offs)
+                s, t, second = shingles(data, offs, seed=seed)
                 n = np.bincount(t, minlength=b - a)
-                node, check = fingerprints(s, n, seed)
+                node, check = fingerprints(s, second, n)
                 # A set is sketched once a task (twice, should `seen` overflow).
                 fresh = np.zeros(b - a, bool)
                 if len(seen) > SEEN:
@@ -379,14 +379,14 @@ def _counts(packed: DataFrame, tasks: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, seed: int) -> DataFrame:
-    """(node, n, bits, hashes): the shingle set and its bit-parity sketch. Wordless texts have none."""
+    """(node, n, bits, hashes, text): the shingle set, its bit-parity sketch and a text that has it. Wordless texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in utf8_chunks(batch.column(0)):
-                s, t = shingles(data, offs)
+                s, t, second = shingles(data, offs, seed=seed)
                 n = np.bincount(t, minlength=b - a)
-                node, _ = fingerprints(s, n, seed)
+                node, _ = fingerprints(s, second, n)
                 has = np.flatnonzero(n)
                 end = np.cumsum(n)
                 bits = []
@@ -394,16 +394,17 @@ def _sets(docs: DataFrame, seed: int) -> DataFrame:
                     odd = np.bincount((mix(s[lo:hi]) & U64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
                     bits.append(np.packbits(odd.astype(bool)).tobytes())
                 offsets = pa.array(np.concatenate([[0], end[has]]).astype(np.int32))
+                text = batch.column(0).slice(a, b - a).take(pa.array(has))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[has].view(np.int64)), pa.array(n[has].astype(np.int64)), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64)))],
-                    ["node", "n", "bits", "hashes"],
+                    [pa.array(node[has].view(np.int64)), pa.array(n[has].astype(np.int64)), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64))), text],
+                    ["node", "n", "bits", "hashes", "text"],
                 )
 
-    return docs.mapInArrow(tidy(run), "node long, n long, bits binary, hashes array<long>")
+    return docs.mapInArrow(tidy(run), "node long, n long, bits binary, hashes array<long>, text string")
 
 
-def _linked(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """The pairs (a, b), a table, whose sets have similarity 3/4; None if there are none. Sets meet pairs by shuffles, a set with many pairs in several places."""
+def _linked(scratch: Scratch, pairs: DataFrame, sets: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame | None:
+    """The pairs (a, b), a table, whose texts are similar; None if there are none. Texts meet pairs by shuffles, a text with many pairs in several places."""
     rows = pairs.count()
     if not rows:
         return None
@@ -411,10 +412,9 @@ def _linked(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame |
     out = pairs
     for end, other in (("a", "b"), ("b", "a")):
         salt = F.pmod(F.xxhash64(other), salts).alias("salt")
-        one = sets.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("hashes").alias(f"x{end}")).join(pairs.select(end, salt).distinct(), end)
+        one = sets.select(F.col("node").alias(end), F.col("text").alias(f"t{end}")).join(pairs.select(end, salt).distinct(), end)
         out = out.withColumn("salt", salt).join(one, [end, "salt"]).drop("salt")
-    both = F.size(F.array_intersect("xa", "xb"))
-    found = scratch.table(out.where(100 * both >= 75 * (F.col("na") + F.col("nb") - both)).select("a", "b"))
+    found = scratch.table(similar_pairs(out, k, percent))
     return found if found.limit(1).count() else None
 
 
@@ -591,7 +591,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
         meta = scratch.table(raw.where("side = -1").select("id", "node", "n", F.col("extra").alias("check")))
         agg = meta.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.max("n").alias("n"), (F.struct(F.min("check"), F.min("n")) < F.struct(F.max("check"), F.max("n"))).alias("clash"))
         classes = scratch.table(agg)
-        # All u parts of a set could differ: more parts, then. Or two sets have one digest. Both are made all but impossible.
+        # All u parts of a set could differ: more parts, then. Or two sets have one digest: other hashes. Both are made all but impossible.
         few, clash = raw.where("side = -2").limit(1).count(), classes.where("clash").limit(1).count()
         if not few and not clash:
             break

@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import NOT_ALNUM, U64, lowered, span_hashes, tidy, utf8_chunks, word_spans
+from ._bytes import NOT_ALNUM, U64, distinct, lowered, same_spans, span_hashes, tidy, utf8_chunks, word_spans
 from ._scratch import Scratch
 from ._spread import gapless_rank
 
-WINDOW, END_ID, MEMO, CHUNK_BYTES = 4096, 2, 1_500_000, 2 << 20
+#: MEMO: bytes of the words, with their ids, that a worker remembers.
+WINDOW, END_ID, MEMO, CHUNK_BYTES = 4096, 2, 64 << 20, 2 << 20
 _ALNUM = ~NOT_ALNUM & (np.arange(256) < 128)
 
 
@@ -42,7 +43,9 @@ class WordTokenizer:
     Words are found and hashed as bytes; only the distinct words that the memo
     lacks become strings and are encoded. A full stop or comma after a letter or
     digit is a token of its own and is left off the memo's words. The memo is
-    three sorted arrays, emptied when it holds `memo` words.
+    arrays in the order of the hash, with the words' bytes beside them: a word
+    is known if its bytes are those remembered, and of two words with one hash
+    the second is encoded each time. It is emptied when it holds `memo` bytes.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -61,7 +64,11 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.hash, self.at, self.n, self.ids = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.hash, self.ids, self.raw = np.zeros(0, U64), np.zeros(0, "<u4"), np.zeros(0, np.uint8)
+        self.at, self.n, self.s, self.e = (np.zeros(0, np.int64) for _ in range(4))
+
+    def _held(self) -> int:
+        return sum(x.nbytes for x in (self.hash, self.ids, self.raw, self.at, self.n, self.s, self.e))
 
     def _encode_words(self, words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each string, all ids). Words of letters alone end in one token that closes a word, so many of them go as one text."""
@@ -90,13 +97,48 @@ class WordTokenizer:
         begin[order] = np.cumsum(sizes) - sizes
         return n, flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(flat))]
 
+    def _read(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._encode_words([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+
     def _learn(self, data: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
-        raw = data.tobytes()
-        n, ids = self._encode_words([raw[a:b].decode("utf-8", "replace") for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+        """Remember words (sorted by hash, none of which the memo has)."""
+        n, ids = self._read(data, s, e)
+        size = e - s
+        end = len(self.raw) + np.cumsum(size)
+        index = np.repeat(s - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        self.raw = np.concatenate([self.raw, data[index]])
+        spot = np.searchsorted(self.hash, h)
         at = len(self.ids) + np.cumsum(n) - n
         self.ids = np.concatenate([self.ids, ids])
-        spot = np.searchsorted(self.hash, h)
-        self.hash, self.at, self.n = np.insert(self.hash, spot, h), np.insert(self.at, spot, at), np.insert(self.n, spot, n)
+        for name, new in (("at", at), ("n", n), ("s", end - size), ("e", end), ("hash", h)):
+            setattr(self, name, np.insert(getattr(self, name), spot, new))
+
+    def _look_up(self, data: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, single: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ids, number of ids, ids) of distinct words, of which the first `single` are sorted by hash."""
+        if self._held() > self.size:
+            self.forget()
+
+        def known() -> tuple[np.ndarray, np.ndarray]:
+            spot = np.searchsorted(self.hash, h)
+            here = np.flatnonzero(spot < len(self.hash))
+            here = here[self.hash[spot[here]] == h[here]]
+            return spot, here
+
+        _, here = known()
+        new = np.ones(len(h), bool)
+        new[here] = new[single:] = False
+        if new.any():
+            self._learn(data, h[new], s[new], e[new])
+        spot, here = known()
+        right = np.zeros(len(h), bool)
+        right[here] = same_spans(data, s[here], e[here], self.raw, self.s[spot[here]], self.e[spot[here]])
+        at, n, ids = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), self.ids
+        at[right], n[right] = self.at[spot[right]], self.n[spot[right]]
+        if not right.all():
+            count, more = self._read(data, s[~right], e[~right])
+            at[~right], n[~right] = len(ids) + np.cumsum(count) - count, count
+            ids = np.concatenate([ids, more])
+        return at, n, ids
 
     def encode_chunk(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of the texts within them) of a chunk of texts."""
@@ -107,24 +149,16 @@ class WordTokenizer:
         marked = (e - s > 1) & (self.mark[data[e - 1]] > 0) & _ALNUM[data[e - 2]]
         tail = np.where(marked, self.mark[data[e - 1]], 0)
         e = e - marked
-        h, first, back = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
-        if len(self.hash) + len(h) > self.size:
-            self.forget()
-        spot = np.searchsorted(self.hash, h)
-        known = np.zeros(len(h), bool)
-        inside = spot < len(self.hash)
-        known[inside] = self.hash[spot[inside]] == h[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            self._learn(data, h[new], s[first[new]], e[first[new]])
-            spot = np.searchsorted(self.hash, h)
-        at, n = self.at[spot][back], self.n[spot][back]
+        h = span_hashes(data, s, e)
+        first, back, single = distinct(data, s, e, h)
+        at, n, ids = self._look_up(data, h[first], s[first], e[first], single)
+        at, n = at[back], n[back]
         full = n + marked
         end = np.cumsum(full)
         begin = end - full
         out = np.empty(int(end[-1]), "<u4")
         within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(begin, n) + within] = self.ids[np.repeat(at, n) + within]
+        out[np.repeat(begin, n) + within] = ids[np.repeat(at, n) + within]
         out[end[marked] - 1] = tail[marked]
         per_text = np.bincount(t, weights=full, minlength=len(offs) - 1).astype(np.int64)
         return out, np.concatenate([[0], np.cumsum(per_text)])

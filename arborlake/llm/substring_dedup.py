@@ -5,11 +5,12 @@ shards, so shards are made by content. A window's anchor is its smallest 8-gram
 hash (leftmost if tied), the same wherever the window stands; consecutive
 windows with one anchor form a run. Two equal windows have equal anchors, so
 only runs whose anchor repeats are candidates, and all of them meet in the
-anchor's shard. Runs that are alike as a whole (by a 64-bit fingerprint) enter
-the index twice, however many there are, and are searched once. In a shard, an
-FM-index over these runs is searched backward for each of them: its matching
-statistics tell which windows occur again. Words are compared by 64-bit hashes:
-two different words agree with probability 2^-64.
+anchor's shard. Runs that are alike as a whole (by anchor and a fingerprint, two
+independent 64-bit hashes) enter the index twice, however many there are, and
+are searched once. In a shard, an FM-index over these runs is searched backward
+for each of them: its matching statistics tell which windows occur again. Runs
+travel to their shard as text, and the index's symbols are words told apart by
+their bytes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import U64, mix, ngrams, powers, tidy, utf8_chunks, words
+from ._bytes import U64, distinct, mix, ngrams, powers, span_hashes, tidy, utf8_chunks, word_spans, words
 from ._owners import BLOCK, repeated, send, to_batch, wire_schema
 from ._scratch import Scratch
 from ._spread import keyed, split_join
@@ -49,7 +50,7 @@ def _smallest(g: np.ndarray, grams: int) -> np.ndarray:
 
 def runs(data: np.ndarray, offs: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """(text, first word in the text, windows, anchor, fingerprint) of each run of windows with one anchor."""
-    h, _, _, t = words(data, offs)
+    h, s, e, t = words(data, offs)
     n = len(h) - window + 1
     z = np.zeros(0, np.int64)
     if n <= 0:
@@ -63,7 +64,7 @@ def runs(data: np.ndarray, offs: np.ndarray, window: int = WINDOW) -> tuple[np.n
     a = np.flatnonzero(first)
     stop = np.flatnonzero(valid & np.concatenate([first[1:] | ~valid[1:], [True]]))
     prefix = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * powers(_BASE, len(h)), out=prefix[1:])
+    np.cumsum(span_hashes(data, s, e, 1) * powers(_BASE, len(h)), out=prefix[1:])
     count = stop - a + 1
     print_ = mix((prefix[stop + window] - prefix[a]) * powers(_INV, len(h) + 1)[a] + count.astype(U64))
     size = np.bincount(t, minlength=len(offs) - 1)
@@ -102,15 +103,25 @@ def _find_runs(docs: DataFrame, owners: int, window: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), wire_schema(["doc", "first", "n", "side"]))
 
 
+def _spaced(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> bytes:
+    """The spans with a space after each."""
+    size = e - s + 1
+    end = np.cumsum(size)
+    index = np.repeat(s - (end - size), size) + np.arange(int(end[-1]))
+    out = data[np.minimum(index, len(data) - 1)]
+    out[end - 1] = 0x20
+    return out.tobytes()
+
+
 def _segments(wanted: DataFrame, shards: int, window: int) -> DataFrame:
-    """(shard, anchors, docs, firsts, counts, search, hashes): the wanted runs' word hashes, packed per shard."""
+    """(shard, docs, firsts, counts, search, text): the wanted runs' words, a space after each, packed per shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             lists = batch.column(2)
             for a, b, data, offs in utf8_chunks(batch.column(1)):
-                h, _, _, t = words(data, offs)
+                s, e, t = word_spans(data, offs)
                 begin = np.searchsorted(t, np.arange(b - a))
                 part = lists.slice(a, b - a)
                 owner = np.repeat(np.arange(b - a), part.value_lengths().fill_null(0).to_numpy())
@@ -125,18 +136,18 @@ def _segments(wanted: DataFrame, shards: int, window: int) -> DataFrame:
                     size = n[own].astype(np.int64) + window - 1
                     lo = begin[owner[own]] + first[own]
                     idx = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-                    rows.append((int(shard[own[0]]), ids[a:b][owner[own]].tobytes(), first[own].astype(np.int32).tobytes(), n[own].astype(np.int8).tobytes(), search[own].astype(np.int8).tobytes(), h[idx].tobytes()))
+                    rows.append((int(shard[own[0]]), ids[a:b][owner[own]].tobytes(), first[own].astype(np.int32).tobytes(), n[own].astype(np.int8).tobytes(), search[own].astype(np.int8).tobytes(), _spaced(data, s[idx], e[idx])))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, [pa.int32()] + [pa.binary()] * 5, strict=True)], ["shard", "doc", "first", "n", "search", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, [pa.int32()] + [pa.binary()] * 5, strict=True)], ["shard", "doc", "first", "n", "search", "text"])
 
-    return wanted.mapInArrow(tidy(run), "shard int, doc binary, first binary, n binary, search binary, hashes binary")
+    return wanted.mapInArrow(tidy(run), "shard int, doc binary, first binary, n binary, search binary, text binary")
 
 
 def _search(segments: DataFrame, tasks: int, window: int) -> DataFrame:
     """(doc, first, search, mask): bit i set if the run's window i occurs again. One FM-index per shard, one shard at a time in a worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.int64, np.int32, np.int8, np.int8, np.uint64)
+        kinds = (np.int64, np.int32, np.int8, np.int8, np.uint8)
 
         def shards() -> Iterator[list[np.ndarray]]:
             held: list[list[np.ndarray]] = []
@@ -152,13 +163,14 @@ def _search(segments: DataFrame, tasks: int, window: int) -> DataFrame:
             if held:
                 yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
-        for doc, first, n, search, h in shards():
+        for doc, first, n, search, data in shards():
             size = n.astype(np.int64) + window - 1
             start = np.cumsum(size + 1) - size  # a separator before each segment
-            _, symbol = np.unique(h, return_inverse=True)
+            s, e, _ = word_spans(data, np.array([0, len(data)]))
+            _, symbol, _ = distinct(data, s, e)
             text = np.zeros(int((size + 1).sum()) + 1, np.int64)
             old = np.concatenate([[0], np.cumsum(size)[:-1]])
-            text[np.repeat(start - old, size) + np.arange(len(h))] = symbol + 1
+            text[np.repeat(start - old, size) + np.arange(len(symbol))] = symbol + 1
             index = FMIndex(text)
             own = np.flatnonzero(search)
             seg, lo, hi = repeated_windows(index, text, start[own], size[own], window)
