@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -455,7 +455,16 @@ def _led(scratch: Scratch, sample: DataFrame, nodes: DataFrame, rows: int, turn:
     return scratch.table(votes.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("v", "a")).alias("best")).select("best.a", "b"))
 
 
-def _pairs_across(rows: DataFrame) -> DataFrame:
+def parity_allows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether bit-parity sketches leave room for a link, n being the sum of the two sizes."""
+    return 7 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= n
+
+
+#: (sketches, sketches, sums of sizes) -> which pairs may be linked.
+Allows = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _pairs_across(rows: DataFrame, allows: Allows = parity_allows) -> DataFrame:
     """(a, b) of rows (key, cell, blk, node, comp, side, n, w, bits), grouped: pairs of one key, of different components, that sizes, w and bits allow.
 
     Only light nodes (w <= 0) are compared with others, for of two similar ones
@@ -482,7 +491,7 @@ def _pairs_across(rows: DataFrame) -> DataFrame:
             _, _, blk, node, _, _, n, _ = cols
             for a in range(0, len(x), 1 << 17):
                 i, j = x[a : a + (1 << 17)], y[a : a + (1 << 17)]
-                ok = 7 * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+                ok = allows(bits[i], bits[j], n[i] + n[j])
                 i, j = node[i[ok]], node[j[ok]]
                 if len(i):
                     found.append(np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0))
@@ -542,11 +551,11 @@ def _pairs_across(rows: DataFrame) -> DataFrame:
     return rows.select("key", "cell", "blk", "node", "comp", "side", "n", "w", "bits").mapInArrow(tidy(run), "a long, b long")
 
 
-def _open_pairs(scratch: Scratch, table: DataFrame, nodes: DataFrame, sets: DataFrame, tasks: int, cell_rows: int) -> DataFrame:
+def _open_pairs(scratch: Scratch, table: DataFrame, nodes: DataFrame, sets: DataFrame, tasks: int, cell_rows: int, allows: Allows = parity_allows) -> DataFrame:
     """(a, b): all pairs across components that may be linked. table: (node, side, need, keys)."""
     rows = table.join(nodes.select("node", "comp"), "node").select("node", "side", "need", "comp", F.explode("keys").alias("key"))
     groups = rows.groupBy("key").agg(F.min("comp").alias("lo_"), F.max("comp").alias("hi_"), F.min("side").alias("side_"), F.count("*").alias("c"))
-    groups = groups.where("lo_ < hi_ and side_ = 0").select("key", "c")
+    groups = groups.where("lo_ < hi_ and side_ <= 0").select("key", "c")
     total = table.agg(F.sum(F.size("keys"))).first()[0] or 0
     still = split_join(rows, groups, ["key"], "c", total).where("c is not null")
     per_node = still.groupBy("node", "side").agg(F.max("need").alias("need"), F.sort_array(F.collect_list(F.struct("c", "key"))).alias("open"))
@@ -564,7 +573,38 @@ def _open_pairs(scratch: Scratch, table: DataFrame, nodes: DataFrame, sets: Data
     n_rows = per_node.agg(F.sum(F.size("open"))).first()[0] or 0
     places = max(1, min(tasks, n_rows // 50_000))
     dealt = each.repartition(places, "key", "cell").sortWithinPartitions("key", "cell")
-    return scratch.table(_pairs_across(dealt).distinct())
+    return scratch.table(_pairs_across(dealt, allows).distinct())
+
+
+def merged(
+    scratch: Scratch, table: DataFrame, nodes: DataFrame, sets: DataFrame, linked: Callable[[DataFrame], DataFrame | None], tasks: int, cell_rows: int, rounds: int, allows: Allows = parity_allows
+) -> DataFrame:
+    """nodes with their components, by leader rounds and then by all pairs across components that may be linked. linked: the pairs that are, if any."""
+    sample = scratch.table(table.select("node", F.explode(F.slice("keys", 1, SAMPLE)).alias("key")).distinct())
+    scratch.free_shuffles()
+    rows = sample.count()
+    for turn in range(rounds if rows else 0):
+        links = linked(_led(scratch, sample, nodes, rows, turn))
+        if links is None:
+            break
+        nodes = _contracted(scratch, nodes, links)
+        scratch.free_shuffles()
+    if rows:
+        links = linked(_open_pairs(scratch, table, nodes, sets, tasks, cell_rows, allows))
+        if links is not None:
+            nodes = _contracted(scratch, nodes, links)
+        scratch.free_shuffles()
+    return nodes
+
+
+def named(scratch: Scratch, meta: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, n, component_id) of the rows of meta (id, node, n); classes (node, rep, c) are the sets, nodes (node, comp) those that may have partners."""
+    in_comp = nodes.select("node", "comp").join(classes.select("node", "rep"), "node")
+    least = in_comp.groupBy("comp").agg(F.min("rep").alias("least_"), F.count("*").alias("size_")).where("size_ > 1")
+    told = split_join(in_comp, least, ["comp"], "size_", nodes.count()).select("node", F.col("least_"))
+    final = scratch.table(classes.select("node", "rep", "c").join(told, "node", "left").select("node", "c", F.coalesce("least_", "rep").alias("component_id")))
+    some = split_join(meta.where("n > 0"), final, ["node"], "c", meta.count()).select("id", "n", "component_id")
+    return some.unionByName(meta.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: float = 1.0, rounds: int = ROUNDS, cell_rows: int = CELL) -> DataFrame:
@@ -618,28 +658,33 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     nodes = scratch.table(nodes)
     every, table = table, scratch.table(table.join(nodes.select("node"), "node", "left_semi"))
     scratch.drop(every)
-    sample = scratch.table(table.select("node", F.explode(F.slice("keys", 1, SAMPLE)).alias("key")).distinct())
-    scratch.free_shuffles()
-    rows = sample.count()
-    for turn in range(rounds if rows else 0):
-        links = _linked(scratch, _led(scratch, sample, nodes, rows, turn), sets)
-        if links is None:
-            break
-        nodes = _contracted(scratch, nodes, links)
-        scratch.free_shuffles()
-    if rows:
-        links = _linked(scratch, _open_pairs(scratch, table, nodes, sets, tasks, cell_rows), sets)
-        if links is not None:
-            nodes = _contracted(scratch, nodes, links)
-        scratch.free_shuffles()
-    in_comp = nodes.select("node", "comp").join(classes.select("node", "rep"), "node")
-    least = in_comp.groupBy("comp").agg(F.min("rep").alias("least_"), F.count("*").alias("size_")).where("size_ > 1")
-    named = split_join(in_comp, least, ["comp"], "size_", nodes.count()).select("node", F.col("least_"))
-    final = scratch.table(classes.select("node", "rep", "c").join(named, "node", "left").select("node", "c", F.coalesce("least_", "rep").alias("component_id")))
-    some = split_join(meta.where("n > 0"), final, ["node"], "c", meta.count()).select("id", "n", "component_id")
-    every = some.unionByName(meta.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    nodes = merged(scratch, table, nodes, sets, lambda pairs: _linked(scratch, pairs, sets), tasks, cell_rows, rounds)
+    return named(scratch, meta, classes, nodes).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def components_sql(k: int, percent: int) -> str:
+    """(doc_id, n_shingles, component_id) in DuckDB SQL."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(
+    CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END
+  ) AS g FROM texts
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT s.x, s.y FROM shared s JOIN sizes a ON a.doc_id = s.x JOIN sizes b ON b.doc_id = s.y WHERE 100 * s.n >= {percent} * (a.n + b.n - s.n)),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM ends UNION SELECT r.x, e.y FROM reach r JOIN ends e ON r.y = e.x)
+SELECT t.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(t.doc_id, r.least) AS component_id
+FROM texts t LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS least FROM reach GROUP BY x) r USING (doc_id)"""
+
+
+OP7_SQL = components_sql(SHINGLE, PERCENT)

