@@ -102,15 +102,6 @@ def project_2d(df: DataFrame, key: str, vector: str) -> DataFrame:
     return out.select(key, F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
-def density_clusters(df: DataFrame, key: str, vector: str, k: int = 10, seed: int = 42) -> DataFrame:
-    """A bisecting k-means, offered in place of hierarchical density clustering."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
-
-    data = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    return BisectingKMeans(k=k, seed=seed).fit(data).transform(data).select(key, F.col("prediction").alias("cluster"))
-
-
 def dimension_report(df: DataFrame, vector: str) -> DataFrame:
     size = F.size(vector)
     return df.agg(F.count("*").alias("vectors"), F.min(size).alias("min_dim"), F.max(size).alias("max_dim"), F.count_if(size == 0).alias("empty")).withColumn("consistent", (F.col("min_dim") == F.col("max_dim")) & (F.col("empty") == 0))

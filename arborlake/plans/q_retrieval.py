@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import cosine
-from ..operators import lexical, ranking, vector
+from ..operators import ranking, vector
+from . import stored
 from .q_text import SQL_TOKENS
 from .registry import query
 
@@ -25,14 +26,9 @@ SQL_FUSED = "fu AS (SELECT doc_id, round(sum(p), 9) AS rrf FROM (SELECT doc_id,
 
 
 def sparse(t):
-    docs = t("documents")
-    terms = lexical.terms(docs, "doc_id", "text")
-    q = lexical.terms(t("benchmark").where("item_id = 3"), "item_id", "text")
-    # Document frequencies are needed for the query's few tokens only.
-    mine = terms.join(F.broadcast(q.select("token")), "token", "left_semi")
-    weights = lexical.idf(mine, docs.agg(F.count("*").alias("n")))
-    scored = lexical.sparse_scores(q, mine, weights, "item_id", "doc_id")
-    top = scored.orderBy(F.desc("score"), "doc_id").limit(CANDIDATES)
+    index = stored.postings(t)
+    terms = index.query_terms(t("benchmark").where("item_id = 3"), "item_id", "text")
+    top = index.top(terms, CANDIDATES).withColumnRenamed("doc", "doc_id")
     return ranking.with_rank(top, F.desc("score"), F.col("doc_id")).select("doc_id", "score", "rank")
 
 
@@ -214,11 +210,6 @@ def projection_2d(t):
     return vector.project_2d(t("embeddings"), "vec_id", "embedding")
 
 
-@query("density_clusters")
-def density_clusters(t):
-    return vector.density_clusters(t("embeddings"), "vec_id", "embedding")
-
-
 @query("bounded_picks", "SELECT doc_id, lang, n_chars, lang AS picked_for FROM documents WHERE lang IN ('en', 'de', 'fr') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) <= 20")
 def bounded_picks(t):
     return ranking.bounded_picks(t("documents").select("doc_id", "lang", "n_chars"), ["en", "de", "fr"], F.col("lang"), "doc_id", [F.desc("n_chars"), F.col("doc_id")], 20)
