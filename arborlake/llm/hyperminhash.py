@@ -7,11 +7,14 @@ shingles in it, as leading-zero count and MANTISSA bits behind the leading one:
 similarity 4/5 a band agrees with probability 1/2 or more, so all bands of a
 pair differ about once in 2^40 pairs. Sets of at most TINY shingles also have a
 key per shingle, where pigeonhole makes sure of it (a similar set differs in a
-quarter of them at most). A pair that shares a key is compared by its registers:
-not more of them may differ than shingles (a bound that never errs), and the
-similarity they tell, less the collisions that compressed registers expect, may
-not lie SIGMAS standard deviations below the threshold. What remains is decided
-on the words of both texts.
+quarter of them at most). Shingles that no other set has lie in every symmetric
+difference, so sets with too many of them have no partner, and of two that are
+similar one has few. A pair that shares a key is compared by its registers: not
+more of them may differ than shingles, and the similarity they tell, less the
+collisions that compressed registers expect, may not lie SIGMAS standard
+deviations below the threshold. Where that leaves room, bit parities of the
+shingles do the same without chance. What remains is decided on the words of
+both texts.
 
 Nodes become components as in `jaccard_join`: leader rounds first, and then all
 keys that still span several components.
@@ -29,11 +32,13 @@ from pyspark.sql import functions as F
 from ._bytes import U64, mix, tidy, utf8_chunks
 from ._scratch import Scratch
 from ._spread import split_join
-from .jaccard_join import CELL, ROUNDS, _linked, components_sql, fingerprints, merged, named, shingles
+from .jaccard_join import CELL, ROUNDS, _counts, _homeward, _linked, _row_keys, components_sql, fingerprints, merged, named, shingles
 
 SHINGLE, PERCENT = 2, 80
 BUCKETS, BAND, MANTISSA, TINY, SIGMAS = 120, 3, 10, 12, 7
 BANDS = BUCKETS // BAND
+#: Bits of the parities beside the registers.
+PARITY = 2048
 
 
 def registers(s: np.ndarray, t: np.ndarray, texts: int) -> np.ndarray:
@@ -78,8 +83,7 @@ def expected_collisions(n: np.ndarray) -> np.ndarray:
 
 
 def registers_allow(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Whether sketches leave room for a link, n being the sum of the two sizes."""
-    a, b = (np.ascontiguousarray(x).view(np.uint16).reshape(len(n), BUCKETS) for x in (a, b))
+    """Whether registers leave room for a link, n being the sum of the two sizes."""
     either = np.count_nonzero(a | b, axis=1)
     differ = np.count_nonzero(a != b, axis=1)
     # A shingle that one set alone has changes one register at most.
@@ -89,8 +93,26 @@ def registers_allow(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
     return ok & (told >= goal - SIGMAS * np.sqrt(goal * (1 - goal) / np.maximum(either, 1)))
 
 
+def parities(s: np.ndarray, t: np.ndarray, texts: int) -> np.ndarray:
+    """A row of bits per text: how many shingles fall on it, modulo 2."""
+    odd = np.zeros((texts, PARITY), bool)
+    place = (mix(s ^ U64(0x94D049BB133111EB)) & U64(PARITY - 1)).astype(np.int64)
+    np.logical_xor.at(odd, (t, place), True)
+    return np.packbits(odd, axis=1)
+
+
+def sketches_allow(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether registers and then parities, side by side in rows of 64-bit numbers, leave room for a link."""
+    cut = BUCKETS // 4
+    ok = registers_allow(*(np.ascontiguousarray(x[:, :cut]).view(np.uint16).reshape(len(n), BUCKETS) for x in (a, b)), n)
+    at = np.flatnonzero(ok)
+    differ = np.bitwise_count(a[at, cut:] ^ b[at, cut:]).sum(axis=1, dtype=np.int64)
+    ok[at] = (100 + PERCENT) * differ <= (100 - PERCENT) * n[at]
+    return ok
+
+
 def _sketched(docs: DataFrame, seed: int) -> DataFrame:
-    """(id, node, check, n, bits, tiny, text) of rows (id, text); tiny: the shingles of a set of TINY at most."""
+    """(id, node, check, n, bits, tiny) of rows (id, text); tiny: the shingles of a set of TINY at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,10 +125,27 @@ def _sketched(docs: DataFrame, seed: int) -> DataFrame:
                 small = n <= TINY
                 ends = np.cumsum(np.where(small, n, 0))
                 tiny = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(s[small[t]].view(np.int64)))
-                cols = [batch.column(0).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n.astype(np.int64)), raw, tiny, batch.column(1).slice(a, b - a)]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "node", "check", "n", "bits", "tiny", "text"])
+                cols = [batch.column(0).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n.astype(np.int64)), raw, tiny]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "node", "check", "n", "bits", "tiny"])
 
-    return docs.mapInArrow(tidy(run), "id long, node long, check long, n long, bits binary, tiny array<long>, text string")
+    return docs.mapInArrow(tidy(run), "id long, node long, check long, n long, bits binary, tiny array<long>")
+
+
+def _sets(texts: DataFrame, seed: int) -> DataFrame:
+    """(node, n, bits, hashes, text) of rows (text): registers and parities, the shingles, and a text that has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in utf8_chunks(batch.column(0)):
+                s, t, second = shingles(data, offs, SHINGLE, seed)
+                n = np.bincount(t, minlength=b - a)
+                node, _ = fingerprints(s, second, n)
+                rows = np.concatenate([registers(s, t, b - a).view(np.uint8), parities(s, t, b - a)], axis=1)
+                hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(s.view(np.int64)))
+                cols = [pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary()), hashes, batch.column(0).slice(a, b - a)]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "n", "bits", "hashes", "text"])
+
+    return texts.mapInArrow(tidy(run), "node long, n long, bits binary, hashes array<long>, text string")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -147,7 +186,7 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     seed = 0
     while True:
-        meta = scratch.table(_sketched(narrow, seed).drop("text"))
+        meta = scratch.table(_sketched(narrow, seed))
         by_node = meta.where("n > 0").groupBy("node")
         clash = (F.struct(F.min("check"), F.min("n")) < F.struct(F.max("check"), F.max("n"))).alias("clash")
         classes = scratch.table(by_node.agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.max("n").alias("n"), F.min("bits").alias("bits"), F.min("tiny").alias("tiny"), clash))
@@ -164,14 +203,23 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     table = scratch.table(own.where(F.size("keys") >= F.col("need")))
     scratch.drop(every)
     scratch.free_shuffles()
-    nodes = scratch.table(classes.join(table.select("node"), "node", "left_semi").select("node", "n", F.lit(0).cast("long").alias("w"), F.col("node").alias("comp"), "rep"))
-    wanted = nodes.where("rep is not null").select(F.col("rep").alias("id_")).distinct()
-    nameless = narrow.where("id_ is null") if nodes.where("rep is null").limit(1).count() else narrow.limit(0)
+    active = scratch.table(table.select("node").distinct().join(classes.select("node", "rep"), "node"))
+    wanted = active.where("rep is not null").select(F.col("rep").alias("id_")).distinct()
+    nameless = narrow.where("id_ is null") if active.where("rep is null").limit(1).count() else narrow.limit(0)
     texts = narrow.where("id_ is not null").join(wanted, "id_", "left_semi").unionByName(nameless)
-    sets = _sketched(texts, seed).select("node", "bits", "text").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = scratch.table(sets)
+    sets = scratch.table(_sets(texts.select("text_"), seed).join(active.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    scratch.free_shuffles()
+    owners = 4 * tasks
+    every_key = sets.select("node", "n", F.lit(0).alias("side"), F.lit(1).alias("need"), F.col("hashes").alias("keys"))
+    alone = _counts(_homeward(_row_keys(every_key, owners), owners, tasks, tasks, True), tasks)
+    own = F.coalesce("s", F.lit(0))
+    # Of similar sets A and B, |A - B| is at most a fifth of |A|, and the symmetric difference at most (|A| + |B|) / 9.
+    few = sets.select("node", "n").join(alone, "node", "left").where(100 * own <= (100 - PERCENT) * F.col("n"))
+    weight = ((100 + PERCENT) * own - (100 - PERCENT) * F.col("n")).alias("w")
+    nodes = scratch.table(few.select("node", "n", weight, F.col("node").alias("comp")))
+    table = scratch.table(table.join(nodes.select("node"), "node", "left_semi"))
     scratch.free_shuffles()
-    nodes = merged(scratch, table, nodes.drop("rep"), sets, lambda pairs: _linked(scratch, pairs, sets, SHINGLE, PERCENT), tasks, cell_rows, rounds, registers_allow)
+    nodes = merged(scratch, table, nodes, sets, lambda pairs: _linked(scratch, pairs, sets, SHINGLE, PERCENT), tasks, cell_rows, rounds, sketches_allow)
     out = named(scratch, meta, classes, nodes)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 

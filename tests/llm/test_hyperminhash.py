@@ -104,6 +104,26 @@ def test_registers_estimate_and_never_miss(n):
     assert not any(ok for s, ok in allowed if s == 0.3) or n < 200
 
 
+def test_parities_bound_the_difference():
+    for n in (10, 300, 900):
+        a, b = _pair(n, 0.7)
+        s = np.concatenate([np.sort(np.array(list(x), np.uint64)) for x in (a, b)])
+        rows = hm.parities(s, np.repeat([0, 1], [len(a), len(b)]), 2)
+        differ = int(np.bitwise_count(rows[0] ^ rows[1]).sum())
+        assert differ <= len(a ^ b) and differ % 2 == len(a ^ b) % 2 and differ > 0.7 * len(a ^ b)
+
+
+def test_near_copies_below_the_threshold_make_few_pairs(spark, monkeypatch):
+    # Each has edits of its own, at a similarity of about 0.7 to every other one.
+    made = []
+    linked = hm._linked
+    monkeypatch.setattr(hm, "_linked", lambda s, pairs, *more: (made.append(pairs.count()), linked(s, pairs, *more))[1])
+    base = prose(200)
+    rows = [(i, " ".join(edited(base, 0.05))) for i in range(400)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in hm.near_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.jaccard(rows, 2, 80) and sum(made) < 4000
+
+
 def test_expected_collisions_of_disjoint_sets():
     n, seen = 4000, 0
     for _ in range(400):
