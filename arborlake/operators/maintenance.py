@@ -29,7 +29,7 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file: written beside it, then renamed over it."""
+    """Replace a small file: written beside it, then renamed over it in one step, so that a crash leaves the old or the new one."""
     p, fs = _path(spark, path)
     beside, _ = _path(spark, path + ".new")
     stream = fs.create(beside, True)
@@ -37,9 +37,10 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"cannot rename {beside}")
+    over = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(over, 1)
+    how[0] = over.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, p, how)
 
 
 def write_report(spark: SparkSession, report: dict, path: str) -> None:

@@ -64,9 +64,13 @@ def reconcile(tracked: DataFrame, indexed: DataFrame, key: list[str]) -> DataFra
     return tracked.select(*key).distinct().join(indexed, key, "left_anti").withColumn("action", F.lit("backfill")).unionByName(indexed.select(*key).distinct().join(tracked, key, "left_anti").withColumn("action", F.lit("delete")))
 
 
-def append_new(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Incoming rows whose key is neither stored nor repeated: the idempotent append."""
-    return incoming.dropDuplicates(key).join(stored.select(*key), key, "left_anti")
+def append_new(stored: DataFrame, incoming: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Incoming rows whose key is not stored, one a key: the greatest by order (or by all other columns). The idempotent append."""
+    rest = [c for c in incoming.columns if c not in key]
+    if not rest:
+        return incoming.distinct().join(stored.select(*key), key, "left_anti")
+    best = incoming.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*(order or rest))).alias("v_"))
+    return best.select(*key, "v_.*").select(*incoming.columns).join(stored.select(*key), key, "left_anti")
 
 
 def current_flag(df: DataFrame, key: list[str], *order: Column) -> DataFrame:

@@ -161,10 +161,10 @@ def final_order(t):
 
 @query(
     "unique_paper_rank",
-    "SELECT source, row_number() OVER (ORDER BY first) AS paper_rank FROM (SELECT source, min(doc_id) AS first FROM documents WHERE n_chars > 2000 GROUP BY 1)",
+    "SELECT source, row_number() OVER (ORDER BY first) AS paper_rank FROM (SELECT source, min(doc_id) AS first FROM documents GROUP BY 1)",
 )
 def unique_paper_rank(t):
-    first = t("documents").where("n_chars > 2000").groupBy("source").agg(F.min("doc_id").alias("first"))
+    first = t("documents").groupBy("source").agg(F.min("doc_id").alias("first"))
     return ranking.with_rank(first, F.col("first"), name="paper_rank").select("source", F.col("paper_rank").cast("long").alias("paper_rank"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ranking
+from ..operators import quantiles, ranking
 from .registry import query
 
 
@@ -202,4 +202,4 @@ def min_max_normalise(t):
 
 @query("nearest_rank_p95", "SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def nearest_rank_p95(t):
-    return t("events").groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return quantiles.nearest_rank(t("events"), ["event_type"], "value", 0.95, "p95")

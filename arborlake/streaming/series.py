@@ -28,10 +28,24 @@ def time_boxed(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     return query
 
 
-def increases(df: DataFrame, series: list[str], ts: str, value: str) -> DataFrame:
-    """df with `increase`: growth since the series' last sample; after a reset, the value itself."""
-    last = F.lag(value).over(Window.partitionBy(*series).orderBy(ts, value))
-    return df.withColumn("increase", F.when(last.isNull(), 0.0).when(F.col(value) >= last, F.col(value) - last).otherwise(F.col(value)))
+def increases(df: DataFrame, series: list[str], ts: str, value: str, segment_seconds: int = 3600) -> DataFrame:
+    """df with `increase`: growth since the series' last sample; after a reset, the value itself.
+
+    A series is cut into time segments, which are what a task holds; a segment's
+    first sample grows from the last one of the series' segment before, told by a
+    table of one row a segment. Samples without a time come first.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    cut = df.withColumn("seg_", F.coalesce(F.floor(micros / (segment_seconds * 1_000_000)), F.lit(-(1 << 62))))
+    ends = cut.groupBy(*series, "seg_").agg(F.max(F.struct(ts, value)).getField(value).alias("end_"))
+    before = ends.withColumn("before_", F.lag("end_").over(Window.partitionBy(*series).orderBy("seg_"))).drop("end_")
+    of = before.withColumnsRenamed({c: f"{c}_of" for c in (*series, "seg_")})
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in series]
+    met = cut.join(of, [F.col("seg_") == F.col("seg__of"), *same]).drop(*[f"{c}_of" for c in (*series, "seg_")])
+    w = Window.partitionBy(*series, "seg_").orderBy(ts, value)
+    last = F.when(F.row_number().over(w) == 1, F.col("before_")).otherwise(F.lag(value).over(w))
+    grown = met.withColumn("last_", last).drop("seg_", "before_")
+    return grown.withColumn("increase", F.when(F.col("last_").isNull(), 0.0).when(F.col(value) >= F.col("last_"), F.col(value) - F.col("last_")).otherwise(F.col(value))).drop("last_")
 
 
 def rate(df: DataFrame, series: list[str], ts: str, increase: str, window: str, slide: str | None = None) -> DataFrame:
