@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from . import cells as cells_
 
-PROBES = 8
+#: Recall at 10 that the number of probes is chosen for, and stored vectors that it is measured with.
+GOAL, JUDGES = 0.93, 200
 
 
 class IndexMismatch(ValueError):
@@ -50,9 +51,10 @@ class VectorIndex:
     model: str
     centroids: np.ndarray
     radius: np.ndarray
+    probes: int
 
     @classmethod
-    def build(cls, vectors: DataFrame, key: str, vector: str, path: str, dims: int, model: str = "", cells: int | None = None, payload: tuple[str, ...] = (), sample: int = cells_.SAMPLE) -> VectorIndex:
+    def build(cls, vectors: DataFrame, key: str, vector: str, path: str, dims: int, model: str = "", cells: int | None = None, payload: tuple[str, ...] = (), sample: int = cells_.SAMPLE, goal: float = GOAL) -> VectorIndex:
         """Write the index. Vectors of other than `dims` finite numbers are refused; those of length zero have no direction and are left out."""
         refuse_others(vectors, vector, dims)
         spark = vectors.sparkSession
@@ -79,9 +81,24 @@ class VectorIndex:
         far = {r["cell"]: r["d"] for r in spark.read.parquet(f"{path}/vectors").groupBy("cell").agg(F.max("d").alias("d")).collect()}
         told = [(i, v.tolist(), float(far.get(i, -1.0))) for i, v in enumerate(c)]
         spark.createDataFrame(told, "cell int, centroid array<double>, radius double").coalesce(1).write.parquet(f"{path}/cells")
-        spark.createDataFrame([(key, dims, model)], "key string, dims int, model string").coalesce(1).write.parquet(f"{path}/meta")
+        index = cls(spark, path, key, dims, model, c, np.array([far.get(i, -1.0) for i in range(len(c))]), len(c))
+        probes = index._probes_for(goal)
+        spark.createDataFrame([(key, dims, model, probes)], "key string, dims int, model string, probes int").coalesce(1).write.parquet(f"{path}/meta")
         return cls.open(spark, path, dims, model)
 
+    def _probes_for(self, goal: float, k: int = 10) -> int:
+        """The fewest nearest cells that hold `goal` of the k true neighbours of at most JUDGES stored vectors."""
+        judges = self.vectors().select(F.col(self.key).alias("judge_"), "vector").orderBy(F.xxhash64(self.key)).limit(JUDGES)
+        x = {r["judge_"]: np.array(r["vector"]) for r in judges.collect()}
+        truth = self.search_many(judges, "judge_", "vector", k + 1, len(self.centroids)).where(F.col("judge_") != F.col(self.key))
+        held = truth.select("judge_", self.key).join(self.vectors().select(self.key, "cell"), self.key).select("judge_", "cell").collect()
+        if not held:
+            return 1
+        used = np.flatnonzero(self.radius >= 0)
+        order = {j: used[np.argsort(cells_.squared(v[None], self.centroids[used])[0], kind="stable")].tolist() for j, v in x.items()}
+        place = sorted(order[r["judge_"]].index(r["cell"]) for r in held)
+        return 1 + place[min(len(place) - 1, int(np.ceil(goal * len(place))) - 1)]
+
     @classmethod
     def open(cls, spark: SparkSession, path: str, dims: int | None = None, model: str | None = None) -> VectorIndex:
         """The index at path; an error if it holds vectors of another length or model."""
@@ -91,7 +108,7 @@ class VectorIndex:
                 raise IndexMismatch(f"the index has {name} {meta[name]!r}, not {want!r}; use a new path for another model")
         # At most MAX_CELLS rows.
         rows = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
-        return cls(spark, path, meta["key"], meta["dims"], meta["model"], np.array([r["centroid"] for r in rows]), np.array([r["radius"] for r in rows]))
+        return cls(spark, path, meta["key"], meta["dims"], meta["model"], np.array([r["centroid"] for r in rows]), np.array([r["radius"] for r in rows]), meta["probes"])
 
     def vectors(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/vectors")
@@ -106,17 +123,17 @@ class VectorIndex:
             raise IndexMismatch(f"a query is {self.dims} finite numbers")
         return _unit(q[None])[0]
 
-    def search(self, q, k: int, probes: int = PROBES, where: Column | None = None, least: float | None = None, exact: bool = False) -> DataFrame:
+    def search(self, q, k: int, probes: int | None = None, where: Column | None = None, least: float | None = None, exact: bool = False) -> DataFrame:
         """(key, score, rank, payload...): the k most similar vectors, scores rounded to 6 digits, ties to the smaller key.
 
         where: a condition on key and payload, which reaches the scan. least: the
         score that a hit has at least. exact: no vector is missed; else those in
-        the `probes` nearest cells are compared. An all-zero query finds nothing.
+        the `probes` nearest cells are compared (as many as the index was measured to need). An all-zero query finds nothing.
         """
         unit = self._query(q)
         away = np.sqrt(cells_.squared(unit[None], self.centroids)[0])
         used = np.flatnonzero(self.radius >= 0)
-        near = used[np.argsort(away[used], kind="stable")][:probes]
+        near = used[np.argsort(away[used], kind="stable")][: probes or self.probes]
         if not unit.any():
             near = near[:0]
         found = self._best(unit, near, k, where, least)
@@ -160,14 +177,14 @@ class VectorIndex:
         full = rows.drop("code", "scale", "off", "d").join(chance, [key, "cell"], "left_semi").withColumn("score", F.round(dot, 6)).drop("vector", "cell")
         return full if least is None else full.where(F.col("score") >= least)
 
-    def search_many(self, queries: DataFrame, query_key: str, vector: str, k: int, probes: int = PROBES) -> DataFrame:
+    def search_many(self, queries: DataFrame, query_key: str, vector: str, k: int, probes: int | None = None) -> DataFrame:
         """(query, key, score, rank) for a table of queries: each goes to its `probes` nearest cells, and a cell's queries meet its vectors in blocks.
 
         Blocks of 256 queries and of 2048 vectors of a cell are what a task holds;
         per pair of blocks k rows a query go on.
         """
         refuse_others(queries, vector, self.dims)
-        c, used, key = self.centroids, np.flatnonzero(self.radius >= 0), self.key
+        c, used, key, probes = self.centroids, np.flatnonzero(self.radius >= 0), self.key, probes or self.probes
         kinds = dict(queries.dtypes)[query_key], dict(self.vectors().dtypes)[key]
 
         def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -112,7 +112,7 @@ def test_probes_prune_partitions_and_reach_recall(ivf, vectors):
     truth = ivf.search_many(q, "q", "v", 10, probes=25)
     want = {(i, j, s) for i in range(1, 900, 9) for j, s in _nearest(np.array(_vectors(900)[i][1]), 10)}
     assert {(r.q, r.vec_id, r.score) for r in truth.collect()} == want
-    assert vector_index.recall(ivf.search_many(q, "q", "v", 10, probes=8), truth, "q", "vec_id").first()["recall"] >= 0.9
+    assert 1 <= ivf.probes < 25 and vector_index.recall(ivf.search_many(q, "q", "v", 10), truth, "q", "vec_id").first()["recall"] >= 0.9
     plan = ivf.search([1.0] * DIMS, 5, probes=3)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
     assert ivf.status().first()["vectors"] == 899
