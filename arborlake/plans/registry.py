@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from . import q_corpus, q_evaluation, q_graph, q_index, q_joins, q_reports, q_research, q_retrieval, q_series, q_summary, q_text  # noqa: E402, F401
+from . import q_corpus, q_delta, q_evaluation, q_graph, q_index, q_joins, q_reports, q_research, q_retrieval, q_series, q_summary, q_text  # noqa: E402, F401
