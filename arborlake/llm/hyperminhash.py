@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import U64, mix, tidy, utf8_chunks
 from ._scratch import Scratch
-from ._spread import split_join
+from ._spread import keyed, split_join
 from .jaccard_join import CELL, ROUNDS, _counts, _homeward, _linked, _row_keys, components_sql, fingerprints, merged, named, shingles
 
 SHINGLE, PERCENT = 2, 80
@@ -112,7 +112,7 @@ def sketches_allow(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, seed: int) -> DataFrame:
-    """(id, node, check, n, bits, tiny) of rows (id, text); tiny: the shingles of a set of TINY at most."""
+    """(id, k, node, check, n, bits, tiny) of rows (id, text, k); tiny: the shingles of a set of TINY at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,14 +125,14 @@ def _sketched(docs: DataFrame, seed: int) -> DataFrame:
                 small = n <= TINY
                 ends = np.cumsum(np.where(small, n, 0))
                 tiny = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(s[small[t]].view(np.int64)))
-                cols = [batch.column(0).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n.astype(np.int64)), raw, tiny]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "node", "check", "n", "bits", "tiny"])
+                cols = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n.astype(np.int64)), raw, tiny]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "k", "node", "check", "n", "bits", "tiny"])
 
-    return docs.mapInArrow(tidy(run), "id long, node long, check long, n long, bits binary, tiny array<long>")
+    return docs.mapInArrow(tidy(run), "id long, k long, node long, check long, n long, bits binary, tiny array<long>")
 
 
 def _sets(texts: DataFrame, seed: int) -> DataFrame:
-    """(node, n, bits, hashes, text) of rows (text): registers and parities, the shingles, and a text that has them."""
+    """(node, n, bits, text) of rows (text): registers and parities, and the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,11 +141,26 @@ def _sets(texts: DataFrame, seed: int) -> DataFrame:
                 n = np.bincount(t, minlength=b - a)
                 node, _ = fingerprints(s, second, n)
                 rows = np.concatenate([registers(s, t, b - a).view(np.uint8), parities(s, t, b - a)], axis=1)
-                hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(s.view(np.int64)))
-                cols = [pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary()), hashes, batch.column(0).slice(a, b - a)]
-                yield pa.RecordBatch.from_arrays(cols, ["node", "n", "bits", "hashes", "text"])
+                cols = [pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(0).slice(a, b - a)]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "n", "bits", "text"])
 
-    return texts.mapInArrow(tidy(run), "node long, n long, bits binary, hashes array<long>, text string")
+    return texts.mapInArrow(tidy(run), "node long, n long, bits binary, text string")
+
+
+def _shingle_rows(sets: DataFrame, seed: int) -> DataFrame:
+    """(node, n, side, need, keys) of rows (node, n, text): the shingles, made from the text again, as they are longer than it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in utf8_chunks(batch.column(2)):
+                s, t, _ = shingles(data, offs, SHINGLE, seed)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=b - a))])
+                keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(s.view(np.int64)))
+                zero = np.zeros(b - a, np.int32)
+                cols = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(zero), pa.array(zero + 1), keys]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "n", "side", "need", "keys"])
+
+    return sets.select("node", "n", "text").mapInArrow(tidy(run), "node long, n long, side int, need int, keys array<long>")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -182,14 +197,15 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     counts reach the driver.
     """
     scratch = Scratch(spark, "hyperminhash")
-    narrow = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
+    # A row's key of its own tells which text stands for a set, so no set is sent twice and none needs to meet its copies.
+    narrow = keyed(scratch, docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_")), "id_", "k_")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     seed = 0
     while True:
         meta = scratch.table(_sketched(narrow, seed))
         by_node = meta.where("n > 0").groupBy("node")
         clash = (F.struct(F.min("check"), F.min("n")) < F.struct(F.max("check"), F.max("n"))).alias("clash")
-        classes = scratch.table(by_node.agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.max("n").alias("n"), F.min("bits").alias("bits"), F.min("tiny").alias("tiny"), clash))
+        classes = scratch.table(by_node.agg(F.min("id").alias("rep"), F.min("k").alias("k"), F.count("*").alias("c"), F.max("n").alias("n"), F.min("bits").alias("bits"), F.min("tiny").alias("tiny"), clash))
         if not classes.where("clash").limit(1).count():
             break
         # Two sets have one digest: other hashes.
@@ -203,15 +219,11 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     table = scratch.table(own.where(F.size("keys") >= F.col("need")))
     scratch.drop(every)
     scratch.free_shuffles()
-    active = scratch.table(table.select("node").distinct().join(classes.select("node", "rep"), "node"))
-    wanted = active.where("rep is not null").select(F.col("rep").alias("id_")).distinct()
-    nameless = narrow.where("id_ is null") if active.where("rep is null").limit(1).count() else narrow.limit(0)
-    texts = narrow.where("id_ is not null").join(wanted, "id_", "left_semi").unionByName(nameless)
-    sets = scratch.table(_sets(texts.select("text_"), seed).join(active.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    wanted = table.select("node").distinct().join(classes.select("node", F.col("k").alias("k_")), "node").select("k_")
+    sets = scratch.table(_sets(narrow.join(wanted, "k_", "left_semi").select("text_"), seed))
     scratch.free_shuffles()
     owners = 4 * tasks
-    every_key = sets.select("node", "n", F.lit(0).alias("side"), F.lit(1).alias("need"), F.col("hashes").alias("keys"))
-    alone = _counts(_homeward(_row_keys(every_key, owners), owners, tasks, tasks, True), tasks)
+    alone = _counts(_homeward(_row_keys(_shingle_rows(sets, seed), owners), owners, tasks, tasks, True), tasks)
     own = F.coalesce("s", F.lit(0))
     # Of similar sets A and B, |A - B| is at most a fifth of |A|, and the symmetric difference at most (|A| + |B|) / 9.
     few = sets.select("node", "n").join(alone, "node", "left").where(100 * own <= (100 - PERCENT) * F.col("n"))
