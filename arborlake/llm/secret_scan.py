@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +66,17 @@ def entropy_spans(s: str, threshold: float, window: int = WINDOW) -> list[tuple[
     return spans
 
 
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Unions of spans that overlap or touch, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then kind."""
     if not text:
@@ -77,14 +88,18 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    base = list(found)
+    base = _merged((a, b) for _, a, b in found)
+    at = 0
     for m in CANDIDATE.finditer(text):
         s = m.group()
         if any(a.fullmatch(s) for a in ALLOW):
             continue
         for a, b in entropy_spans(s, THRESHOLDS[char_class(s)]):
             a, b = a + m.start(), b + m.start()
-            if not any(x < b and a < y for _, x, y in base):
+            # Spans come in order, as the base does: both lists are walked once.
+            while at < len(base) and base[at][1] <= a:
+                at += 1
+            if at == len(base) or base[at][0] >= b:
                 found.append(("entropy", a, b))
     return sorted(found, key=lambda x: (x[1], ORDER[x[0]]))
 
@@ -97,7 +112,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans.
 
     base_sha256 digests the pattern kinds' spans only. Null and empty texts have
-    no spans. Rows are independent: repeated rows give repeated results.
+    no spans; texts of any length are read whole, in time that grows with the
+    length. Rows are independent: repeated rows give repeated results. Other
+    columns are ignored, whatever their names. Empty docs: no rows.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
