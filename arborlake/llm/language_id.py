@@ -22,8 +22,10 @@ from ._scratch import bound_batches
 BUCKETS = 1 << 15
 #: About so many labelled documents are learnt from, chosen by a hash of the id.
 MAX_TRAIN = 12_000
-#: Languages that are learnt: the most frequent ones, by name if tied. It bounds the matrix (4 bytes x BUCKETS a language).
-MAX_LANGS = 256
+#: With more languages than this, learning stops with an error: the matrix, 4 bytes x BUCKETS a language, is held by every worker.
+MAX_LANGS = 1000
+#: Counts that a task holds before it adds up equal ones.
+_HELD = 1 << 21
 _TOP = 0x250
 _fold: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -70,42 +72,58 @@ def grams(data: np.ndarray, offs: np.ndarray, buckets: int) -> tuple[np.ndarray,
     return np.concatenate(outs), np.concatenate(owners), n_letters
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", buckets: int = BUCKETS, max_docs: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", buckets: int = BUCKETS, max_docs: int = MAX_TRAIN, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
     """(languages, float32[buckets + 1, languages]): log-probabilities, and in the last row the log-priors.
 
-    What reaches the driver is at most MAX_LANGS x buckets counts. Rows without
-    text or language, or of a language beyond MAX_LANGS, teach nothing; repeated
-    rows teach as often as they stand. Empty docs: no language.
+    Every language of docs is learnt; more than max_langs of them are an error. What
+    reaches the driver is at most languages x buckets counts. Rows without text or
+    language teach nothing; repeated rows teach as often as they stand. Empty docs:
+    no language.
     """
     bound_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    frequent = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    sizes = {r["lang"]: r["n"] for r in frequent.collect()}
+    # One row more than max_langs comes to the driver at most.
+    found = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(max_langs + 1).collect()
+    if len(found) > max_langs:
+        raise ValueError(f"more than {max_langs} languages: raise max_langs, at {4 * buckets} bytes a language in every worker")
+    sizes = {r["lang"]: r["n"] for r in found}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((buckets + 1, 0), np.float32)
     # Each language gives up to an equal share, so a rare one is learnt whole.
     share = max_docs / len(langs)
     rate = F.create_map(*[F.lit(x) for la in langs for x in (la, min(1.0, share / sizes[la]))])
-    picked = known.where(F.col(lang_col).isin(langs)).where(F.pmod(F.xxhash64(F.lit("nb"), id_col), F.lit(1_000_000)) < F.element_at(rate, F.col(lang_col)) * 1_000_000)
+    picked = known.where(F.pmod(F.xxhash64(F.lit("nb"), id_col), F.lit(1_000_000)) < F.element_at(rate, F.col(lang_col)) * 1_000_000)
     number = {la: i for i, la in enumerate(langs)}
 
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, at = np.unique(key, return_inverse=True)
+        return key, np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(number), buckets), np.int64)
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for batch in batches:
             lang = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
             for a, b, data, offs in utf8_chunks(batch.column(0)):
                 g, t, _ = grams(data, offs, buckets)
-                total += np.bincount(lang[a:b][t] * buckets + g, minlength=total.size).reshape(total.shape)
-        k, g = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(g, pa.int32()), pa.array(total[k, g])], ["k", "g", "n"])
+                held.append(np.unique(lang[a:b][t] * buckets + g, return_counts=True))
+                if sum(len(k) for k, _ in held) > _HELD:
+                    held = [added(held)]
+        key, n = added(held)
+        yield pa.RecordBatch.from_arrays([pa.array((key // buckets).astype(np.int32)), pa.array((key % buckets).astype(np.int32)), pa.array(n)], ["k", "g", "n"])
 
     counts = picked.select(text_col, lang_col).mapInArrow(tidy(count), "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toPandas()
-    total = np.ones((buckets, len(langs)))
-    total[counts["g"], counts["k"]] += counts["n"]
-    logp = np.log(total / total.sum(axis=0))
-    prior = np.log(np.array([sizes[la] for la in langs]) / sum(sizes.values()))
-    return langs, np.vstack([logp, prior]).astype(np.float32)
+    counts = counts.sort_values("k")
+    cuts = np.searchsorted(counts["k"].to_numpy(), np.arange(len(langs) + 1))
+    gram, n = counts["g"].to_numpy(), counts["n"].to_numpy()
+    matrix = np.empty((buckets + 1, len(langs)), np.float32)
+    for j, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        total = np.ones(buckets)
+        total[gram[lo:hi]] += n[lo:hi]
+        matrix[:-1, j] = np.log(total / total.sum())
+    matrix[-1] = np.log(np.array([sizes[la] for la in langs]) / sum(sizes.values()))
+    return langs, matrix
 
 
 def score(data: np.ndarray, offs: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
