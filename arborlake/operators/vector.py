@@ -13,6 +13,8 @@ from ..functions.arrays import cosine
 
 #: Query or centroid vectors up to which a block is broadcast; beyond, blocks are scored one after another.
 BLOCK_VECTORS = 4096
+#: Rows that are scored against a block at a time.
+CHUNK_ROWS = 256
 
 
 def _few(vectors: DataFrame) -> DataFrame:
@@ -34,8 +36,30 @@ def knn(queries: DataFrame, vectors: DataFrame, query_key: str, key: str, vector
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def best_of(batches: Iterator[tuple[np.ndarray, pd.Series]], names: np.ndarray, m: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, key, score) of the k best rows of (keys, vectors) batches for each unit row of m; CHUNK_ROWS x queries scores are held at a time."""
+    near, keys, scores = np.zeros(0, np.int64), None, np.zeros(0)
+    least = np.full(len(names), -np.inf)
+    for all_keys, vectors in batches:
+        for a in range(0, len(all_keys) if len(names) else 0, CHUNK_ROWS):
+            v = np.stack(vectors.iloc[a : a + CHUNK_ROWS].to_numpy()).astype(np.float64)
+            length = np.linalg.norm(v, axis=1, keepdims=True)
+            s = np.round(m @ np.divide(v, length, where=length > 0, out=np.zeros_like(v)).T, 6)
+            floor = np.maximum(least, np.partition(s, -k, axis=1)[:, -k]) if len(v) > k else least
+            i, j = np.nonzero(~(s < floor[:, None]))
+            own = all_keys[a : a + CHUNK_ROWS][j]
+            near, keys, scores = np.concatenate([near, i]), own if keys is None else np.concatenate([keys, own]), np.concatenate([scores, s[i, j]])
+            order = np.lexsort((keys, -scores, near))
+            nth = np.arange(len(near)) - np.searchsorted(near[order], near[order])
+            order, nth = order[nth < k], nth[nth < k]
+            near, keys, scores = near[order], keys[order], scores[order]
+            least[near[nth == k - 1]] = scores[nth == k - 1]
+    if keys is not None:
+        yield names[near], keys, scores
+
+
 def knn_blocks(queries: DataFrame, vectors: DataFrame, query_key: str, key: str, vector: str, k: int) -> DataFrame:
-    """Top k for many queries: blocks of them are multiplied with each Arrow batch, keeping k per batch."""
+    """Top k for many queries: blocks of them are multiplied with a few rows at a time, keeping k per task."""
     spark = vectors.sparkSession
     n = queries.count()
     parts = -(-n // BLOCK_VECTORS)
@@ -47,16 +71,8 @@ def knn_blocks(queries: DataFrame, vectors: DataFrame, query_key: str, key: str,
         shared = spark.sparkContext.broadcast((block[query_key].to_numpy(), np.divide(q, norm, where=norm > 0, out=np.zeros_like(q))))
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, m = shared.value
-            for pdf in batches:
-                if not len(pdf) or not len(names):
-                    continue
-                v = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                length = np.linalg.norm(v, axis=1, keepdims=True)
-                s = np.round(np.divide(v, length, where=length > 0, out=np.zeros_like(v)) @ m.T, 6)
-                keys = pdf[key].to_numpy()
-                order = np.lexsort((keys[:, None].repeat(s.shape[1], 1), -s), axis=0)[:k]
-                yield pd.DataFrame({query_key: np.tile(names, len(order)), key: keys[order].ravel(), "score": np.take_along_axis(s, order, 0).ravel()})
+            for names, keys, scores in best_of(((p[key].to_numpy(), p[vector]) for p in batches if len(p)), *shared.value, k):
+                yield pd.DataFrame({query_key: names, key: keys, "score": scores})
 
         types = dict(queries.dtypes)[query_key], dict(vectors.dtypes)[key]
         best = vectors.select(key, vector).mapInPandas(score, f"{query_key} {types[0]}, {key} {types[1]}, score double")

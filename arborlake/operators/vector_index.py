@@ -22,6 +22,8 @@ from . import cells as cells_
 
 #: Recall at 10 that the number of probes is chosen for, and stored vectors that it is measured with.
 GOAL, JUDGES = 0.93, 200
+#: Rows (a query in one of its cells) that a task holds when it sends queries to cells.
+SENT_ROWS = 16_384
 
 
 class IndexMismatch(ValueError):
@@ -191,10 +193,13 @@ class VectorIndex:
             for pdf in batches:
                 if not len(pdf):
                     continue
-                x = _unit(np.stack(pdf["v_"].to_numpy()).astype(float))
-                near = used[np.argsort(cells_.squared(x, c[used]), axis=1)[:, :probes]]
-                i = np.repeat(np.arange(len(x)), near.shape[1])
-                yield pd.DataFrame({"q": pdf["q"].to_numpy()[i], "cell": near.ravel().astype(np.int32), "x": [x[j].tobytes() for j in i]})
+                # A query goes on once for each of its cells: some queries at a time.
+                step = max(1, SENT_ROWS // max(1, min(probes, len(used))))
+                for a in range(0, len(pdf), step):
+                    x = _unit(np.stack(pdf["v_"].iloc[a : a + step].to_numpy()).astype(float))
+                    near = used[np.argsort(cells_.squared(x, c[used]), axis=1)[:, :probes]]
+                    i = np.repeat(np.arange(len(x)), near.shape[1])
+                    yield pd.DataFrame({"q": pdf["q"].to_numpy()[a + i], "cell": near.ravel().astype(np.int32), "x": [x[j].tobytes() for j in i]})
 
         q = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("v_")).mapInPandas(sent, f"q {kinds[0]}, cell int, x binary")
         v = self.vectors().select("cell", F.col(key).alias("i"), F.col("vector").alias("x"))
