@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 
-from arborlake.operators import vector, vector_index
+from arborlake.operators import postings, vector, vector_index
 
 
 def test_scores_of_a_block_are_held_a_few_rows_at_a_time():
@@ -36,3 +36,17 @@ def test_a_query_is_sent_to_its_cells_in_small_batches(spark, tmp_path, monkeypa
     index.search_many(rows.withColumnRenamed("id", "query"), "query", "v", 3, probes=20)
     sizes = [len(x) for x in kernels[0](iter([seen]))]
     assert max(sizes) <= 40 and sum(sizes) == 50 * len(np.flatnonzero(index.radius >= 0))
+
+
+def test_the_texts_are_tokenised_once_for_the_postings(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(f"word{(i * j) % 17}" for j in range(i % 9))) for i in range(120)] + [(200, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs, cut, reads = spark.read.parquet(str(tmp_path / "docs")), postings.cut, []
+    monkeypatch.setattr(postings, "cut", lambda df: reads.append(any("/docs/" in f for f in df.inputFiles())) or cut(df))
+    monkeypatch.setattr(postings, "CHARS_A_TASK", 300, raising=False)
+    index = postings.PostingsIndex.build(docs, "doc_id", "text", str(tmp_path / "x"), buckets=2, block=10)
+    assert reads.count(True) == 1 and reads.count(False) >= 1
+    want = sorted((t, i) for i, x in rows if x for t in set(x.split()))
+    blocks = index._read("postings").collect()
+    assert sorted((b.token, d) for b in blocks for d in b.docs) == want
+    assert len({(b.token, b.tf, b["sub"]) for b in blocks}) == len(blocks)
