@@ -93,3 +93,15 @@ def test_communities_of_cliques_and_nothing(spark):
     df = spark.createDataFrame([(a + k, b + k) for k in (0, 10, 20) for a in range(5) for b in range(a)] + [(0, 10), (10, 20), (None, 3)], "u long, v long")
     assert {(r.node, r.community) for r in communities.communities(df).collect()} == {(a + k, k) for k in (0, 10, 20) for a in range(5)}
     assert communities.communities(df.limit(0)).count() == 0
+
+
+def test_weights_into_communities_are_kept_up_from_the_moved_nodes_edges(spark, monkeypatch):
+    r = random.Random(3)
+    both = communities.weighted(spark.createDataFrame([(r.randrange(40), r.randrange(40), float(r.randrange(1, 5))) for _ in range(200)], "u long, v long, w double"), "w").cache()
+    near = both.where("u <> v").selectExpr("u node", "v c", "w into", "1 links")
+    moves = spark.createDataFrame([(1, 1, 7), (2, 2, 7), (7, 7, 2)], "node long, own long, to_ long")
+    state = both.selectExpr("u node").distinct().join(moves, "node", "left").selectExpr("node", "coalesce(to_, node) c")
+    few = communities._after(near, both, moves, state, 10**6)
+    every = communities._after(near, both, moves, state, 0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, every.collect()))
+    assert not [r for r in few.collect() if r.c == 1]
