@@ -216,6 +216,22 @@ def test_betweenness_of_all_equals_the_plain_one(spark):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_betweenness_of_all_writes_no_pairs_of_ends(spark, monkeypatch):
+    edges = [(0, k) for k in range(1, 300)] + [(1, 500), (500, 501), (0, 501), (700, 701), (800, 800), (501, 501)]
+    written, cut = [], graph._cut
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "_cut", counted)
+    got = {x.node: x.betweenness for x in graph.betweenness_of_all(spark.createDataFrame(edges, "u long, v long"), False).collect()}
+    want = graph.betweenness([e for e in edges if e[0] != e[1]], False)
+    assert got.pop(800) == 0 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert max(written) < 3 * len(edges)
+
+
 def test_graph_queries_without_sql_read_all_orders(spark, tmp_path):
     from arborlake.plans import registry
 
