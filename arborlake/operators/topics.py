@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import token_rows
+from ..functions.text import tokens
+from ..session import cut
 
 UNCATEGORISED = -1
 
@@ -32,7 +33,8 @@ def fit(docs: DataFrame, key: str, text: str, topics: int, features: int = 1 <<
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
 
-    bags = _bags(docs, key, text)
+    # Written once, as frequencies, centroids and names each read them.
+    bags = cut(_bags(docs, key, text))
     stages = [HashingTF(inputCol="bag", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="w"), Normalizer(inputCol="w", outputCol="features"), KMeans(k=topics, seed=seed, featuresCol="features", predictionCol="topic")]
     model = Pipeline(stages=stages).fit(bags)
     centers = np.array([c for c in model.stages[-1].clusterCenters()])
@@ -40,8 +42,8 @@ def fit(docs: DataFrame, key: str, text: str, topics: int, features: int = 1 <<
 
 
 def _bags(docs: DataFrame, key: str, text: str) -> DataFrame:
-    t = token_rows(docs, text, key).groupBy(key).agg(F.collect_list("token").alias("bag"))
-    return docs.select(key).join(t, key, "left").withColumn("bag", F.coalesce("bag", F.array().cast("array<string>")))
+    """(key, bag) of each row: its tokens, made where the row lies."""
+    return docs.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("bag"))
 
 
 def assign_ids(bags: DataFrame, model: object) -> DataFrame:
@@ -57,7 +59,7 @@ def named(tokens: DataFrame, words: int) -> dict[int, list[str]]:
 
 def class_weights(tokens: DataFrame) -> DataFrame:
     """(topic, token, weight): share in the topic times ln(1 + mean topic size / frequency over all topics)."""
-    n = tokens.groupBy("topic", "token").agg(F.count("*").alias("n"))
+    n = cut(tokens.groupBy("topic", "token").agg(F.count("*").alias("n")))
     size = n.groupBy("topic").agg(F.sum("n").alias("size"))
     total = n.groupBy("token").agg(F.sum("n").alias("f"))
     mean = size.agg(F.avg("size").alias("mean"))

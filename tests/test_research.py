@@ -292,6 +292,13 @@ def test_topics(spark):
     assert len(set(small)) == 5 and len(small) == 40 and len(set(topics.hierarchy(points, 3000))) == 30
 
 
+def test_bags_are_made_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "The star and a Planet, star"), (2, ""), (3, None)], "id long, text string")
+    bags = topics._bags(docs, "id", "text")
+    assert "Exchange" not in bags._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: sorted(r.bag) for r in bags.collect()} == {1: ["planet", "star", "star"], 2: [], 3: []}
+
+
 def test_benchmark_of_models(spark):
     judged = spark.createDataFrame([(1, 10), (2, 20)], "c int, item int")
     found = spark.createDataFrame([(1, 10, 1), (2, 5, 1)], "c int, item int, rank int")
