@@ -12,14 +12,14 @@
    In a range, each connected part is a task's own.
 4. Merges with two parts of `min_cluster_size` or more split a cluster, smaller
    parts fall out of it; clusters with more stability than what they split into
-   are selected, all by joins and pointer jumping.
+   are selected, all by joins, pointer jumping and sums along paths.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -37,22 +37,27 @@ def spanning_tree(cells: cells_.Cells, near: DataFrame, min_samples: int) -> Dat
     core = ranked.select("id", F.coalesce(F.get("ds", F.lit(min_samples - 1)), F.element_at("ds", -1)).alias("core"), F.element_at("ds", -1).alias("bound"))
     points = cells.packed.select(F.explode("ids").alias("id")).join(core, "id", "left").na.fill(0.0)
     points = cut(points.withColumn("comp", F.col("id")))
-    total, edges = points.count(), []
-    parts = total
+    parts, edges = points.count(), []
     while parts > 1:
         found = _least_listed(points, near)
-        known = cut(points.groupBy("comp").agg(F.min("bound").alias("bound")).join(found, "comp", "left"))
         # What a list does not name is at least as far as its end; equal distances may hide behind it.
-        limit = F.when(F.col("bound") <= F.coalesce("best.w", F.lit(float("inf"))), F.coalesce("best.w", F.lit(float("inf")))).otherwise(-1.0)
-        open_ = cut(points.join(known.select("comp", "best"), "comp").withColumn("limit", limit).drop("best"))
-        if open_.where("limit >= 0").limit(1).count():
-            more = _least_beyond(cells, open_)
-            found = found.unionByName(more).groupBy("comp").agg(F.min("best").alias("best"))
+        known = points.groupBy("comp").agg(F.min("bound").alias("bound"), F.count("*").alias("size")).join(found, "comp", "left")
+        known = cut(known.withColumn("sure", F.coalesce(F.col("best.w") < F.col("bound"), F.lit(False))))
+        sure = known.where("sure").select("comp", "best")
+        if 2 * sure.count() < parts:
+            # Every component but the largest one looks further; that one is found by others.
+            largest = known.agg(F.max(F.struct("size", "comp")).alias("m")).head()["m"]["comp"]
+            rest = known.where((F.col("comp") != largest) & ~F.col("sure"))
+            limit = F.coalesce("best.w", F.lit(float("inf")))
+            open_ = points.join(rest.select("comp", limit.alias("limit")), "comp", "left").withColumn("limit", F.when(F.col("bound") <= F.col("limit"), F.col("limit")).otherwise(-1.0))
+            more = _least_beyond(cells, cut(open_.select("id", "comp", "core", "limit")))
+            found = sure.unionByName(rest.where("best is not null").select("comp", "best")).unionByName(more).groupBy("comp").agg(F.min("best").alias("best"))
+        else:
+            found = sure
         found = cut(found)
-        chosen = found.select("best.*").distinct()
-        edges.append(chosen.select("a", "b", "w"))
-        # Every component points along its edge; of two that point at each other, the smaller is the end.
-        to = found.select("comp", F.when(F.col("best.ca") == F.col("comp"), F.col("best.cb")).otherwise(F.col("best.ca")).alias("to"))
+        edges.append(found.select("best.a", "best.b", "best.w").distinct())
+        # Every component points along its edge; of two that point at each other, the smaller is the end, and so is one without an edge.
+        to = known.select("comp").join(found, "comp", "left").select("comp", F.coalesce(F.when(F.col("best.ca") == F.col("comp"), F.col("best.cb")).otherwise(F.col("best.ca")), "comp").alias("to"))
         back = to.select(F.col("comp").alias("to"), F.col("to").alias("back"))
         ends = (F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to"))
         label = _jumped(cut(to.join(back, "to").select(F.col("comp").alias("node"), F.when(ends, F.col("comp")).otherwise(F.col("to")).alias("to"))))
@@ -80,33 +85,55 @@ def _least_listed(points: DataFrame, near: DataFrame) -> DataFrame:
 
 def _least_beyond(cells: cells_.Cells, points: DataFrame) -> DataFrame:
     """(comp, best): the least edges of open points (limit >= 0) to other components, up to their limit, from the cells within it."""
-    first = F.col("ids")[0].alias("block")
-    spread = cells.packed.select("cell", first, F.posexplode("ids").alias("at", "id")).join(points.select("id", "comp", "core", "limit"), "id")
-    told = spread.groupBy("cell", "block").agg(F.sort_array(F.collect_list(F.struct("at", "comp", "core", "limit"))).alias("t"))
-    blocks = cells.packed.select("*", first).join(told, ["cell", "block"])
-    blocks = cut(blocks.select("cell", "ids", "x", *[F.col(f"t.{c}").alias(c) for c in ("comp", "core", "limit")]))
-    reach = np.full(len(cells.centroids), -1.0)
-    for r in spread.groupBy("cell").agg(F.max("limit").alias("m")).collect():
-        reach[r["cell"]] = r["m"]
-    allowed = (reach >= 0)[:, None] & (cells.least_distances() <= reach[:, None])
-
-    def kernel(ids: np.ndarray, x: np.ndarray, far: np.ndarray, y: np.ndarray, row: dict) -> pd.DataFrame:
-        comp, core, limit, other, core2 = (np.asarray(row[c]) for c in ("comp", "core", "limit", "other_comp", "other_core"))
-        mine = np.flatnonzero(limit >= 0)
-        w = np.maximum(np.maximum(core[mine][:, None], core2[None]), np.sqrt(cells_.squared(x[mine], y)))
-        w[comp[mine][:, None] == other[None]] = np.inf
-        width = min(3, w.shape[1])
-        near = np.argpartition(w, width - 1, axis=1)[:, :width]
-        i, j = np.repeat(np.arange(len(mine)), width), near.ravel()
-        real = np.isfinite(w[i, j])
-        i, j = mine[i[real]], j[real]
-        exact = np.maximum(np.maximum(core[i], core2[j]), cells_.apart(x[i], y[j]))
-        out = pd.DataFrame({"i": ids[i], "j": far[j], "w": exact, "ca": comp[i], "cb": other[j]})
-        out["lo"], out["hi"] = np.minimum(out.i, out.j), np.maximum(out.i, out.j)
-        return out.sort_values(["ca", "w", "lo", "hi"]).drop_duplicates("ca")[["i", "j", "w", "ca", "cb"]]
-
-    met = cells_.pairwise(blocks.where(F.exists("limit", lambda v: v >= 0)), blocks, allowed, kernel, "i long, j long, w double, ca long, cb long", cells.dims)
-    edge = met.select(F.col("ca").alias("comp"), F.struct(*_edge("i", "j")).alias("best"))
+    tiles = cells_.told(cells, points, {"comp": 0, "core": 0.0, "limit": -1.0})
+    c, radius = cells.centroids, cells.radius
+
+    def kernel(one: dict, two: dict) -> pd.DataFrame:
+        mine = np.flatnonzero(one["limit"] >= 0)
+        mine = mine[np.argsort(one["comp"][mine], kind="stable")]
+        ids, x, comp, core, limit = (one[v][mine] for v in ("ids", "x", "comp", "core", "limit"))
+        # Of each component, the least weight that was met so far.
+        group = np.unique(comp, return_inverse=True)[1]
+        least = np.full(len(mine), np.inf)
+        np.minimum.at(least, group, limit)
+        core2 = two["core"] ** 2
+        parts = []
+        step = max(1, cells_.AT_ONCE // max(1, len(two["ids"])))
+        for a in range(0, len(mine), step):
+            s = slice(a, a + step)
+            g = group[s]
+            reach = np.minimum(limit[s], least[g])
+            at = cells_.within(x[s], reach, two, c, radius)
+            at = at[two["core"][at] <= reach.max()]
+            if not len(at):
+                continue
+            y = two["x"] if len(at) == len(two["ids"]) else two["x"][at]
+            w = cells_.squared(x[s], y)
+            np.maximum(w, core2[at], out=w)
+            np.maximum(w, core[s, None] ** 2, out=w)
+            w[(one["ids"][mine[s]][:, None] == two["ids"][at][None]) | (comp[s, None] == two["comp"][at][None])] = np.inf
+            # The fast formula is off by its last digits: all that may tie with the least are compared again.
+            slack = 1e-9 * (np.where(np.isfinite(reach), reach, 0) ** 2 + (x[s] * x[s]).sum(axis=1))
+            start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            top = np.minimum.reduceat(w.min(axis=1) + slack, start)
+            top = np.minimum(top[np.cumsum(np.concatenate([[0], g[1:] != g[:-1]]))], reach**2) + slack
+            i, j = np.nonzero((w <= top[:, None]) & np.isfinite(w))
+            if not len(i):
+                continue
+            exact = np.maximum(np.maximum(core[s][i], two["core"][at[j]]), cells_.apart_of(x[s], i, y, j))
+            out = pd.DataFrame({"i": ids[s][i], "j": two["ids"][at[j]], "w": exact, "ca": comp[s][i], "cb": two["comp"][at[j]]})
+            out["lo"], out["hi"] = np.minimum(out.i, out.j), np.maximum(out.i, out.j)
+            out = out.sort_values(["ca", "w", "lo", "hi"]).drop_duplicates("ca")
+            np.minimum.at(least, group[np.searchsorted(comp, out.ca.to_numpy())], out.w.to_numpy())
+            parts.append(out)
+        if not parts:
+            return pd.DataFrame({n: np.zeros(0, np.float64 if n == "w" else np.int64) for n in ("i", "j", "w", "ca", "cb")})
+        return pd.concat(parts).sort_values(["ca", "w", "lo", "hi"]).drop_duplicates("ca")[["i", "j", "w", "ca", "cb"]]
+
+    some = tiles.where(F.exists("limit", lambda v: v >= 0))
+    schema = "i long, j long, w double, ca long, cb long"
+    within, beyond = (cells_.pairwise(some, tiles, cells.tiles, kernel, schema, cells.dims, same) for same in (True, False))
+    edge = within.unionByName(beyond).select(F.col("ca").alias("comp"), F.struct(*_edge("i", "j")).alias("best"))
     return edge.groupBy("comp").agg(F.min("best").alias("best"))
 
 
@@ -181,7 +208,7 @@ def _jumped(next_: DataFrame) -> DataFrame:
 
 
 def condensed(tree: DataFrame, min_cluster_size: int) -> tuple[DataFrame, DataFrame]:
-    """((cluster, parent, stability), (node, cluster) of merges with min_cluster_size points or more); a cluster is named by its first node."""
+    """((cluster, parent, stability, size), (node, cluster) of merges with min_cluster_size points or more); a cluster is named by its first node."""
     big = F.col("child_size") >= min_cluster_size
     own = tree.where(F.col("parent_size") >= min_cluster_size).groupBy(F.col("parent").alias("node"))
     nodes = cut(own.agg(F.first("parent_size").alias("size"), F.count_if(big).alias("parts"), F.coalesce(F.sum(F.when(~big, F.col("child_size"))), F.lit(0)).alias("small")))
@@ -193,32 +220,58 @@ def condensed(tree: DataFrame, min_cluster_size: int) -> tuple[DataFrame, DataFr
     gain = nodes.join(of, "node").groupBy("cluster").agg(F.sum(left / F.greatest("node.w", F.lit(LEAST_WEIGHT))).alias("gain"))
     top = nodes.join(up, "node", "left").select(F.col("node").alias("cluster"), "size", "above")
     born = F.when(F.col("above").isNull(), 0.0).otherwise(1 / F.greatest("above.w", F.lit(LEAST_WEIGHT)))
-    stable = gain.join(top, "cluster").select("cluster", "above", (F.col("gain") - born * F.col("size")).alias("stability"))
+    stable = gain.join(top, "cluster").select("cluster", "above", "size", (F.col("gain") - born * F.col("size")).alias("stability"))
     parent = of.select(F.col("node").alias("above"), F.col("cluster").alias("parent"))
-    return cut(stable.join(parent, "above", "left").select("cluster", "parent", "stability")), of
+    return cut(stable.join(parent, "above", "left").select("cluster", "parent", "stability", "size")), of
 
 
 def selected(clusters: DataFrame) -> DataFrame:
-    """(cluster, label): the selected cluster that each one belongs to, or null. The root is never selected."""
-    levels = [cut(clusters.where("parent is null").select("cluster", "stability", "parent"))]
+    """(cluster, label): the selected cluster that each one belongs to, or null. The root is never selected.
+
+    A cluster's largest child continues its path, other children begin paths of
+    their own. They have half the size at most, so paths hang below each other
+    in a number of levels that is logarithmic, however deep the tree is. Along a
+    path, x = max(stability, x of the next + sum over the other children), and a
+    running sum and a running maximum solve that.
+    """
+    main = clusters.where("parent is not null").groupBy("parent").agg(F.max(F.struct("size", "cluster"))["cluster"].alias("cluster"))
+    up = clusters.join(main.select("cluster", F.lit(True).alias("main")), "cluster", "left")
+    path = _jumped(cut(up.select(F.col("cluster").alias("node"), F.when(F.col("main"), F.col("parent")).otherwise(F.col("cluster")).alias("to"))))
+    path = path.withColumnsRenamed({"node": "cluster", "to": "top"})
+    # Sizes fall along a path.
+    on = cut(clusters.join(path, "cluster").select("cluster", "parent", "stability", "size", "top"))
+    tops = on.where("cluster = top").select("top", F.col("parent").alias("cluster")).join(on.select("cluster", F.col("top").alias("above")), "cluster", "left").select("top", "above")
+    tops = cut(tops)
+    levels = [cut(tops.where("above is null").select("top"))]
     while True:
-        below = cut(clusters.join(levels[-1].select(F.col("cluster").alias("parent")), "parent").select("cluster", "stability", "parent"))
+        below = cut(tops.join(levels[-1].select(F.col("top").alias("above")), "above").select("top"))
         if below.isEmpty():
             break
         levels.append(below)
+    upward = Window.partitionBy("top").orderBy("size", "cluster").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("top").orderBy("size", "cluster").rowsBetween(Window.unboundedPreceding, -1)
     chosen, value = [], None
     for level in reversed(levels):
-        given = level.withColumn("below", F.lit(0.0)) if value is None else level.join(value, level.cluster == value.of_, "left").withColumn("below", F.coalesce("sum_", F.lit(0.0))).drop("of_", "sum_")
+        given = on.join(level, "top")
+        given = given.withColumn("side", F.lit(0.0)) if value is None else given.join(value, given.cluster == value.of_, "left").withColumn("side", F.coalesce("sum_", F.lit(0.0))).drop("of_", "sum_")
+        given = given.withColumn("sum_", F.sum("side").over(upward)).withColumn("most", F.coalesce(F.max(F.col("stability") - F.col("sum_")).over(earlier), F.lit(0.0)))
         # Sums in another order differ in their last digits.
-        given = cut(given.withColumn("wins", F.col("stability") >= F.col("below") - 1e-9 * F.abs("below")))
+        given = given.withColumn("below", F.col("sum_") + F.greatest("most", F.lit(0.0))).withColumn("wins", F.col("stability") >= F.col("below") - 1e-9 * F.abs("below"))
+        given = cut(given.select("cluster", "parent", "stability", "size", "top", "below", "wins"))
         chosen.insert(0, given)
-        value = given.groupBy(F.col("parent").alias("of_")).agg(F.sum(F.greatest("stability", "below")).alias("sum_"))
-    above = chosen[0].select("cluster", F.lit(None).cast(_NODE).alias("label"))
-    out = above
-    for level in chosen[1:]:
-        told = level.join(above.withColumnsRenamed({"cluster": "parent", "label": "from_"}), "parent")
-        above = cut(told.select("cluster", F.coalesce("from_", F.when(F.col("wins"), F.col("cluster"))).alias("label")))
-        out = out.unionByName(above)
+        value = given.where("cluster = top").groupBy(F.col("parent").alias("of_")).agg(F.sum(F.greatest("stability", "below")).alias("sum_"))
+    out = above = None
+    for level in chosen:
+        first = level.where("wins and parent is not null").groupBy("top").agg(F.max(F.struct("size", "cluster")).alias("first"))
+        told = level.join(first, "top", "left")
+        own = F.when(F.col("size") <= F.col("first.size"), F.col("first.cluster"))
+        if above is None:
+            told = told.select("cluster", own.alias("label"))
+        else:
+            start = level.where("cluster = top").select("top", "parent").join(above.withColumnsRenamed({"cluster": "parent", "label": "from_"}), "parent").select("top", "from_")
+            told = told.join(start, "top").select("cluster", F.coalesce("from_", own).alias("label"))
+        above = cut(told)
+        out = above if out is None else out.unionByName(above)
     return out
 
 

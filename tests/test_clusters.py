@@ -105,3 +105,45 @@ def test_weights_into_communities_are_kept_up_from_the_moved_nodes_edges(spark,
     every = communities._after(near, both, moves, state, 0)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, every.collect()))
     assert not [r for r in few.collect() if r.c == 1]
+
+
+def test_vectors_are_compared_in_few_large_tiles(spark):
+    x = np.random.default_rng(4).normal(size=(300, 16))  # far apart in all directions: no cell can be ruled out
+    dealt = cells.deal(_frame(spark, x), "id", "v", 40)
+    assert dealt.packed.count() == dealt.tiles == 1
+    dealt = cells.deal(_frame(spark, x), "id", "v", 40, tile_rows=30)
+    assert 10 <= dealt.packed.count() <= dealt.tiles <= 40
+    near = cells.neighbours(dealt, 10)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, 5]
+    w = np.maximum(np.maximum(core[:, None], core[None]), d)
+    inside, total, best = [0], 0.0, w[0].copy()
+    best[0] = np.inf
+    while len(inside) < 300:
+        i = int(best.argmin())
+        total += best[i]
+        inside.append(i)
+        best = np.minimum(best, w[i])
+        best[inside] = np.inf
+    edges = density.spanning_tree(dealt, near, 5).collect()
+    assert len(edges) == 299 and abs(sum(e.w for e in edges) - total) < 1e-6
+
+
+def test_a_deep_tree_is_selected_from_in_few_steps(spark, monkeypatch):
+    r = random.Random(5)
+    rows, own = [((0, 1.0), None, 0.0, 1000)], {}
+    for i in range(1, 121):  # a cluster of each, and a small one beside it
+        rows.append(((i, 1.0), (i - 1, 1.0), r.uniform(0, 30), 1000 - 8 * i))
+        rows.append(((1000 + i, 1.0), (i - 1, 1.0), r.uniform(0, 1), 5))
+    below: dict = {}
+    for c, p, s, _ in reversed(rows):
+        own[c] = s >= below.get(c, 0.0)
+        below[p] = below.get(p, 0.0) + max(s, below.get(c, 0.0))
+    want: dict = {}
+    for c, p, _, _ in rows:
+        want[c] = None if p is None else want[p] or (c if own[c] else None)
+    df = spark.createDataFrame(rows, "cluster struct<rep:bigint,w:double>, parent struct<rep:bigint,w:double>, stability double, size long")
+    calls = []
+    monkeypatch.setattr(density, "cut", lambda x, f=density.cut: calls.append(1) or f(x))
+    got = {tuple(x.cluster): x.label and tuple(x.label) for x in density.selected(df).collect()}
+    assert got == want and len(calls) < 30 and len({v for v in want.values() if v}) > 3
