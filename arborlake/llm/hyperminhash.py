@@ -39,6 +39,10 @@ BUCKETS, BAND, MANTISSA, TINY, SIGMAS = 120, 3, 10, 12, 7
 BANDS = BUCKETS // BAND
 #: Bits of the parities beside the registers.
 PARITY = 2048
+#: Lowest bits of registers that may differ. At similarity 4/5 one does with probability 1/10 at most, and more than so many of 120 with less than 2^-40.
+ODD = 43
+#: Cells of the marks a wanted text, and rows that are compared at once.
+MARKS, ROWS = 8, 1 << 16
 
 
 def registers(s: np.ndarray, t: np.ndarray, texts: int) -> np.ndarray:
@@ -184,6 +188,87 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("node", "n", "bits", "tiny").mapInArrow(tidy(run), "node long, side byte, need long, key long")
 
 
+def _signed(classes: DataFrame) -> DataFrame:
+    """(node, n, s0, s1) of rows (node, n, bits): the lowest bit of each register."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reg = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            low = np.zeros((len(reg), 128), np.uint8)
+            low[:, :BUCKETS] = reg & 1
+            sign = np.packbits(low, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(sign[:, i])) for i in (0, 1))], ["node", "n", "s0", "s1"])
+
+    return classes.select("node", "n", "bits").mapInArrow(tidy(run), "node long, n long, s0 long, s1 long")
+
+
+def partnered(key: np.ndarray, n: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """Which rows have another of their key that size and lowest bits allow. Rows are sorted by key and size; sign: two 64-bit numbers a row."""
+    found, sign = np.zeros(len(key), bool), sign.view(np.uint64)  # bits of a signed number would be counted in its absolute value
+    i, step = np.arange(len(key)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(key)]
+        i = i[(key[i] == key[i + step]) & (PERCENT * n[i + step] <= 100 * n[i])]
+        a = i[~(found[i] & found[i + step])]
+        b = a + step
+        differ = np.bitwise_count(sign[a] ^ sign[b]).sum(axis=1, dtype=np.int64)
+        # A shingle that one set alone has changes one register at most.
+        ok = (differ <= ODD) & ((100 + PERCENT) * differ <= (100 - PERCENT) * (n[a] + n[b]))
+        found[a[ok]] = True
+        found[b[ok]] = True
+    return found
+
+
+def _partnered(rows: DataFrame, cell_rows: int) -> DataFrame:
+    """The rows (node, side, need, key) of rows (node, side, need, key, c, n, s0, s1), c being the rows of the key, that have a partner by `partnered`.
+
+    Keys of more than cell_rows rows are dealt out and pass as they are: what
+    comes after compares all that is left.
+    """
+    large = F.col("c") > cell_rows
+    cell = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / cell_rows))).otherwise(F.lit(0).cast("long"))
+    dealt = rows.select("node", "side", "need", "key", "n", "s0", "s1", large.alias("large"), cell.alias("cell"))
+    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "n").drop("cell")
+
+    def kept(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, n, large = (table[c].to_numpy() for c in ("key", "n", "large"))
+        sign = np.stack([table[c].to_numpy() for c in ("s0", "s1")], axis=1)
+        keep = large.copy()
+        small = np.flatnonzero(~large)
+        keep[small] = partnered(key[small], n[small], sign[small])
+        yield from table.select(["node", "side", "need", "key"]).filter(pa.array(keep)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            key = table["key"].to_numpy()
+            start = int(np.searchsorted(key, key[-1]))
+            # A key that is compared whole has cell_rows rows at most; more are held only of a key that passes.
+            cut = start if not table["large"][-1].as_py() else rows
+            yield from kept(table.slice(0, cut))
+            held, rows = table.slice(cut).to_batches(), rows - cut
+        if rows:
+            yield from kept(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(tidy(run), "node long, side byte, need long, key long")
+
+
+def _likely(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of docs whose key may be one of wanted's: those of a marked cell, MARKS cells a wanted key, as one bit each. An exact join comes after; other texts need no shuffle."""
+    cells = 64 * -(-MARKS * max(1, wanted.count()) // 64)
+    cell = F.pmod(F.xxhash64(key), F.lit(cells))
+    word, bit = F.shiftright(cell, 6), (cell % 64).cast("int")
+    marks = wanted.groupBy(word.alias("word_")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("marks_"))
+    return docs.withColumn("word_", word).join(F.broadcast(marks), "word_").where(F.bit_get("marks_", bit) == 1).select(*docs.columns)
+
+
 def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, cell_rows: int = CELL) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links of similarity >= 0.8), kept.
 
@@ -211,16 +296,21 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         # Two sets have one digest: other hashes.
         seed += 1
         scratch.drop(meta, classes)
+    # From here on, registers are read from the sets alone.
+    whole, meta = meta, scratch.table(meta.select("id", "node", "n"))
+    scratch.drop(whole)
     every = scratch.table(_keys(classes))
     scratch.free_shuffles()
     groups = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    again = split_join(every, groups, ["key"], "c", every.count()).where("c is not null")
-    own = again.groupBy("node", "side").agg(F.max("need").alias("need"), F.sort_array(F.collect_list("key")).alias("keys"))
-    table = scratch.table(own.where(F.size("keys") >= F.col("need")))
+    again = scratch.table(split_join(every, groups, ["key"], "c", every.count()).where("c is not null"))
     scratch.drop(every)
     scratch.free_shuffles()
-    wanted = table.select("node").distinct().join(classes.select("node", F.col("k").alias("k_")), "node").select("k_")
-    sets = scratch.table(_sets(narrow.join(wanted, "k_", "left_semi").select("text_"), seed))
+    own = _partnered(again.join(_signed(classes), "node"), cell_rows).groupBy("node", "side").agg(F.max("need").alias("need"), F.sort_array(F.collect_list("key")).alias("keys"))
+    table = scratch.table(own.where(F.size("keys") >= F.col("need")))
+    scratch.drop(again)
+    scratch.free_shuffles()
+    wanted = scratch.table(table.select("node").distinct().join(classes.select("node", F.col("k").alias("k_")), "node").select("k_"))
+    sets = scratch.table(_sets(_likely(narrow, wanted, "k_").join(wanted, "k_", "left_semi").select("text_"), seed))
     scratch.free_shuffles()
     owners = 4 * tasks
     alone = _counts(_homeward(_row_keys(_shingle_rows(sets, seed), owners), owners, tasks, tasks, True), tasks)

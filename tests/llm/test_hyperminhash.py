@@ -137,3 +137,39 @@ def test_shingles_are_pairs():
     data = np.frombuffer(b"a b a b c", np.uint8)
     s, t, _ = shingles(data, np.array([0, len(data)]), 2)
     assert len(s) == 3
+
+
+def test_keys_shared_by_chance_are_dropped_before_texts_are_read(spark, monkeypatch):
+    # Pairs of texts with a fifth of their word pairs in common: about a quarter of them share a key. One pair is similar.
+    read = []
+    sets = hm._sets
+    monkeypatch.setattr(hm, "_sets", lambda texts, seed: read.append(texts.count()) or sets(texts, seed))
+    rows = [(d, " ".join([*(f"c{d // 2}w{i}" for i in range(101)), *(f"d{d}w{i}" for i in range(200))])) for d in range(200)]
+    rows += [(300, rows[7][1] + " more")]
+    got = {r.doc_id: r.component_id for r in hm.near_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: 7 if d == 300 else d for d, _ in rows}
+    assert len(read) == 1 and 2 <= read[0] < 24, read
+
+
+def test_partners_of_a_key():
+    key = np.array([1, 1, 1, 2, 2, 3, 3, 3, 4, 5, 5])
+    n = np.array([100, 110, 300, 100, 126, 900, 900, 900, 50, 100, 100])
+    sign = np.zeros((11, 2), np.int64)
+    # The highest bit makes a number negative; it is one bit like others.
+    sign[1, 0] = np.iinfo(np.int64).min
+    sign[6] = -1
+    sign[7] = (1 << hm.ODD) - 1, 0
+    sign[10, 0] = (1 << 23) - 1
+    assert hm.partnered(key, n, sign).tolist() == [True, True, False, False, False, True, False, True, False, False, False]
+
+
+@pytest.mark.parametrize("cell_rows", [5, 8192])
+def test_large_keys_pass_and_marks_lose_nothing(spark, cell_rows):
+    rows = [(i, 0, 1, i % 7, 40 - i % 7, 100, 0, 0) for i in range(200)] + [(200, 0, 1, 9, 1, 100, 0, 0)]
+    df = spark.createDataFrame(rows, "node long, side byte, need long, key long, c long, n long, s0 long, s1 long")
+    assert sorted(r.node for r in hm._partnered(df, cell_rows).collect()) == list(range(200))
+    docs = spark.range(5000).withColumnRenamed("id", "k_")
+    wanted = docs.where("k_ % 50 = 3")
+    likely = {r.k_ for r in hm._likely(docs, wanted, "k_").collect()}
+    assert {r.k_ for r in wanted.collect()} <= likely and len(likely) < 1500
+    assert hm._likely(docs, wanted.limit(0), "k_").count() == 0
