@@ -242,3 +242,18 @@ def test_graph_queries_without_sql_read_all_orders(spark, tmp_path):
     got = {x.node: x.betweenness for x in registry.QUERIES["betweenness"](spark, str(tmp_path)).collect()}
     assert set(got) == nodes and all(abs(got[k] - want[k]) < 1e-9 for k in nodes)
     assert {x.node for x in registry.QUERIES["label_propagation"](spark, str(tmp_path)).collect()} == nodes
+
+
+def test_targets_of_points_equal_those_of_papers_and_group_once(spark):
+    from pyspark.sql import functions as F
+
+    from arborlake.operators.feedback import targets, targets_of_points
+
+    rows = [(1, 2, "b", "t", "p9"), (1, 1, "a", "t", "p1"), (1, 1, "a", "t", "p2"), (1, 2, "b", "t", "p1"), (1, 2, "b", "t", "p9"), (2, 1, None, None, "p1"), (2, 1, None, None, "p1"), (3, 5, "z", "t", "q")]
+    points = spark.createDataFrame(rows, "request long, rank int, paper_id string, tier string, point_id string").repartition(3)
+    papers = points.groupBy("request", "rank", "paper_id", "tier").agg(F.sort_array(F.collect_list("point_id")).alias("point_ids"))
+    out = targets_of_points(points, "request")
+    got, want = (sorted((r.request, r.paper_ids, r.point_ids, [tuple(p) for p in r.papers]) for r in d.collect()) for d in (out, targets(papers, "request")))
+    assert got == want and got[0][1:3] == (["a", "b"], ["p1", "p2", "p9"])
+    plan = targets_of_points(spark.range(9).selectExpr("id % 3 request", "1 rank", "'a' paper_id", "'t' tier", "'p' point_id"), "request")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
