@@ -147,3 +147,21 @@ def test_a_deep_tree_is_selected_from_in_few_steps(spark, monkeypatch):
     monkeypatch.setattr(density, "cut", lambda x, f=density.cut: calls.append(1) or f(x))
     got = {tuple(x.cluster): x.label and tuple(x.label) for x in density.selected(df).collect()}
     assert got == want and len(calls) < 30 and len({v for v in want.values() if v}) > 3
+
+
+@pytest.mark.parametrize("names", ["long", "string"])
+def test_held_nodes_move_like_joined_ones(spark, monkeypatch, names):
+    r = random.Random(11)
+    rows = [(r.randrange(45), r.randrange(45), float(r.randrange(1, 4))) for _ in range(260)] + [(50, 50, 2.0), (60, 61, 1.0), (0, None, 1.0), (7, 8, None)]
+    df = spark.createDataFrame(rows, "u long, v long, w double").selectExpr(f"cast(u as {names}) u", f"cast(v as {names}) v", "w")
+    monkeypatch.setattr(communities, "EDGES_A_ROW", 20, raising=False)
+    monkeypatch.setattr(communities, "EDGES_A_TASK", 60, raising=False)
+    sent, kept = [], communities.cut
+    monkeypatch.setattr(communities, "cut", lambda x: sent.append(1) or kept(x))
+    held, few = {x.node: x.community for x in communities.communities(df, "w").collect()}, len(sent)
+    monkeypatch.setattr(communities, "HELD_NODES", 0, raising=False)
+    sent.clear()
+    assert {x.node: x.community for x in communities.communities(df, "w").collect()} == held and len(set(held.values())) > 3
+    assert few < len(sent) / 2  # a turn writes nothing
+    got = spark.range(-50, 50).selectExpr("xxhash64(id) h", "pmod(xxhash64(id, 5), 4) p").collect()
+    assert [x.p == 2 for x in got] == communities._on_turn(np.array([x.h for x in got]), 22, 4).tolist()
