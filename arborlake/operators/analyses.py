@@ -120,7 +120,7 @@ def embedding_text(title: Column, kind: Column, category: Column, text: Column,
     return F.when(F.size(snippets) > 0, F.concat(head, F.lit("\nSource evidence:\n"), quotes)).otherwise(head)
 
 
-def index_points(analyses: DataFrame, model: str, version: str = "1") -> DataFrame:
+def index_points(analyses: DataFrame, model: str, version: str | Column = "1") -> DataFrame:
     """One row per evidence, claim and idea that untruncated evidence supports, with a stable id and its embedding text."""
     item = lambda kind, category, text, ids: F.struct(F.lit(kind).alias("kind"), category.alias("category"), text.alias("text"), ids.alias("ids"))
     whole = F.filter("evidence", lambda e: ~e["truncated"])
@@ -143,6 +143,33 @@ def index_points(analyses: DataFrame, model: str, version: str = "1") -> DataFra
     )
 
 
+def upserted(stored: DataFrame, points: DataFrame) -> DataFrame:
+    """One row per paper: paper_id, report array<struct<analysis_key, status, points>>, and rows, its points after the upsert (stored's columns but paper_id).
+
+    A key or point id is made of its paper's id, so a paper's points are all that
+    meet: they are one group, as its analysis is one row. Sides that lie by
+    paper_id already, as grouped analyses do, are not sent again.
+    """
+    rest = [c for c in stored.columns if c != "paper_id"]
+    side = lambda df, name: df.groupBy("paper_id").agg(F.collect_list(F.struct(*rest)).alias(name))
+    have, new = side(stored, "old"), side(points, "new")
+    named = have.where("paper_id is not null").join(new.where("paper_id is not null"), "paper_id", "full_outer")
+    # A null matches no other in a join; the points without a paper are one group here as well.
+    none = have.where("paper_id is null").withColumn("at_", F.lit(0)).join(new.where("paper_id is null").select("new", F.lit(0).alias("at_")), "at_", "full_outer")
+    j = named.unionByName(none.drop("at_")).select("paper_id", *[F.coalesce(c, F.array()).alias(c) for c in ("old", "new")])
+    keyed = lambda items, k: F.size(F.filter(items, lambda x: x["analysis_key"].eqNullSafe(k))).cast("long")
+    keys = F.array_distinct(F.transform("new", lambda x: x["analysis_key"]))
+    same = lambda k: k.isNotNull() & (keyed("old", k) == keyed("new", k))
+    report = F.transform(keys, lambda k: F.struct(k.alias("analysis_key"), F.when(same(k), "unchanged").otherwise("indexed").alias("status"), keyed("new", k).alias("points")))
+    j = j.withColumn("report", report)
+    j = j.withColumn("indexed_", F.transform(F.filter("report", lambda r: (r["status"] == "indexed") & r["analysis_key"].isNotNull()), lambda r: r["analysis_key"]))
+    j = j.withColumn("fresh_", F.filter("new", lambda x: F.array_contains("indexed_", x["analysis_key"])))
+    stale = F.filter("old", lambda x: F.col("paper_id").isNotNull() & F.exists("indexed_", lambda k: k != x["analysis_key"]))
+    j = j.withColumn("gone_", F.transform(F.concat(stale, "fresh_"), lambda x: x["point_id"]))
+    kept = F.filter("old", lambda x: ~F.coalesce(F.array_contains("gone_", x["point_id"]), F.lit(False)))
+    return j.select("paper_id", "report", F.concat(kept, "fresh_").alias("rows"))
+
+
 def upsert_points(stored: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(table after the upsert, (paper_id, analysis_key, status, points)).
 
@@ -150,14 +177,8 @@ def upsert_points(stored: DataFrame, points: DataFrame) -> tuple[DataFrame, Data
     its points replace those of the same id, and the paper's points under other
     keys go. Papers without new points stay as they are.
     """
-    have = stored.groupBy("analysis_key").agg(F.count("*").alias("have"))
-    new = points.groupBy("paper_id", "analysis_key").agg(F.count("*").alias("points")).join(have, "analysis_key", "left")
-    report = new.select("paper_id", "analysis_key", F.when(F.col("have") == F.col("points"), "unchanged").otherwise("indexed").alias("status"), "points")
-    indexed = report.where("status = 'indexed'").select("paper_id", F.col("analysis_key").alias("new_key"))
-    fresh = points.join(indexed.select(F.col("new_key").alias("analysis_key")), "analysis_key", "left_semi")
-    stale = stored.join(indexed, "paper_id").where("analysis_key <> new_key").select("point_id")
-    kept = stored.join(stale, "point_id", "left_anti").join(fresh.select("point_id"), "point_id", "left_anti")
-    return kept.unionByName(fresh.select(*stored.columns)), report
+    each = upserted(stored, points)
+    return each.select("paper_id", F.explode("rows").alias("r")).select("paper_id", "r.*").select(*stored.columns), each.select("paper_id", F.explode("report").alias("r")).select("paper_id", "r.*")
 
 
 def index_status(report: DataFrame) -> DataFrame:

@@ -53,6 +53,38 @@ def test_index_points(spark, table):
     assert {r.analysis_key for r in moved.collect()} == {r.analysis_key for r in other.collect()} and moved.count() == 4
 
 
+def test_an_upsert_by_papers_against_the_definition(spark):
+    r = random.Random(8)
+    key, point = (lambda p: r.choice([None, *[f"k{p}-{i}" for i in range(3)]])), (lambda p: r.choice([None, *[f"i{p}-{i}" for i in range(5)]]))
+    some = lambda papers, n: [(p, key(p), point(p), i) for i in range(n) for p in [r.choice(papers)]]
+    old, new = some([None, 1, 2, 3, 4], 60), some([None, 3, 4, 5, 6], 40) + [(7, "k7", "i7-1", 0), (7, "k7", "i7-2", 1)]
+    old += [(7, "k7", "i7-1", 5), (7, "k7", "i7-3", 6), (7, "k8", "i7-4", 7)]
+    n = lambda rows, k: sum(x[1] == k for x in rows)
+    status = {(p, k): "unchanged" if k is not None and n(old, k) == n([x for x in new if x[0] == p], k) else "indexed" for p, k, *_ in new}
+    fresh = [x for x in new if x[1] is not None and status[x[:2]] == "indexed"]
+    stale = {x[2] for x in old for (p, k), s in status.items() if s == "indexed" and None not in (p, k, x[1]) and x[0] == p and x[1] != k}
+    gone = (stale | {x[2] for x in fresh}) - {None}
+    want = [x for x in old if x[2] not in gone] + fresh
+    kind = "paper_id long, analysis_key string, point_id string, n long"
+    table, report = analyses.upsert_points(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind))
+    assert sorted(map(repr, map(tuple, table.collect()))) == sorted(map(repr, want))
+    rows = [tuple(x) for x in report.collect()]
+    assert len(rows) == len(status) and {x[:2]: x[2] for x in rows} == status
+    assert {x[:2]: x[3] for x in rows} == {(p, k): sum(x[:2] == (p, k) for x in new) for p, k in status}
+
+
+def test_an_upsert_sends_lines_once_and_writes_no_points(spark, monkeypatch):
+    from arborlake.plans import q_research, registry
+
+    written, kept = [], q_research.cut
+    monkeypatch.setattr(q_research, "LINES_A_TASK", 2000, raising=False)
+    monkeypatch.setattr(q_research, "cut", lambda df: written.append(df) or kept(df))
+    registry.QUERIES["index_upsert"](spark, "/root/testdata/sf0.001").collect()
+    assert written and not any("point_id" in x.schema.simpleString() for x in written)
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(o#" in plan and "hashpartitioning(paper_id#" not in plan
+
+
 def test_repair(spark, table):
     pages = spark.createDataFrame([("h1", 1, PAGE)], "document_hash string, page int, text string")
     each, totals = analyses.repair(table, pages)
